@@ -18,9 +18,10 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dqloom.functions.rules import quoted
 from dqloom.operators import checks as C
 from dqloom.operators import keys as K
 from dqloom.operators.checks import Check
@@ -31,38 +32,37 @@ RESULT_COLUMNS = ("suite", "stage", "check_name", "rule_group", "severity", "sta
 NOT_EVALUATED = -1
 
 
-def _melt(one_row: DataFrame, counters: Sequence[tuple[int, Column]]) -> DataFrame:
-    """One aggregate row -> one row per counter: ``pos, rows_failed``."""
-    cells = [F.struct(F.lit(pos).alias("pos"), counter.cast("bigint").alias("rows_failed")) for pos, counter in counters]
-    return one_row.select(F.inline(F.array(*cells)))
+def _melt(one_row: DataFrame, counters: Mapping[int, str]) -> DataFrame:
+    """One aggregate row -> one row per counter: ``pos, rows_failed``.
+
+    Plans are assembled as SQL text here: a suite has dozens of expressions, and
+    one call with text is far cheaper than building each of them call by call.
+    """
+    cells = [f"named_struct('pos', {pos}, 'rows_failed', cast({counter} AS BIGINT))" for pos, counter in counters.items()]
+    return one_row.selectExpr(f"inline(array({', '.join(cells)}))")
 
 
 def _row_rules(table: DataFrame, members: Sequence[tuple[int, Check]]) -> DataFrame:
     aggregates = []
     for pos, check in members:
-        if check.count == C.ROWS:
-            counter = F.count_if(F.expr(check.rule))
-        else:
-            counter = F.when(F.count(F.lit(1)) == 0, 1).otherwise(0)
-        aggregates.append(counter.alias(f"_c{pos}"))
-    return _melt(table.agg(*aggregates), [(pos, F.col(f"_c{pos}")) for pos, _ in members])
+        counter = f"count_if({check.rule})" if check.count == C.ROWS else "CASE WHEN count(1) = 0 THEN 1 ELSE 0 END"
+        aggregates.append(f"{counter} AS _c{pos}")
+    return _melt(table.selectExpr(*aggregates), {pos: f"_c{pos}" for pos, _ in members})
 
 
 def _duplicate_rules(table: DataFrame, keys: Sequence[str], members: Sequence[tuple[int, Check]]) -> DataFrame:
+    whole = K.complete(keys)
     # Rows that no member can count are dropped before the shuffle.
-    kept = table if any(c.count_null_keys for _, c in members) else table.filter(K.complete(keys))
-    sizes = K.group_sizes(kept, keys)
-    aggregates = []
-    for pos, check in members:
-        many = F.col("cnt") > 1
-        aggregates.append(F.count_if(many if check.count_null_keys else many & K.complete(keys)).alias(f"_c{pos}"))
-    return _melt(sizes.agg(*aggregates), [(pos, F.col(f"_c{pos}")) for pos, _ in members])
+    kept = table if any(c.count_null_keys for _, c in members) else table.filter(whole)
+    aggregates = [
+        f"count_if(cnt > 1{'' if check.count_null_keys else f' AND {whole}'}) AS _c{pos}" for pos, check in members
+    ]
+    return _melt(K.group_sizes(kept, keys).selectExpr(*aggregates), {pos: f"_c{pos}" for pos, _ in members})
 
 
 def _reference_rules(child: DataFrame, parent: DataFrame, members: Sequence[tuple[int, C.Ref]]) -> DataFrame:
-    distinct_refs = list(dict.fromkeys(ref for _, ref in members))
-    totals = K.orphan_totals(child, parent, distinct_refs)
-    return _melt(totals, [(pos, F.col(f"_n{distinct_refs.index(ref)}")) for pos, ref in members])
+    refs = list(dict.fromkeys(ref for _, ref in members))
+    return _melt(K.orphan_totals(child, parent, refs), {pos: f"_n{refs.index(ref)}" for pos, ref in members})
 
 
 def _branches(checks: Sequence[tuple[int, Check]], tables: Tables) -> list[DataFrame]:
@@ -78,10 +78,10 @@ def _branches(checks: Sequence[tuple[int, Check]], tables: Tables) -> list[DataF
                 refs[check.table, ref.parent, ref.parent_columns].append((pos, ref))
         elif check.count == C.UNMATCHED_KEYS:
             found = K.unmatched_keys(tables[check.table], check.keys, tables[check.other], check.other_keys)
-            out.append(_melt(found.agg(F.count(F.lit(1)).alias("n")), [(pos, F.col("n"))]))
+            out.append(_melt(found.selectExpr("count(1) AS n"), {pos: "n"}))
         else:
             found = K.unmatched_row_total(tables[check.table], check.keys, tables[check.other], check.other_keys)
-            out.append(_melt(found, [(pos, F.col("rows"))]))
+            out.append(_melt(found, {pos: "rows"}))
     out += [_row_rules(tables[t], members) for t, members in rows.items()]
     out += [_duplicate_rules(tables[t], keys, members) for (t, keys), members in groups.items()]
     out += [_reference_rules(tables[t], tables[p], members) for (t, p, _), members in refs.items()]
@@ -100,30 +100,27 @@ def violation_counts(checks: Sequence[Check], tables: Tables) -> DataFrame:
     return united
 
 
-def status_of(rows_failed: Column, severity: Column) -> Column:
+def status_of(rows_failed: str = "rows_failed", severity: str = "severity") -> str:
     return (
-        F.when(rows_failed == NOT_EVALUATED, C.BROKEN)
-        .when(rows_failed == 0, C.PASS)
-        .when(severity == C.WARNING, C.WARN)
-        .otherwise(C.FAIL)
+        f"CASE WHEN {rows_failed} = {NOT_EVALUATED} THEN '{C.BROKEN}' WHEN {rows_failed} = 0 THEN '{C.PASS}' "
+        f"WHEN {severity} = '{C.WARNING}' THEN '{C.WARN}' ELSE '{C.FAIL}' END"
     )
 
 
 def _described(suite: str, stage: str, checks: Sequence[Check], counts: DataFrame) -> DataFrame:
     """Attach the declared metadata, which travels as literals indexed by position."""
-    meta = F.array(
-        *[F.struct(F.lit(c.name).alias("name"), F.lit(c.group).alias("grp"), F.lit(c.severity).alias("sev")) for c in checks]
+    meta = ", ".join(
+        f"named_struct('name', {quoted(c.name)}, 'grp', {quoted(c.group)}, 'sev', {quoted(c.severity)})" for c in checks
     )
-    one = meta[F.col("pos")]
-    return counts.select(
-        F.lit(suite).alias("suite"),
-        F.lit(stage).alias("stage"),
-        one["name"].alias("check_name"),
-        one["grp"].alias("rule_group"),
-        one["sev"].alias("severity"),
-        status_of(F.col("rows_failed"), one["sev"]).alias("status"),
-        F.col("rows_failed"),
-        F.lit(None).cast("string").alias("message"),
+    return counts.selectExpr(f"array({meta})[pos] AS m", "rows_failed").selectExpr(
+        f"{quoted(suite)} AS suite",
+        f"{quoted(stage)} AS stage",
+        "m.name AS check_name",
+        "m.grp AS rule_group",
+        "m.sev AS severity",
+        f"{status_of(severity='m.sev')} AS status",
+        "rows_failed",
+        "cast(NULL AS STRING) AS message",
     )
 
 
@@ -210,14 +207,13 @@ def failing_rows(check: Check, tables: Tables) -> DataFrame:
         ]
         return reduce(DataFrame.unionByName, parts)
     if check.count == C.EMPTY:
-        return table.agg(F.count(F.lit(1)).alias("rows")).filter("rows = 0")
+        return table.selectExpr("count(1) AS rows").filter("rows = 0")
     if check.count == C.UNMATCHED_KEYS:
         return K.unmatched_keys(table, check.keys, tables[check.other], check.other_keys)
-    lost = K.without_parent(table.select(*check.keys).distinct(), check.keys, tables[check.other], check.other_keys)
-    match = F.lit(True)
-    for k in check.keys:
-        match = match & F.col(f"t.{k}").eqNullSafe(F.col(f"l.{k}"))
-    return table.alias("t").join(lost.alias("l"), match, "left_semi").select(*[F.col(f"t.{c}") for c in (check.show or table.columns)])
+    names = [f"_k{i}" for i in range(len(check.keys))]
+    distinct = table.selectExpr(*K.renamed(check.keys, names)).distinct()
+    lost = K.without_parent(distinct, names, tables[check.other], check.other_keys)
+    return table.join(lost, K.all_equal(check.keys, names, "<=>"), "left_semi").select(*shown)
 
 
 def drill_down(check: Check, tables: Tables, order: Sequence[str], limit: int = 20) -> DataFrame:

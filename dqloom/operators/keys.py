@@ -15,15 +15,20 @@ from pyspark.sql import functions as F
 from dqloom.operators.checks import Ref
 
 
-def complete(columns: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & F.col(c).isNotNull()
-    return condition
+def complete(columns: Sequence[str]) -> str:
+    return "(" + " AND ".join(f"{c} IS NOT NULL" for c in columns) + ")"
+
+
+def all_equal(left: Sequence[str], right: Sequence[str], operator: str = "=") -> Column:
+    return F.expr(" AND ".join(f"{a} {operator} {b}" for a, b in zip(left, right)))
+
+
+def renamed(columns: Sequence[str], names: Sequence[str]) -> list[str]:
+    return [f"{c} AS {n}" for c, n in zip(columns, names)]
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str], size: str = "cnt") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
+    return df.groupBy(*keys).agg(F.expr(f"count(1) AS {size}"))
 
 
 def duplicated(df: DataFrame, keys: Sequence[str], count_null_keys: bool = True) -> DataFrame:
@@ -39,11 +44,10 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ())
     reduced before the shuffle.  ``order`` columns need not be kept.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    ranked = F.min(F.struct(*[F.col(c) for c in [*order, *rest]]))
     if not rest and not order:
         return df.distinct()
-    picked = df.groupBy(*keys).agg(ranked.alias("_first"))
-    return picked.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
+    picked = df.groupBy(*keys).agg(F.expr(f"min(struct({', '.join([*order, *rest])})) AS _first"))
+    return picked.selectExpr(*[c if c in keys else f"_first.{c} AS {c}" for c in df.columns])
 
 
 def insert_if_absent(existing: DataFrame, arriving: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -62,27 +66,21 @@ def reference_counts(child: DataFrame, refs: Sequence[Ref]) -> DataFrame:
     unpivoted); the result is hash-partitioned by the key, which the join with
     the parent then reuses.
     """
-    width = len(refs[0].columns)
-    names = [f"_k{i}" for i in range(width)]
+    names = [f"_k{i}" for i in range(len(refs[0].columns))]
     if len(refs) == 1:
-        keyed = child.select(*[F.col(c).alias(n) for c, n in zip(refs[0].columns, names)], F.lit(0).alias("_r"))
-    else:
-        roles = [
-            F.struct(F.lit(pos).alias("_r"), *[F.col(c).alias(n) for c, n in zip(ref.columns, names)])
-            for pos, ref in enumerate(refs)
-        ]
-        keyed = child.select(F.inline(F.array(*roles)))
-    counts = [F.count_if(F.col("_r") == pos).alias(f"_n{pos}") for pos in range(len(refs))]
-    return keyed.groupBy(*names).agg(*counts)
+        return child.selectExpr(*renamed(refs[0].columns, names)).groupBy(*names).agg(F.expr("count(1) AS _n0"))
+    roles = []
+    for pos, ref in enumerate(refs):
+        cells = ", ".join(f"'{n}', {c}" for c, n in zip(ref.columns, names))
+        roles.append(f"named_struct('_r', {pos}, {cells})")
+    keyed = child.selectExpr(f"inline(array({', '.join(roles)}))")
+    return keyed.groupBy(*names).agg(*[F.expr(f"count_if(_r = {pos}) AS _n{pos}") for pos in range(len(refs))])
 
 
 def without_parent(keyed: DataFrame, names: Sequence[str], parent: DataFrame, parent_columns: Sequence[str]) -> DataFrame:
     """Rows of ``keyed`` with no equal parent key; an incomplete key never has one."""
-    parents = parent.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(parent_columns)])
-    match = F.lit(True)
-    for i, n in enumerate(names):
-        match = match & (F.col(n) == F.col(f"_p{i}"))
-    return keyed.join(parents, match, "left_anti")
+    aliases = [f"_p{i}" for i in range(len(parent_columns))]
+    return keyed.join(parent.selectExpr(*renamed(parent_columns, aliases)), all_equal(names, aliases), "left_anti")
 
 
 def orphan_totals(child: DataFrame, parent: DataFrame, refs: Sequence[Ref]) -> DataFrame:
@@ -90,13 +88,11 @@ def orphan_totals(child: DataFrame, parent: DataFrame, refs: Sequence[Ref]) -> D
     counted = reference_counts(child, refs)
     names = [c for c in counted.columns if c.startswith("_k")]
     lost = without_parent(counted, names, parent, refs[0].parent_columns)
-    whole = complete(names)
     totals = []
     for pos, ref in enumerate(refs):
-        rows = F.col(f"_n{pos}")
-        rows = rows if ref.null_is_orphan else F.when(whole, rows)
-        totals.append(F.coalesce(F.sum(rows), F.lit(0)).alias(f"_n{pos}"))
-    return lost.agg(*totals)
+        rows = f"_n{pos}" if ref.null_is_orphan else f"CASE WHEN {complete(names)} THEN _n{pos} END"
+        totals.append(f"coalesce(sum({rows}), 0) AS _n{pos}")
+    return lost.selectExpr(*totals)
 
 
 def orphan_rows(child: DataFrame, parent: DataFrame, ref: Ref) -> DataFrame:
@@ -108,18 +104,12 @@ def orphan_rows(child: DataFrame, parent: DataFrame, ref: Ref) -> DataFrame:
     join falls back to a shuffled one that splits skewed partitions.
     """
     names = [f"_k{i}" for i in range(len(ref.columns))]
-    lost = without_parent(
-        child.filter(complete(ref.columns)).select(*[F.col(c).alias(n) for c, n in zip(ref.columns, names)]).distinct(),
-        names,
-        parent,
-        ref.parent_columns,
-    )
-    match = F.lit(True)
-    for c, n in zip(ref.columns, names):
-        match = match & (F.col(c) == F.col(n))
-    found = child.join(lost, match, "left_semi")
+    whole = complete(ref.columns)
+    keys = child.filter(whole).selectExpr(*renamed(ref.columns, names)).distinct()
+    lost = without_parent(keys, names, parent, ref.parent_columns)
+    found = child.join(lost, all_equal(ref.columns, names), "left_semi")
     if ref.null_is_orphan:
-        found = found.unionByName(child.filter(~complete(ref.columns)))
+        found = found.unionByName(child.filter(f"NOT {whole}"))
     return found
 
 
@@ -131,15 +121,13 @@ def unmatched_keys(source: DataFrame, keys: Sequence[str], target: DataFrame, ta
 
 def unmatched_summary(source: DataFrame, keys: Sequence[str], target: DataFrame, target_keys: Sequence[str]) -> DataFrame:
     """One row: ``missing`` and ``src_count`` distinct keys, from one pass over each side."""
-    marked = target.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(target_keys)]).distinct().withColumn("_hit", F.lit(1))
-    match = F.lit(True)
-    for i, k in enumerate(keys):
-        match = match & (F.col(k) == F.col(f"_p{i}"))
-    joined = source.select(*keys).distinct().join(marked, match, "left")
-    return joined.agg(F.count_if(F.col("_hit").isNull()).alias("missing"), F.count(F.lit(1)).alias("src_count"))
+    aliases = [f"_p{i}" for i in range(len(target_keys))]
+    known = target.selectExpr(*renamed(target_keys, aliases), "true AS _hit").distinct()
+    joined = source.select(*keys).distinct().join(known, all_equal(keys, aliases), "left")
+    return joined.selectExpr("count_if(_hit IS NULL) AS missing", "count(1) AS src_count")
 
 
 def unmatched_row_total(target: DataFrame, keys: Sequence[str], source: DataFrame, source_keys: Sequence[str]) -> DataFrame:
     """One row: ``rows`` of the target whose key the source does not know."""
     counted = group_sizes(target, keys, "_n")
-    return without_parent(counted, keys, source, source_keys).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
+    return without_parent(counted, keys, source, source_keys).selectExpr("coalesce(sum(_n), 0) AS rows")

@@ -8,7 +8,7 @@ of two.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEASON_KEY = ["run_id", "competition_id", "season_id"]
@@ -24,125 +24,109 @@ SNAPSHOT_LIMIT = 200
 
 def with_scores(matches: DataFrame, scores: DataFrame, how: str = "left") -> DataFrame:
     """Both sides are keyed by (run_id, match_id); after ``first_per_key`` they share that partitioning."""
-    return matches.join(scores.drop("duration", "half_time_home", "half_time_away"), ["run_id", "match_id"], how)
+    kept = scores.select("run_id", "match_id", "winner", "full_time_home", "full_time_away")
+    return matches.join(kept, ["run_id", "match_id"], how)
 
 
-def outcome() -> Column:
-    """Final score first, declared winner second."""
-    home, away = F.col("full_time_home"), F.col("full_time_away")
-    return (
-        F.when(home > away, "HOME")
-        .when(home < away, "AWAY")
-        .when(home == away, "DRAW")
-        .when(F.col("winner") == "HOME_TEAM", "HOME")
-        .when(F.col("winner") == "AWAY_TEAM", "AWAY")
-        .when(F.col("winner") == "DRAW", "DRAW")
-        .otherwise("UNKNOWN")
-    )
-
+# Final score first, declared winner second.
+OUTCOME = """
+    CASE WHEN full_time_home > full_time_away THEN 'HOME'
+         WHEN full_time_home < full_time_away THEN 'AWAY'
+         WHEN full_time_home = full_time_away THEN 'DRAW'
+         WHEN winner = 'HOME_TEAM' THEN 'HOME'
+         WHEN winner = 'AWAY_TEAM' THEN 'AWAY'
+         WHEN winner = 'DRAW' THEN 'DRAW'
+         ELSE 'UNKNOWN' END"""
 
-def _share(part: Column, whole: Column) -> Column:
-    """Part of the decided matches, four decimals; NULL when nothing was decided."""
-    exact = F.try_divide(part.cast("decimal(18,0)"), whole.cast("decimal(18,0)"))
-    return F.round(exact, 4).cast("double")
+# Declared dates with the observed ones as fallback.
+PERIOD = (
+    "coalesce(_start, _first) AS start_date",
+    "coalesce(_end, _last) AS end_date",
+    "coalesce(year(_start), year(_end), year(_first), year(_last)) AS season_year",
+)
 
 
-def _period(declared_start: Column, declared_end: Column, first: Column, last: Column) -> list[Column]:
-    """Declared dates with the observed ones as fallback."""
-    return [
-        F.coalesce(declared_start, first).alias("start_date"),
-        F.coalesce(declared_end, last).alias("end_date"),
-        F.coalesce(F.year(declared_start), F.year(declared_end), F.year(first), F.year(last)).alias("season_year"),
-    ]
+def _share(part: str) -> str:
+    """Part of the decided matches, four decimals; NULL when nothing was decided."""
+    whole = "cast(_home + _draw + _away AS DECIMAL(18,0))"
+    return f"cast(round(try_divide(cast({part} AS DECIMAL(18,0)), {whole}), 4) AS DOUBLE)"
 
 
-def _dimension(table: DataFrame, key: str, **columns: str) -> DataFrame:
-    return table.select("run_id", key, *[F.col(c).alias(n) for n, c in columns.items()])
+def _with_dimensions(facts: DataFrame, competitions: DataFrame, seasons: DataFrame) -> DataFrame:
+    return facts.join(
+        competitions.selectExpr("run_id", "competition_id", "name AS competition_name"), ["run_id", "competition_id"]
+    ).join(seasons.selectExpr("run_id", "season_id", "start_date AS _start", "end_date AS _end"), ["run_id", "season_id"])
 
 
 def competition_season_kpi(matches: DataFrame, scores: DataFrame, competitions: DataFrame, seasons: DataFrame) -> DataFrame:
-    scored = with_scores(matches, scores).select(
+    # One entry per role; the match itself is counted on the home entry.
+    scored = with_scores(matches, scores).selectExpr(
         *SEASON_KEY,
-        F.to_date("utc_date").alias("day"),
-        (F.col("status") == "FINISHED").alias("finished"),
-        outcome().alias("outcome"),
-        # One entry per role; the match itself is counted on the home entry.
-        F.explode(
-            F.array(
-                F.struct(F.lit(True).alias("is_match"), F.col("home_team_id").alias("team_id")),
-                F.struct(F.lit(False).alias("is_match"), F.col("away_team_id").alias("team_id")),
-            )
-        ).alias("role"),
+        "to_date(utc_date) AS day",
+        "status",
+        f"{OUTCOME} AS outcome",
+        "inline(array(named_struct('is_match', true, 'team_id', home_team_id), "
+        "named_struct('is_match', false, 'team_id', away_team_id)))",
     )
-    once = F.col("role.is_match")
     per_season = scored.groupBy(*SEASON_KEY).agg(
-        F.count_if(once).alias("matches_total"),
-        F.count_if(once & F.col("finished")).alias("matches_finished"),
-        F.count_distinct("role.team_id").alias("teams_distinct"),
-        *[F.count_if(once & (F.col("outcome") == o)).alias(f"_{o.lower()}") for o in ("HOME", "DRAW", "AWAY")],
-        F.min("day").alias("_first"),
-        F.max("day").alias("_last"),
+        F.expr("count_if(is_match) AS matches_total"),
+        F.expr("count_if(is_match AND status = 'FINISHED') AS matches_finished"),
+        F.expr("count(DISTINCT team_id) AS teams_distinct"),
+        *[F.expr(f"count_if(is_match AND outcome = '{o}') AS _{o.lower()}") for o in ("HOME", "DRAW", "AWAY")],
+        F.expr("min(day) AS _first"),
+        F.expr("max(day) AS _last"),
     )
-    decided = F.col("_home") + F.col("_draw") + F.col("_away")
-    return (
-        per_season.join(_dimension(competitions, "competition_id", competition_name="name"), ["run_id", "competition_id"])
-        .join(_dimension(seasons, "season_id", _start="start_date", _end="end_date"), ["run_id", "season_id"])
-        .select(
-            "run_id",
-            "competition_id",
-            "competition_name",
-            "season_id",
-            *_period(F.col("_start"), F.col("_end"), F.col("_first"), F.col("_last")),
-            "matches_total",
-            "matches_finished",
-            "teams_distinct",
-            _share(F.col("_home"), decided).alias("home_win_rate"),
-            _share(F.col("_draw"), decided).alias("draw_rate"),
-            _share(F.col("_away"), decided).alias("away_win_rate"),
-        )
+    return _with_dimensions(per_season, competitions, seasons).selectExpr(
+        "run_id",
+        "competition_id",
+        "competition_name",
+        "season_id",
+        *PERIOD,
+        "matches_total",
+        "matches_finished",
+        "teams_distinct",
+        f"{_share('_home')} AS home_win_rate",
+        f"{_share('_draw')} AS draw_rate",
+        f"{_share('_away')} AS away_win_rate",
     )
 
 
 def team_season_results(
     matches: DataFrame, scores: DataFrame, competitions: DataFrame, seasons: DataFrame, teams: DataFrame
 ) -> DataFrame:
-    home, away = F.col("full_time_home"), F.col("full_time_away")
-    finished = with_scores(matches.filter("status = 'FINISHED'"), scores.filter(home.isNotNull() & away.isNotNull()), "inner")
-    roles = finished.select(
+    finished = with_scores(
+        matches.filter("status = 'FINISHED'"),
+        scores.filter("full_time_home IS NOT NULL AND full_time_away IS NOT NULL"),
+        "inner",
+    )
+    roles = finished.selectExpr(
         *SEASON_KEY,
-        F.to_date("utc_date").alias("day"),
-        F.inline(
-            F.array(
-                F.struct(F.col("home_team_id").alias("team_id"), home.alias("gf"), away.alias("ga")),
-                F.struct(F.col("away_team_id").alias("team_id"), away.alias("gf"), home.alias("ga")),
-            )
-        ),
+        "to_date(utc_date) AS day",
+        "inline(array(named_struct('team_id', home_team_id, 'gf', full_time_home, 'ga', full_time_away), "
+        "named_struct('team_id', away_team_id, 'gf', full_time_away, 'ga', full_time_home)))",
     )
-    gf, ga = F.col("gf"), F.col("ga")
     per_team = roles.groupBy(*SEASON_KEY, "team_id").agg(
-        F.count(F.lit(1)).alias("matches_played"),
-        F.count_if(gf > ga).alias("wins"),
-        F.count_if(gf == ga).alias("draws"),
-        F.count_if(gf < ga).alias("losses"),
-        F.sum("gf").alias("goals_for"),
-        F.sum("ga").alias("goals_against"),
-        F.min("day").alias("_first"),
-        F.max("day").alias("_last"),
+        F.expr("count(1) AS matches_played"),
+        F.expr("count_if(gf > ga) AS wins"),
+        F.expr("count_if(gf = ga) AS draws"),
+        F.expr("count_if(gf < ga) AS losses"),
+        F.expr("sum(gf) AS goals_for"),
+        F.expr("sum(ga) AS goals_against"),
+        F.expr("min(day) AS _first"),
+        F.expr("max(day) AS _last"),
     )
     # Observed dates of a season come from the per-team rows, not from a second pass over the facts.
-    observed = per_team.groupBy(*SEASON_KEY).agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    observed = per_team.groupBy(*SEASON_KEY).agg(F.expr("min(_first) AS _first"), F.expr("max(_last) AS _last"))
+    dated = per_team.drop("_first", "_last").join(observed, SEASON_KEY)
     return (
-        per_team.drop("_first", "_last")
-        .join(observed, SEASON_KEY)
-        .join(_dimension(competitions, "competition_id", competition_name="name"), ["run_id", "competition_id"])
-        .join(_dimension(seasons, "season_id", _start="start_date", _end="end_date"), ["run_id", "season_id"])
-        .join(_dimension(teams, "team_id", team_name="name"), ["run_id", "team_id"])
-        .select(
+        _with_dimensions(dated, competitions, seasons)
+        .join(teams.selectExpr("run_id", "team_id", "name AS team_name"), ["run_id", "team_id"])
+        .selectExpr(
             "run_id",
             "competition_id",
             "competition_name",
             "season_id",
-            *_period(F.col("_start"), F.col("_end"), F.col("_first"), F.col("_last")),
+            *PERIOD,
             "team_id",
             "team_name",
             "matches_played",
@@ -151,8 +135,8 @@ def team_season_results(
             "losses",
             "goals_for",
             "goals_against",
-            (F.col("goals_for") - F.col("goals_against")).alias("goal_difference"),
-            (F.col("wins") * 3 + F.col("draws")).alias("points_calc"),
+            "goals_for - goals_against AS goal_difference",
+            "wins * 3 + draws AS points_calc",
         )
     )
 
@@ -175,17 +159,13 @@ def snapshot(mart: DataFrame, name: str, limit: int = SNAPSHOT_LIMIT) -> DataFra
 def uneven_home_away(matches: DataFrame, seasons: DataFrame, before: str = "2025-01-01") -> DataFrame:
     """Home and away match counts per team of every season that started before a day."""
     started = seasons.filter(F.col("start_date") < F.lit(before).cast("date")).select("run_id", "season_id")
-    roles = matches.select(
+    roles = matches.selectExpr(
         *SEASON_KEY,
-        F.inline(
-            F.array(
-                F.struct(F.col("home_team_id").alias("team_id"), F.lit(1).alias("home"), F.lit(0).alias("away")),
-                F.struct(F.col("away_team_id").alias("team_id"), F.lit(0).alias("home"), F.lit(1).alias("away")),
-            )
-        ),
+        "inline(array(named_struct('team_id', home_team_id, 'home', 1, 'away', 0), "
+        "named_struct('team_id', away_team_id, 'home', 0, 'away', 1)))",
     )
     per_team = roles.groupBy(*SEASON_KEY, "team_id").agg(
-        F.sum("home").alias("home_matches"), F.sum("away").alias("away_matches")
+        F.expr("sum(home) AS home_matches"), F.expr("sum(away) AS away_matches")
     )
     return per_team.join(started, ["run_id", "season_id"], "left_semi").select(
         *SEASON_KEY, "team_id", "home_matches", "away_matches"

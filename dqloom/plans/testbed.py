@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqloom.operators.keys import first_per_key
@@ -81,88 +81,68 @@ class Lazy(Mapping):
         return len(self._builders)
 
 
-def _hit(key: str, defect: str) -> Column:
-    return F.col(key) % DEFECTS[defect] == 0
-
-
 def areas(t: Mapping) -> DataFrame:
-    return t["region"].select(
-        F.col("r_regionkey").cast("bigint").alias("id"),
-        F.col("r_name").alias("name"),
-        F.upper(F.substring("r_name", 1, 2)).alias("countryCode"),
-        F.lit(None).cast("string").alias("flag"),
+    return t["region"].selectExpr(
+        "cast(r_regionkey AS BIGINT) AS id",
+        "r_name AS name",
+        "upper(substring(r_name, 1, 2)) AS countryCode",
+        "cast(NULL AS STRING) AS flag",
     )
 
 
 def competitions(t: Mapping) -> DataFrame:
-    return t["nation"].select(
-        F.col("n_nationkey").cast("bigint").alias("id"),
-        F.col("n_regionkey").cast("bigint").alias("area_id"),
-        F.col("n_name").alias("name"),
-        F.concat(F.lit("N"), F.col("n_nationkey")).alias("code"),
-        F.lit("LEAGUE").alias("type"),
-        F.lit("TIER_ONE").alias("plan"),
+    return t["nation"].selectExpr(
+        "cast(n_nationkey AS BIGINT) AS id",
+        "cast(n_regionkey AS BIGINT) AS area_id",
+        "n_name AS name",
+        "concat('N', n_nationkey) AS code",
+        "'LEAGUE' AS type",
+        "'TIER_ONE' AS plan",
     )
 
 
 def teams(t: Mapping) -> DataFrame:
-    areas_of = t["nation"].select("n_nationkey", F.col("n_regionkey").cast("bigint").alias("area_id"))
-    text = F.lit(None).cast("string")
-    return t["supplier"].join(areas_of, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(
-        F.col("s_suppkey").alias("id"),
+    nations = t["nation"].selectExpr("n_nationkey", "cast(n_regionkey AS BIGINT) AS area_id")
+    return t["supplier"].join(nations, F.expr("s_nationkey = n_nationkey"), "left").selectExpr(
+        "s_suppkey AS id",
         "area_id",
-        F.col("s_name").alias("name"),
-        F.col("s_name").alias("shortName"),
-        F.concat(F.lit("T"), F.col("s_suppkey")).alias("tla"),
-        text.alias("crest"),
-        text.alias("venue"),
-        text.alias("address"),
+        "s_name AS name",
+        "s_name AS shortName",
+        "concat('T', s_suppkey) AS tla",
+        *(f"cast(NULL AS STRING) AS {c}" for c in ("crest", "venue", "address")),
     )
 
 
-def _goals() -> tuple[Column, Column]:
-    """Final score; unknown on every seventh line number."""
-    known = F.col("l_linenumber") < 7
-    home = (F.col("l_linenumber") % 6).cast("int")
-    away = (F.col("l_quantity").cast("int") % 6).cast("int")
-    return F.when(known, home), F.when(known, away)
-
-
-def _winner() -> Column:
-    """Declared winner; missing for one residue."""
-    rest = F.col("l_quantity").cast("int") % 4
-    return F.when(rest == 0, "HOME_TEAM").when(rest == 1, "AWAY_TEAM").when(rest == 2, "DRAW")
-
-
 def matches_with_score(t: Mapping, defective: bool = False) -> DataFrame:
-    """One row per order line: the match and its score."""
+    """One row per order line: the match and its score.
+
+    The final score is unknown on every seventh line number, the declared winner
+    for one residue of the quantity.
+    """
 
-    def planted(defect: str, bad: Column, good: Column) -> Column:
-        return F.when(_hit("l_orderkey", defect), bad).otherwise(good) if defective else good
+    def planted(defect: str, bad: str, good: str) -> str:
+        return f"CASE WHEN l_orderkey % {DEFECTS[defect]} = 0 THEN {bad} ELSE {good} END" if defective else good
 
-    match_id = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    competition = F.col("l_partkey") % COMPETITIONS
-    away_team = F.floor(F.col("l_partkey") / PARTS_PER_TEAM)
+    competition = f"l_partkey % {COMPETITIONS}"
+    away_team = f"l_partkey DIV {PARTS_PER_TEAM}"
     status = (
-        F.when(F.col("l_linestatus") == "F", "FINISHED")
-        .when(F.col("l_returnflag") == "N", "SCHEDULED")
-        .when(F.col("l_returnflag") == "A", "TIMED")
-        .otherwise("POSTPONED")
+        "CASE WHEN l_linestatus = 'F' THEN 'FINISHED' WHEN l_returnflag = 'N' THEN 'SCHEDULED' "
+        "WHEN l_returnflag = 'A' THEN 'TIMED' ELSE 'POSTPONED' END"
     )
-    home_goals, away_goals = _goals()
-    return t["lineitem"].select(
-        planted("id_missing", F.lit(None), match_id).cast("bigint").alias("id"),
-        planted("competition_orphan", competition + 100, competition).cast("bigint").alias("competition_id"),
-        F.year("l_shipdate").cast("bigint").alias("season_id"),
-        planted("date_missing", F.lit(None), F.col("l_shipdate")).cast("timestamp_ntz").alias("utcDate"),
-        planted("status_invalid", F.lit("MUTATED"), status).alias("status"),
-        F.lit("REGULAR_SEASON").alias("stage"),
-        planted("matchday_high", F.lit(999), F.col("l_quantity").cast("int")).cast("int").alias("matchday"),
-        planted("home_missing", F.lit(None), F.col("l_suppkey")).cast("bigint").alias("home_team_id"),
-        planted("away_orphan", away_team + 10**12, away_team).cast("bigint").alias("away_team_id"),
-        _winner().alias("winner"),
-        home_goals.alias("home_goals"),
-        away_goals.alias("away_goals"),
+    quantity = "cast(l_quantity AS INT)"
+    return t["lineitem"].selectExpr(
+        f"{planted('id_missing', 'NULL', 'l_orderkey * 10 + l_linenumber')} AS id",
+        f"{planted('competition_orphan', f'{competition} + 100', competition)} AS competition_id",
+        "cast(year(l_shipdate) AS BIGINT) AS season_id",
+        f"{planted('date_missing', 'NULL', 'l_shipdate')} AS utcDate",
+        planted("status_invalid", "'MUTATED'", status) + " AS status",
+        "'REGULAR_SEASON' AS stage",
+        f"{planted('matchday_high', '999', quantity)} AS matchday",
+        f"{planted('home_missing', 'NULL', 'l_suppkey')} AS home_team_id",
+        f"{planted('away_orphan', f'{away_team} + 1000000000000', away_team)} AS away_team_id",
+        f"CASE {quantity} % 4 WHEN 0 THEN 'HOME_TEAM' WHEN 1 THEN 'AWAY_TEAM' WHEN 2 THEN 'DRAW' END AS winner",
+        "CASE WHEN l_linenumber < 7 THEN l_linenumber % 6 END AS home_goals",
+        f"CASE WHEN l_linenumber < 7 THEN {quantity} % 6 END AS away_goals",
     )
 
 
@@ -185,32 +165,30 @@ def matches(t: Mapping, defective: bool = False) -> DataFrame:
 
 def standings(t: Mapping, defective: bool = False) -> DataFrame:
     """Results per competition, season and home team."""
-    hg, ag = F.coalesce("home_goals", F.lit(0)), F.coalesce("away_goals", F.lit(0))
-    totals = (
-        matches_with_score(t)
-        .groupBy("season_id", "competition_id", F.col("home_team_id").alias("team_id"))
-        .agg(
-            F.count(F.lit(1)).alias("playedGames"),
-            F.count_if(hg > ag).alias("won"),
-            F.count_if(hg == ag).alias("draw"),
-            F.count_if(hg < ag).alias("lost"),
-            F.sum(hg).alias("goalsFor"),
-            F.sum(ag).alias("goalsAgainst"),
-        )
+    scored = matches_with_score(t).selectExpr(
+        "season_id", "competition_id", "home_team_id AS team_id", "coalesce(home_goals, 0) AS hg", "coalesce(away_goals, 0) AS ag"
+    )
+    totals = scored.groupBy("season_id", "competition_id", "team_id").agg(
+        F.expr("count(1) AS playedGames"),
+        F.expr("count_if(hg > ag) AS won"),
+        F.expr("count_if(hg = ag) AS draw"),
+        F.expr("count_if(hg < ag) AS lost"),
+        F.expr("sum(hg) AS goalsFor"),
+        F.expr("sum(ag) AS goalsAgainst"),
     )
-    points = F.col("won") * 3 + F.col("draw")
+    points = "won * 3 + draw"
     if defective:
-        points = F.when(_hit("team_id", "points_wrong"), points + 1).otherwise(points)
-    return totals.select(
+        points += f" + CASE WHEN team_id % {DEFECTS['points_wrong']} = 0 THEN 1 ELSE 0 END"
+    return totals.selectExpr(
         "season_id",
         "competition_id",
         "team_id",
-        F.lit("TOTAL").alias("type"),
-        F.lit("REGULAR_SEASON").alias("stage"),
-        (F.col("team_id") % 20 + 1).cast("int").alias("position"),
-        *[F.col(c).cast("int").alias(c) for c in ("playedGames", "won", "draw", "lost", "goalsFor", "goalsAgainst")],
-        (F.col("goalsFor") - F.col("goalsAgainst")).cast("int").alias("goalDifference"),
-        points.cast("int").alias("points"),
+        "'TOTAL' AS type",
+        "'REGULAR_SEASON' AS stage",
+        "cast(team_id % 20 + 1 AS INT) AS position",
+        *(f"cast({c} AS INT) AS {c}" for c in ("playedGames", "won", "draw", "lost", "goalsFor", "goalsAgainst")),
+        "cast(goalsFor - goalsAgainst AS INT) AS goalDifference",
+        f"cast({points} AS INT) AS points",
     )
 
 
@@ -229,101 +207,74 @@ def entity_tables(t: Mapping, defective: bool = False) -> Lazy:
 
 def star_tables(t: Mapping, defective: bool = False, run_id: str = BASELINE_RUN) -> Lazy:
     """The versioned star schema: one row per key."""
-    run = F.lit(run_id).alias("run_id")
-    text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    run = f"'{run_id}' AS run_id"
+
+    def empty(kind: str, *names: str) -> list[str]:
+        return [f"cast(NULL AS {kind}) AS {n}" for n in names]
 
     def scored() -> DataFrame:
         return matches_with_score(t, defective).filter("id IS NOT NULL")
 
     def dim_area() -> DataFrame:
-        return areas(t).select(
-            run,
-            F.col("id").alias("area_id"),
-            "name",
-            F.col("countryCode").alias("country_code"),
-            F.col("flag").alias("flag_url"),
-            F.lit(None).cast("bigint").alias("parent_area_id"),
+        return areas(t).selectExpr(
+            run, "id AS area_id", "name", "countryCode AS country_code", "flag AS flag_url", *empty("BIGINT", "parent_area_id")
         )
 
     def dim_competition() -> DataFrame:
-        return competitions(t).select(run, F.col("id").alias("competition_id"), "area_id", "code", "name", "type", "plan")
+        return competitions(t).selectExpr(run, "id AS competition_id", "area_id", "code", "name", "type", "plan")
 
     def dim_season() -> DataFrame:
         # Declared dates are absent for one season so that the observed ones are used.
-        years = t["orders"].select(F.year("o_orderdate").alias("y")).distinct()
-        declared = F.col("y") != 1997
-        return years.select(
+        years = t["orders"].selectExpr("year(o_orderdate) AS y").distinct()
+        return years.selectExpr(
             run,
-            F.col("y").cast("bigint").alias("season_id"),
-            F.lit(0).cast("bigint").alias("competition_id"),
-            F.when(declared, F.make_date("y", F.lit(1), F.lit(1))).alias("start_date"),
-            F.when(declared, F.make_date("y", F.lit(12), F.lit(31))).alias("end_date"),
-            F.lit(None).cast("bigint").alias("winner_team_id"),
+            "cast(y AS BIGINT) AS season_id",
+            "cast(0 AS BIGINT) AS competition_id",
+            "CASE WHEN y <> 1997 THEN make_date(y, 1, 1) END AS start_date",
+            "CASE WHEN y <> 1997 THEN make_date(y, 12, 31) END AS end_date",
+            *empty("BIGINT", "winner_team_id"),
         )
 
     def dim_team() -> DataFrame:
-        return teams(t).select(
+        return teams(t).selectExpr(
             run,
-            F.col("id").alias("team_id"),
+            "id AS team_id",
             "area_id",
             "name",
-            F.col("shortName").alias("short_name"),
+            "shortName AS short_name",
             "tla",
-            F.col("crest").alias("crest_url"),
+            "crest AS crest_url",
             "venue",
             "address",
-            number.alias("founded"),
-            text.alias("website"),
-            text.alias("club_colors"),
+            *empty("INT", "founded"),
+            *empty("STRING", "website", "club_colors"),
         )
 
     def fact_match() -> DataFrame:
         first = first_per_key(scored().select(*MATCH_COLUMNS), ["id"], ["utcDate"])
-        return first.select(
-            run,
-            F.col("id").alias("match_id"),
-            "competition_id",
-            "season_id",
-            F.col("utcDate").alias("utc_date"),
-            "status",
-            "stage",
-            "matchday",
-            "home_team_id",
-            "away_team_id",
-        )
+        return first.withColumnsRenamed({"id": "match_id", "utcDate": "utc_date"}).selectExpr(run, "*")
 
     def fact_match_score() -> DataFrame:
         first = first_per_key(scored().select("id", "winner", "home_goals", "away_goals"), ["id"])
-        return first.select(
+        return first.selectExpr(
             run,
-            F.col("id").alias("match_id"),
+            "id AS match_id",
             "winner",
-            text.alias("duration"),
-            number.alias("half_time_home"),
-            number.alias("half_time_away"),
-            F.col("home_goals").alias("full_time_home"),
-            F.col("away_goals").alias("full_time_away"),
+            *empty("STRING", "duration"),
+            *empty("INT", "half_time_home", "half_time_away"),
+            "home_goals AS full_time_home",
+            "away_goals AS full_time_away",
         )
 
     def fact_standing() -> DataFrame:
-        return standings(t, defective).select(
-            run,
-            "season_id",
-            "competition_id",
-            "team_id",
-            F.col("type").alias("standing_type"),
-            "stage",
-            "position",
-            F.col("playedGames").alias("played_games"),
-            "won",
-            "draw",
-            "lost",
-            F.col("goalsFor").alias("goals_for"),
-            F.col("goalsAgainst").alias("goals_against"),
-            F.col("goalDifference").alias("goal_difference"),
-            "points",
-            text.alias("form"),
-        )
+        names = {
+            "type": "standing_type",
+            "playedGames": "played_games",
+            "goalsFor": "goals_for",
+            "goalsAgainst": "goals_against",
+            "goalDifference": "goal_difference",
+        }
+        return standings(t, defective).withColumnsRenamed(names).selectExpr(run, "*", *empty("STRING", "form"))
 
     base = {
         "dim_area": dim_area,
