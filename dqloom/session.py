@@ -15,11 +15,13 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+LOCAL = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+
 
 def local_session(app: str = "dqloom", cores: int | str = "*", shuffle_partitions: int = 8, **conf) -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for key, value in {**DEFAULTS, "spark.ui.enabled": "false", **conf}.items():
+    for key, value in {**DEFAULTS, **LOCAL, **conf}.items():
         builder = builder.config(key, value)
     return builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).getOrCreate()
 
