@@ -448,18 +448,13 @@ def export_files(t):
 
 @query(
     "etl_export_manifest",
-    f"""WITH {EVENTS} SELECT entity, CAST(count(*) AS BIGINT) AS payloads, (SELECT count(*) FROM pay) AS total_payloads,
-    (SELECT CAST(count(DISTINCT user_id) AS INTEGER) FROM pay WHERE entity NOT IN ('areas', 'competitions')) AS competitions,
-    CAST(2024 AS INTEGER) AS season FROM pay GROUP BY entity""",
+    f"""WITH {EVENTS}, facts AS (SELECT 'total' AS section, 'all' AS name FROM pay UNION ALL SELECT 'entity', entity FROM pay
+      UNION ALL SELECT 'competition_id', CAST(user_id AS VARCHAR) FROM pay WHERE entity NOT IN ('areas', 'competitions')
+      UNION ALL SELECT 'season', '2024' FROM pay WHERE entity NOT IN ('areas', 'competitions'))
+    SELECT section, name, count(*) AS payloads FROM facts GROUP BY ALL""",
 )
 def export_manifest(t):
-    manifest = tables.export_manifest(tables.export_payloads(rawbed.envelopes(t), rawbed.RUN))
-    return manifest.select(
-        F.explode("counts_by_entity").alias("entity", "payloads"),
-        "total_payloads",
-        F.size("competition_ids").alias("competitions"),
-        F.col("seasons")[0].alias("season"),
-    )
+    return tables.export_manifest(tables.export_payloads(rawbed.envelopes(t), rawbed.RUN))
 
 
 @query("ctl_batch_count", "SELECT count(DISTINCT CAST(ts AS DATE)) AS batches FROM events")

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException, PySparkException
@@ -107,14 +108,25 @@ def status_of(rows_failed: str = "rows_failed", severity: str = "severity") -> s
     )
 
 
-def _described(suite: str, stage: str, checks: Sequence[Check], counts: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Placed:
+    """A check as part of a suite at a stage."""
+
+    suite: str
+    stage: str
+    check: Check
+
+
+def _described(placed: Sequence[Placed], counts: DataFrame) -> DataFrame:
     """Attach the declared metadata, which travels as literals indexed by position."""
     meta = ", ".join(
-        f"named_struct('name', {quoted(c.name)}, 'grp', {quoted(c.group)}, 'sev', {quoted(c.severity)})" for c in checks
+        f"named_struct('suite', {quoted(p.suite)}, 'stage', {quoted(p.stage)}, 'name', {quoted(p.check.name)}, "
+        f"'grp', {quoted(p.check.group)}, 'sev', {quoted(p.check.severity)})"
+        for p in placed
     )
     return counts.selectExpr(f"array({meta})[pos] AS m", "rows_failed").selectExpr(
-        f"{quoted(suite)} AS suite",
-        f"{quoted(stage)} AS stage",
+        "m.suite AS suite",
+        "m.stage AS stage",
         "m.name AS check_name",
         "m.grp AS rule_group",
         "m.sev AS severity",
@@ -124,45 +136,52 @@ def _described(suite: str, stage: str, checks: Sequence[Check], counts: DataFram
     )
 
 
-def _broken(spark: SparkSession, suite: str, stage: str, check: Check, reason: str) -> DataFrame:
-    values = [suite, stage, check.name, check.group, check.severity, C.BROKEN, NOT_EVALUATED, reason]
-    kinds = ["string"] * 6 + ["bigint", "string"]
-    return spark.range(1).select(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(values, kinds, RESULT_COLUMNS)])
+def _broken(spark: SparkSession, placed: Placed, reason: str) -> DataFrame:
+    c = placed.check
+    values = [placed.suite, placed.stage, c.name, c.group, c.severity, C.BROKEN, str(NOT_EVALUATED), reason]
+    return spark.range(1).selectExpr(
+        *[f"cast({quoted(v)} AS {'BIGINT' if n == 'rows_failed' else 'STRING'}) AS {n}" for v, n in zip(values, RESULT_COLUMNS)]
+    )
 
 
 def _reason(error: Exception) -> str:
     return str(error).strip().splitlines()[0][:300]
 
 
-def evaluate(suite: str, stage: str, checks: Sequence[Check], tables: Tables, spark: SparkSession | None = None) -> DataFrame:
-    """Lazy result frame of a list of checks (``RESULT_COLUMNS``).
+def evaluate_placed(placed: Sequence[Placed], tables: Tables, spark: SparkSession | None = None) -> DataFrame:
+    """Lazy result frame (``RESULT_COLUMNS``) of checks from any number of suites and stages.
 
-    A check that cannot be planned (unknown table or column) is reported with
-    status ERROR and counts as failed; it does not take the others down.
+    Fusion works across suites: the more of them look at the same tables, the
+    less each one costs.  A check that cannot be planned (unknown table or column)
+    is reported with status ERROR and counts as failed; it does not take the
+    others down.
     """
-    spark = spark or next(iter(tables.values())).sparkSession
-    missing = [c for c in checks if not c.tables() <= set(tables)]
-    usable = [c for c in checks if c not in missing]
-    broken = [(c, f"no table {sorted(c.tables() - set(tables))}") for c in missing]
+    if not placed:
+        raise ValueError("no checks to evaluate")
+    names = set(tables)
+    spark = spark or tables[next(iter(tables))].sparkSession
+    usable = [p for p in placed if p.check.tables() <= names]
+    broken = [(p, f"no table {sorted(p.check.tables() - names)}") for p in placed if p not in usable]
     try:
-        parts = [_described(suite, stage, usable, violation_counts(usable, tables))] if usable else []
+        parts = [_described(usable, violation_counts([p.check for p in usable], tables))] if usable else []
     except AnalysisException:
         sound = []
-        for check in usable:
+        for p in usable:
             try:
-                violation_counts([check], tables)
-                sound.append(check)
+                violation_counts([p.check], tables)
+                sound.append(p)
             except AnalysisException as error:
-                broken.append((check, _reason(error)))
-        parts = [_described(suite, stage, sound, violation_counts(sound, tables))] if sound else []
-    parts += [_broken(spark, suite, stage, c, reason) for c, reason in broken]
-    if not parts:
-        return spark.createDataFrame([], ", ".join(f"{n} string" for n in RESULT_COLUMNS)).withColumn(
-            "rows_failed", F.col("rows_failed").cast("bigint")
-        )
+                broken.append((p, _reason(error)))
+        parts = [_described(sound, violation_counts([p.check for p in sound], tables))] if sound else []
+    parts += [_broken(spark, p, reason) for p, reason in broken]
     return reduce(DataFrame.unionByName, parts)
 
 
+def evaluate(suite: str, stage: str, checks: Sequence[Check], tables: Tables) -> DataFrame:
+    """Lazy result frame of one suite at one stage."""
+    return evaluate_placed([Placed(suite, stage, c) for c in checks], tables)
+
+
 def collect_results(suite: str, stage: str, checks: Sequence[Check], tables: Tables) -> list[dict]:
     """Run the checks and return one dict per check.
 
@@ -173,13 +192,13 @@ def collect_results(suite: str, stage: str, checks: Sequence[Check], tables: Tab
     try:
         return [r.asDict() for r in evaluate(suite, stage, checks, tables).collect()]
     except PySparkException:
+        spark = tables[next(iter(tables))].sparkSession
         results = []
         for check in checks:
             try:
                 results += [r.asDict() for r in evaluate(suite, stage, [check], tables).collect()]
             except PySparkException as error:
-                spark = next(iter(tables.values())).sparkSession
-                results += [r.asDict() for r in _broken(spark, suite, stage, check, _reason(error)).collect()]
+                results += [r.asDict() for r in _broken(spark, Placed(suite, stage, check), _reason(error)).collect()]
         return results
 
 

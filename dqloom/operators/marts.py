@@ -94,14 +94,11 @@ def competition_season_kpi(matches: DataFrame, scores: DataFrame, competitions:
 def team_season_results(
     matches: DataFrame, scores: DataFrame, competitions: DataFrame, seasons: DataFrame, teams: DataFrame
 ) -> DataFrame:
-    finished = with_scores(
-        matches.filter("status = 'FINISHED'"),
-        scores.filter("full_time_home IS NOT NULL AND full_time_away IS NOT NULL"),
-        "inner",
-    )
+    played = matches.filter("status = 'FINISHED'")
+    decided = scores.filter("full_time_home IS NOT NULL AND full_time_away IS NOT NULL")
+    finished = with_scores(played, decided, "inner")
     roles = finished.selectExpr(
         *SEASON_KEY,
-        "to_date(utc_date) AS day",
         "inline(array(named_struct('team_id', home_team_id, 'gf', full_time_home, 'ga', full_time_away), "
         "named_struct('team_id', away_team_id, 'gf', full_time_away, 'ga', full_time_home)))",
     )
@@ -112,12 +109,14 @@ def team_season_results(
         F.expr("count_if(gf < ga) AS losses"),
         F.expr("sum(gf) AS goals_for"),
         F.expr("sum(ga) AS goals_against"),
-        F.expr("min(day) AS _first"),
-        F.expr("max(day) AS _last"),
     )
-    # Observed dates of a season come from the per-team rows, not from a second pass over the facts.
-    observed = per_team.groupBy(*SEASON_KEY).agg(F.expr("min(_first) AS _first"), F.expr("max(_last) AS _last"))
-    dated = per_team.drop("_first", "_last").join(observed, SEASON_KEY)
+    # Observed dates only stand in for missing declared ones, so they are looked up for those seasons alone.
+    undated = seasons.filter("start_date IS NULL OR end_date IS NULL").select("run_id", "season_id")
+    gaps = with_scores(played.join(undated, ["run_id", "season_id"], "left_semi"), decided, "inner")
+    observed = gaps.groupBy(*SEASON_KEY).agg(
+        F.expr("min(to_date(utc_date)) AS _first"), F.expr("max(to_date(utc_date)) AS _last")
+    )
+    dated = per_team.join(observed, SEASON_KEY, "left")
     return (
         _with_dimensions(dated, competitions, seasons)
         .join(teams.selectExpr("run_id", "team_id", "name AS team_name"), ["run_id", "team_id"])

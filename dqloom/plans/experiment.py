@@ -69,13 +69,15 @@ def plan_from_config(config: Mapping) -> tuple[Iteration, ...]:
 
 
 def results_of(name: str, tables: Mapping[str, DataFrame], strategy: Strategy) -> DataFrame:
-    """Check results of every stage of a strategy over one version of the tables."""
+    """Check results of every stage of a strategy over one version of the tables, fused across suites and stages."""
     suites = {**ENTITY_SUITES, **STAR_SUITES}
-    parts = []
-    for stage in STAGES:
-        for suite in strategy.suites(stage):
-            parts.append(fusion.evaluate(suite, stage, suites[suite].checks(stage), tables))
-    return reduce(DataFrame.unionByName, parts).withColumn("mutation", F.lit(name))
+    placed = [
+        fusion.Placed(suite, stage, check)
+        for stage in STAGES
+        for suite in strategy.suites(stage)
+        for check in suites[suite].checks(stage)
+    ]
+    return fusion.evaluate_placed(placed, tables).withColumn("mutation", F.lit(name))
 
 
 def run_entity_plan(tables: Mapping[str, DataFrame], plan: Sequence[Iteration], strategy: Strategy) -> DataFrame:

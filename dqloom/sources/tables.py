@@ -116,18 +116,21 @@ def write_export(exported: DataFrame, path: str) -> None:
 
 
 def export_manifest(exported: DataFrame) -> DataFrame:
-    """One row: payload count, competitions, seasons and counts per entity."""
+    """What an export holds, one row per fact: ``section, name, payloads``.
+
+    Sections are total, entity, competition_id and season.  One aggregation over
+    the endpoints; the lists stay rows and are never gathered into one.
+    """
     parts = routing.export_parts(F.col("endpoint"))
-    entity = F.coalesce(parts["entity"], F.col("endpoint"))
-    rows = exported.select(parts["competition_id"].alias("competition_id"), entity.alias("entity"), parts["season"].alias("season"))
-    entities = list(routing.ENDPOINT_PATTERNS)
-    counts = F.create_map(*[x for e in entities for x in (F.lit(e), F.count_if(F.col("entity") == e))])
-    return rows.agg(
-        F.count(F.lit(1)).alias("total_payloads"),
-        F.sort_array(F.collect_set("competition_id")).alias("competition_ids"),
-        F.sort_array(F.collect_set("season")).alias("seasons"),
-        F.map_filter(counts, lambda _, n: n > 0).alias("counts_by_entity"),
-    )
+    facts = [
+        ("total", F.lit("all")),
+        ("entity", F.coalesce(parts["entity"], F.col("endpoint"))),
+        ("competition_id", parts["competition_id"].cast("string")),
+        ("season", parts["season"].cast("string")),
+    ]
+    cells = F.array(*[F.struct(F.lit(section).alias("section"), name.alias("name")) for section, name in facts])
+    rows = exported.select(F.inline(cells)).filter("name IS NOT NULL")
+    return rows.groupBy("section", "name").agg(F.count(F.lit(1)).alias("payloads"))
 
 
 def write_ledger_dump(frames: Mapping[str, DataFrame], runs: DataFrame, path: str) -> None:
