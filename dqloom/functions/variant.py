@@ -40,25 +40,14 @@ def elements(value: Column, *keys: str) -> Column:
     return F.try_variant_get(value, path(*keys), "array<variant>")
 
 
-def json_type(value: Column, *keys: str) -> Column:
-    """JSON type name at a path: object, array, string, integer, number, boolean, null; NULL when absent."""
-    schema = F.schema_of_variant(F.try_variant_get(value, path(*keys), "variant"))
-    return (
-        F.when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema == "STRING", "string")
-        .when(schema == "BIGINT", "integer")
-        # Whole decimals such as 1.0 count as integers in JSON Schema.
-        .when(schema.rlike(r"^DECIMAL\(\d+,0\)$"), "integer")
-        .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "number")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema == "VOID", "null")
-    )
+def is_object(value: Column, *keys: str) -> Column:
+    """True when the value at a path is a JSON object; never NULL."""
+    return F.try_variant_get(value, path(*keys), "struct<>").isNotNull()
 
 
 def as_object(value: Column) -> Column:
     """Object as MAP<STRING, VARIANT>; NULL for anything else."""
-    return F.when(json_type(value) == "object", F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 def put(fields: Column, key: str, value: Column) -> Column:

@@ -323,7 +323,7 @@ def _swap_in_payload(elements, n: int, seed: str):
 
     def swapped(e, i):
         home, away = F.try_variant_get(e, "$.homeTeam", "variant"), F.try_variant_get(e, "$.awayTeam", "variant")
-        both = (V.json_type(e, "homeTeam") == "object") & (V.json_type(e, "awayTeam") == "object")
+        both = V.is_object(e, "homeTeam") & V.is_object(e, "awayTeam")
         fields = V.put(V.put(V.as_object(e), "homeTeam", away), "awayTeam", home)
         return F.when(F.array_contains(chosen, i) & both, V.to_variant(fields)).otherwise(e)
 

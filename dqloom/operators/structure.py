@@ -11,10 +11,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqloom.functions import variant as V
 from dqloom.operators.flatten import items, table_rows
 
 INT_NULL, STR_NULL = ("integer", "null"), ("string", "null")
@@ -119,227 +118,196 @@ UNIQUE_ID = {
 }
 
 
-def _finding(rule: str, field: str, condition: Column) -> Column:
-    return F.when(condition, F.struct(F.lit(rule).alias("rule"), F.lit(field).alias("field")))
+COLUMNS = ("validator", "level", "payload", "position", "rule", "field", "value")
+ALL_FAMILIES = ("schema", "completeness", "uniqueness", "consistency")
 
+# Variant schema names that count as a JSON type (whole decimals such as 1.0 are integers too, see below).
+_SCALARS = {"integer": "BIGINT", "string": "STRING", "null": "VOID"}
+_WHOLE_DECIMAL = "RLIKE '^DECIMAL.[0-9]+,0.$'"
 
-def element_findings(element: Column, fields: Sequence[Field]) -> Column:
-    """ARRAY<STRUCT<rule, field>> of everything wrong with one element."""
-    kind = V.json_type(element)
-    is_object = F.coalesce(kind == "object", F.lit(False))
-    broken = [_finding("type", "", ~is_object)]
-    for f in fields:
-        name, found = ".".join(f.path), V.json_type(element, *f.path)
-        present = found.isNotNull()
-        if f.required:
-            broken.append(_finding("required", name, is_object & ~present))
-        broken.append(_finding("type", name, present & ~found.isin(*f.types)))
-        if f.min_length:
-            short = F.length(V.get(element, *f.path)) < f.min_length
-            broken.append(_finding("minLength", name, (found == "string") & short))
-    return F.filter(F.array(*broken), lambda x: x.isNotNull())
-
-
-def _payload_id() -> Column:
-    return F.concat_ws("/", "batch_id", "source_file")
-
-
-def _rows(df: DataFrame, validator: str, level: str, payload: Column, position: Column, rule: Column, field: Column, value: Column):
-    return df.select(
-        F.lit(validator).alias("validator"),
-        F.lit(level).alias("level"),
-        payload.alias("payload"),
-        position.cast("string").alias("position"),
-        rule.cast("string").alias("rule"),
-        field.cast("string").alias("field"),
-        value.cast("string").alias("value"),
-    )
 
+def _at(value: str, path: str, kind: str) -> str:
+    return f"try_variant_get({value}, '${path and '.'}{path}', '{kind}')"
 
-def list_findings(envelopes: DataFrame, entity: str) -> DataFrame:
-    """Findings about the list itself: absent, not a list, empty, wrongly typed or wrong declared count."""
-    body = F.col("body")
-    found, count = V.json_type(body, entity), V.json_type(body, "count")
-    size = F.size(V.elements(body, entity))
-    listed = F.coalesce(found == "array", F.lit(False))
-    schema, complete = f"{entity}_schema", f"{entity}_completeness"
-
-    def row(validator: str, level: str, rule: str, condition: Column) -> Column:
-        cells = {"validator": validator, "level": level, "rule": rule}
-        return F.when(condition, F.struct(*[F.lit(v).alias(k) for k, v in cells.items()]))
-
-    broken = [
-        row(schema, "error", "required", found.isNull()),
-        row(schema, "error", "type", found.isNotNull() & ~listed),
-        row(schema, "error", "minItems", listed & (size == 0)),
-        row(schema, "error", "list_missing", ~listed),
-        row(schema, "error", "filters_type", ~V.json_type(body, "filters").isin("object", "null")),
-        row(complete, "error", "list_missing_or_empty", ~listed | (size == 0)),
-        row(f"{entity}_consistency", "warning", "list_missing", ~listed),
-        row(f"{entity}_uniqueness", "warning", "list_missing", ~listed),
-    ]
-    if entity == "areas":
-        # There is no consistency rule for areas.
-        broken = [b for i, b in enumerate(broken) if i != 6]
-    if entity != "standings":
-        wrong = listed & (size > 0) & (count == "integer") & (V.get(body, "count", kind="bigint") != size)
-        broken += [
-            row(schema, "error", "count_type", ~count.isin(*INT_NULL)),
-            row(complete, "warning", "declared_count", wrong),
-        ]
-    rows = envelopes.filter(F.col("entity") == entity).select(
-        _payload_id().alias("payload"), F.explode(F.filter(F.array(*broken), lambda x: x.isNotNull())).alias("x")
-    )
-    return rows.select(
-        "x.validator",
-        "x.level",
-        "payload",
-        F.lit(None).cast("string").alias("position"),
-        "x.rule",
-        F.lit(entity).alias("field"),
-        F.lit(None).cast("string").alias("value"),
-    )
 
+def _rule_case(value: str, field: Field) -> str:
+    """Name of the structure rule a field breaks, NULL when it is fine.
 
-def schema_findings(envelopes: DataFrame, entity: str) -> DataFrame:
-    """One row per broken structure rule of every list element."""
-    parts = []
-    base = items(envelopes, entity)
-    levels = [(base, ELEMENT_FIELDS[entity], "e")]
-    if entity == "standings":
-        levels.append((table_rows(envelopes), TABLE_ROW_FIELDS, "e"))
-        empty = F.size(V.elements(F.col("e"), "table")) == 0
-        parts.append(
-            _rows(
-                base.filter(empty),
-                "standings_schema",
-                "error",
-                F.concat_ws("/", "_batch", "_file"),
-                F.col("_pos"),
-                F.lit("minItems"),
-                F.lit("table"),
-                F.lit(None),
-            )
+    The branch of a correct value comes first, so that it costs one look at the value.
+    """
+    path = ".".join(field.path)
+    raw, absent = _at(value, path, "variant"), "'required'" if field.required else "NULL"
+    nested = [t for t in field.types if t in ("object", "array")]
+    if nested:
+        kind = "struct<>" if nested[0] == "object" else "array<variant>"
+        null_ok = f"WHEN is_variant_null({raw}) THEN NULL " if "null" in field.types else ""
+        return (
+            f"CASE WHEN {_at(value, path, kind)} IS NOT NULL THEN NULL WHEN {raw} IS NULL THEN {absent} {null_ok}ELSE 'type' END"
         )
-    for frame, fields, column in levels:
-        found = frame.select(
-            F.concat_ws("/", "_batch", "_file").alias("payload"),
-            F.col("_pos").cast("string").alias("position"),
-            F.explode(element_findings(F.col(column), fields)).alias("x"),
-        )
-        parts.append(
-            _rows(
-                found, f"{entity}_schema", "error", F.col("payload"), F.col("position"), F.col("x.rule"), F.col("x.field"), F.lit(None)
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    kind = f"schema_of_variant({raw})"
+    allowed = ", ".join(f"'{_SCALARS[t]}'" for t in field.types)
+    short = ""
+    if field.min_length:
+        short = f"WHEN length({_at(value, path, 'string')}) < {field.min_length} AND {kind} = 'STRING' THEN 'minLength' "
+    whole = f"WHEN {kind} {_WHOLE_DECIMAL} THEN NULL " if "integer" in field.types else ""
+    return f"CASE {short}WHEN {kind} IN ({allowed}) THEN NULL WHEN {raw} IS NULL THEN {absent} {whole}ELSE 'type' END"
+
+
+def _entry(validator: str, level: str, rule: str, field: str | None = None, value: str = "NULL") -> str:
+    shown = "cast(NULL AS STRING)" if field is None else f"'{field}'"
+    return (
+        f"named_struct('validator', '{validator}', 'level', '{level}', 'rule', {rule}, 'field', {shown}, "
+        f"'value', cast({value} AS STRING))"
+    )
 
 
-def _ids(entity: str) -> Column:
-    """Sorted identifiers of one payload, absent ones left out."""
+def _when(condition: str, rule: str) -> str:
+    return f"CASE WHEN {condition} THEN '{rule}' END"
+
+
+def _emit(df: DataFrame, payload: str, position: str, entries: Sequence[str], more: str = "") -> DataFrame:
+    """One row per broken rule; ``entries`` are structs whose rule is NULL when it holds."""
+    broken = f"filter(array({', '.join(entries)}), x -> x.rule IS NOT NULL)"
+    listed = f"concat({broken}, {more})" if more else broken
+    rows = df.selectExpr(f"{payload} AS payload", f"cast({position} AS STRING) AS position", f"inline({listed})")
+    return rows.select(*COLUMNS)
+
+
+_PAYLOAD_OF_ITEM = "concat_ws('/', _batch, _file)"
 
-    def of(elements: Column) -> Column:
-        return F.transform(elements, lambda e: V.get(e, *UNIQUE_ID[entity]))
 
-    lists = V.elements(F.col("body"), entity)
+def _ids(entity: str) -> str:
+    """Sorted identifiers of one payload, absent ones left out."""
+    ident = _at("e", ".".join(UNIQUE_ID[entity]), "string")
     if entity == "standings":
-        ids = F.flatten(F.transform(lists, lambda g: F.coalesce(of(V.elements(g, "table")), F.array().cast("array<string>"))))
+        rows = "coalesce(try_variant_get(g, '$.table', 'array<variant>'), array())"
+        ids = f"flatten(transform(list, g -> transform({rows}, e -> {ident})))"
     else:
-        ids = of(lists)
-    return F.array_sort(F.filter(ids, lambda x: x.isNotNull()))
-
-
-def _repeated(ordered: Column) -> Column:
-    """Values that equal their right neighbour; a payload is one row, so this needs no shuffle."""
-    following = F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(0)))
-    pairs = F.zip_with(ordered, following, lambda a, b: F.when(a == b, a))
-    return F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))
-
-
-def duplicate_findings(envelopes: DataFrame, entity: str) -> DataFrame:
-    """Identifiers repeated inside one payload: an error of the uniqueness validator (a warning
-    for standings), and always a warning of the schema validator."""
-    rows = envelopes.filter(F.col("entity") == entity)
-    repeated = rows.select(_payload_id().alias("payload"), F.explode(_repeated(_ids(entity))).alias("value"))
-    level = "warning" if entity == "standings" else "error"
-    both = F.array(
-        F.struct(F.lit(f"{entity}_uniqueness").alias("validator"), F.lit(level).alias("level")),
-        F.struct(F.lit(f"{entity}_schema").alias("validator"), F.lit("warning").alias("level")),
+        ids = f"transform(list, e -> {ident})"
+    return f"array_sort(filter({ids}, x -> x IS NOT NULL))"
+
+
+def payload_findings(envelopes: DataFrame, entity: str, families: Sequence[str] = ALL_FAMILIES) -> DataFrame:
+    """Findings about a payload as a whole: its list, its declared count, its repeated identifiers."""
+    rows = envelopes.filter(F.col("entity") == entity).selectExpr(
+        "concat_ws('/', batch_id, source_file) AS payload",
+        "body",
+        f"{_at('body', entity, 'array<variant>')} AS list",
     )
-    return repeated.select(F.inline(both), "payload", "value").select(
-        "validator",
-        "level",
-        "payload",
-        F.lit(None).cast("string").alias("position"),
-        F.lit("duplicate_id").alias("rule"),
-        F.lit(".".join(UNIQUE_ID[entity])).alias("field"),
-        "value",
+    entries = []
+    if "schema" in families:
+        schema = f"{entity}_schema"
+        raw = _at("body", entity, "variant")
+        filters = Field(("filters",), ("object", "null"))
+        entries += [
+            _entry(schema, "error", f"CASE WHEN list IS NOT NULL THEN NULL WHEN {raw} IS NULL THEN 'required' ELSE 'type' END", entity),
+            _entry(schema, "error", _when("size(list) = 0", "minItems"), entity),
+            _entry(schema, "error", _when("list IS NULL", "list_missing"), entity),
+            _entry(schema, "error", _rule_case("body", filters), "filters"),
+        ]
+        if entity != "standings":
+            entries.append(_entry(schema, "error", _rule_case("body", Field(("count",), INT_NULL)), "count"))
+    if "completeness" in families:
+        complete = f"{entity}_completeness"
+        entries.append(_entry(complete, "error", _when("coalesce(size(list), 0) = 0", "list_missing_or_empty"), entity))
+        if entity != "standings":
+            count = _at("body", "count", "variant")
+            wrong = f"size(list) > 0 AND schema_of_variant({count}) = 'BIGINT' AND {_at('body', 'count', 'bigint')} <> size(list)"
+            entries.append(_entry(complete, "warning", _when(wrong, "declared_count"), entity))
+    if "uniqueness" in families:
+        entries.append(_entry(f"{entity}_uniqueness", "warning", _when("list IS NULL", "list_missing"), entity))
+    if "consistency" in families and entity != "areas":
+        # There is no consistency rule for areas.
+        entries.append(_entry(f"{entity}_consistency", "warning", _when("list IS NULL", "list_missing"), entity))
+        if entity == "standings":
+            start, end = _period("body", "season")
+            entries.append(_entry("standings_consistency", "error", _when(f"{start} > {end}", "period_reversed"), "season"))
+    validators = [(f"{entity}_schema", "warning")] if "schema" in families else []
+    if "uniqueness" in families:
+        validators.append((f"{entity}_uniqueness", "warning" if entity == "standings" else "error"))
+    if not validators:
+        return _emit(rows, "payload", "NULL", entries)
+    # A repeated value equals its right neighbour; a payload is one row, so this needs no shuffle.
+    pairs = "zip_with(ids, slice(ids, 2, greatest(size(ids), 0)), (a, b) -> CASE WHEN a = b THEN a END)"
+    twice = f"coalesce(array_distinct(filter({pairs}, x -> x IS NOT NULL)), array())"
+    named = ", ".join(
+        _entry(v, level, "'duplicate_id'", ".".join(UNIQUE_ID[entity]), "x") for v, level in validators
     )
+    rows = rows.withColumn("ids", F.expr(_ids(entity))).withColumn("twice", F.expr(twice))
+    return _emit(rows, "payload", "NULL", entries, f"flatten(transform(twice, x -> array({named})))")
 
 
-def _period(of: Column, *keys: str) -> tuple[Column, Column]:
-    return (V.get(of, *keys, "startDate", kind="date"), V.get(of, *keys, "endDate", kind="date"))
+def _period(value: str, path: str) -> tuple[str, str]:
+    return _at(value, f"{path}.startDate", "date"), _at(value, f"{path}.endDate", "date")
 
 
-def consistency_findings(envelopes: DataFrame, entity: str) -> DataFrame | None:
-    """Contradictions inside one element or payload; None for entities without such rules."""
-    e = F.col("e")
+def _consistency_entries(entity: str) -> list[str]:
+    """Contradictions inside one element."""
     if entity == "competitions":
-        start, end = _period(e, "currentSeason")
-        rules = [("error", "period_reversed", start > end), ("warning", "period_open", start.isNotNull() & end.isNull())]
+        start, end = _period("e", "currentSeason")
+        rules = [
+            ("error", "period_reversed", f"{start} > {end}"),
+            ("warning", "period_open", f"{start} IS NOT NULL AND {end} IS NULL"),
+        ]
     elif entity == "matches":
-        start, end = _period(e, "season")
-        day = V.get(e, "utcDate", kind="timestamp_ntz").cast("date")
+        start, end = _period("e", "season")
+        day = f"cast({_at('e', 'utcDate', 'timestamp_ntz')} AS DATE)"
         # Null-safe on purpose: two absent teams are the same team.
-        same = V.get(e, "homeTeam", "id").eqNullSafe(V.get(e, "awayTeam", "id"))
+        same = f"{_at('e', 'homeTeam.id', 'string')} <=> {_at('e', 'awayTeam.id', 'string')}"
         rules = [
-            ("error", "period_reversed", start > end),
-            ("warning", "outside_season", (day < start) | (day > end)),
+            ("error", "period_reversed", f"{start} > {end}"),
+            ("warning", "outside_season", f"{start} IS NOT NULL AND {end} IS NOT NULL AND {day} NOT BETWEEN {start} AND {end}"),
             ("error", "same_team", same),
         ]
     elif entity == "scorers":
-        rules = [("warning", "player_missing", ~F.coalesce(V.json_type(e, "player") == "object", F.lit(False)))]
-    elif entity == "standings":
-        start, end = _period(F.col("body"), "season")
-        found = envelopes.filter(F.col("entity") == entity).filter(start > end)
-        none = F.lit(None)
-        return _rows(
-            found, "standings_consistency", "error", _payload_id(), none, F.lit("period_reversed"), F.lit("season"), none
-        )
+        rules = [("warning", "player_missing", f"{_at('e', 'player', 'struct<>')} IS NULL")]
     else:
+        return []
+    ident = _at("e", "id", "string")
+    return [_entry(f"{entity}_consistency", level, _when(cond, rule), value=ident) for level, rule, cond in rules]
+
+
+def _schema_entries(entity: str, fields: Sequence[Field]) -> list[str]:
+    """Broken structure rules of one element; an element that is no object breaks just that one."""
+    whole = f"{_at('e', '', 'struct<>')} IS NULL"
+    entries = [_entry(f"{entity}_schema", "error", _when(whole, "type"), "")]
+    for f in fields:
+        case = _rule_case("e", f)
+        if f.required:
+            case = f"CASE WHEN {whole} THEN NULL ELSE {case} END"
+        entries.append(_entry(f"{entity}_schema", "error", case, ".".join(f.path)))
+    return entries
+
+
+def element_findings(envelopes: DataFrame, entity: str, families: Sequence[str] = ALL_FAMILIES) -> DataFrame | None:
+    """Findings about single list elements; None when no rule of the families looks at them."""
+    schema = "schema" in families
+    entries = _schema_entries(entity, ELEMENT_FIELDS[entity]) if schema else []
+    if schema and entity == "standings":
+        empty = f"size({_at('e', 'table', 'array<variant>')}) = 0"
+        entries.append(_entry("standings_schema", "error", _when(empty, "minItems"), "table"))
+    if "consistency" in families:
+        entries += _consistency_entries(entity)
+    if not entries:
         return None
-    cells = [
-        F.when(condition, F.struct(F.lit(level).alias("level"), F.lit(rule).alias("rule"))) for level, rule, condition in rules
-    ]
-    found = items(envelopes, entity).select(
-        F.concat_ws("/", "_batch", "_file").alias("payload"),
-        "_pos",
-        V.get(e, "id").alias("value"),
-        F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x"),
-    )
-    return found.select(
-        F.lit(f"{entity}_consistency").alias("validator"),
-        "x.level",
-        "payload",
-        F.col("_pos").cast("string").alias("position"),
-        "x.rule",
-        F.lit(None).cast("string").alias("field"),
-        "value",
-    )
+    return _emit(items(envelopes, entity), _PAYLOAD_OF_ITEM, "_pos", entries)
 
 
-# Which finding operators a validator family needs.
-FAMILIES = {
-    "schema": (list_findings, schema_findings, duplicate_findings),
-    "completeness": (list_findings,),
-    "uniqueness": (list_findings, duplicate_findings),
-    "consistency": (list_findings, consistency_findings),
-}
+def table_findings(envelopes: DataFrame) -> DataFrame:
+    """Structure findings about the rows of standings tables."""
+    entries = _schema_entries("standings", TABLE_ROW_FIELDS)
+    return _emit(table_rows(envelopes), _PAYLOAD_OF_ITEM, "_pos", entries)
 
 
-def findings(envelopes: DataFrame, families: Sequence[str] = tuple(FAMILIES)) -> DataFrame:
+def findings(envelopes: DataFrame, families: Sequence[str] = ALL_FAMILIES) -> DataFrame:
     """Everything the payload validators have to say, one row per finding:
-    ``validator, level, payload, position, rule, field, value``."""
-    operators = dict.fromkeys(op for family in families for op in FAMILIES[family])
-    parts = [op(envelopes, entity) for entity in ELEMENT_FIELDS for op in operators]
+    ``validator, level, payload, position, rule, field, value``.
+
+    Two narrow passes per entity, neither of which shuffles.
+    """
+    parts = []
+    for entity in ELEMENT_FIELDS:
+        parts += [payload_findings(envelopes, entity, families), element_findings(envelopes, entity, families)]
+    if "schema" in families:
+        parts.append(table_findings(envelopes))
     return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
