@@ -104,7 +104,9 @@ def fact_match(t):
 @query(
     "mut_fact_standing",
     f"""WITH {S.X_CLEAN}, {S.standing_cte('x_standing', False)}, {_BUSIEST} SELECT * FROM x_standing UNION ALL
-    SELECT season_id, competition_id, team_id, 'MUTATED', 'MUTATED', 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM anchor""",
+    SELECT season_id, competition_id, coalesce((SELECT min(s_suppkey) FROM supplier WHERE s_suppkey NOT IN (SELECT x.team_id
+      FROM x_standing x, anchor a WHERE x.season_id = a.season_id AND x.competition_id = a.competition_id)), team_id),
+      'MUTATED', 'MUTATED', 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM anchor""",
 )
 def fact_standing(t):
     return mutations.insert_zero_standing(testbed.entity_tables(t), ENTITY_LAYOUT)
@@ -123,6 +125,19 @@ def star_fact_match(t):
     return mutations.insert_bad_match(testbed.star_tables(t), STAR_LAYOUT, testbed.BASELINE_RUN, STAR_NAMES)
 
 
+@query(
+    "mut_star_fact_standing",
+    f"""WITH {S.CLEAN_STAR}, busiest AS (SELECT competition_id FROM fact_match_clean GROUP BY competition_id
+      ORDER BY count(*) DESC, competition_id LIMIT 1)
+    SELECT season_id, competition_id, team_id, standing_type, played_games, points FROM fact_standing_clean UNION ALL
+    (SELECT season_id, competition_id, coalesce(home_team_id, away_team_id), 'MUTATED', 0, 0 FROM fact_match_clean
+      WHERE competition_id = (SELECT competition_id FROM busiest) ORDER BY match_id LIMIT 1)""",
+)
+def star_fact_standing(t):
+    changed = mutations.insert_zero_standing(testbed.star_tables(t), STAR_LAYOUT, testbed.BASELINE_RUN, STAR_NAMES)
+    return changed.select("season_id", "competition_id", "team_id", "standing_type", "played_games", "points")
+
+
 @query(
     "mut_dim_competition",
     f"""WITH {S.ENTITIES} SELECT id, area_id, CASE WHEN id = m THEN 'MUTATED_COMP' ELSE name END AS name,

@@ -170,14 +170,24 @@ def insert_bad_match(tables: Mapping[str, DataFrame], at: Layout, run_id: str |
     return _append(matches, anchor, values, keys)
 
 
+def _without_standing(anchor: DataFrame, standings: DataFrame, teams: DataFrame, at: Layout) -> DataFrame:
+    """The anchor with the smallest team that has no standing there yet, so that only the zeros are wrong."""
+    row = anchor.select("competition_id", "season_id")
+    ranked = standings.filter(
+        (F.col("competition_id") == row.select("competition_id").scalar()) & (F.col("season_id") == row.select("season_id").scalar())
+    ).select("team_id")
+    free = teams.select(F.col(at.team_key).alias("team_id")).join(ranked, "team_id", "left_anti").agg(F.min("team_id"))
+    return anchor.withColumn("team_id", F.coalesce(free.scalar(), F.col("team_id")))
+
+
 def insert_zero_standing(tables: Mapping[str, DataFrame], at: Layout, run_id: str | None = None, names: Mapping[str, str] | None = None):
     """A standing row in which nothing was ever played."""
     n = names or {}
-    standings = tables[n.get("standings", "standings")]
+    standings, teams = tables[n.get("standings", "standings")], tables[n.get("teams", "teams")]
     anchor = _anchor(
         tables[n.get("matches", "matches")],
         tables[n.get("competitions", "competitions")],
-        tables[n.get("teams", "teams")],
+        teams,
         tables[n["seasons"]] if "seasons" in n else None,
         at,
     )
@@ -189,7 +199,9 @@ def insert_zero_standing(tables: Mapping[str, DataFrame], at: Layout, run_id: st
         "stage": f"'{MUTATED}'",
     }
     keys = ["season_id", "competition_id", "team_id", at.standing_type]
-    if run_id is not None:
+    if run_id is None:
+        anchor = _without_standing(anchor, standings, teams, at)
+    else:
         values["run_id"] = f"'{run_id}'"
         keys = ["run_id", *keys]
     return _append(standings, anchor, values, keys)

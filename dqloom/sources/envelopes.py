@@ -112,18 +112,20 @@ def latest_per_entity(envelopes: DataFrame) -> DataFrame:
 
 def newest_run_folder(spark: SparkSession, root: str, pattern: str = "*") -> str | None:
     """Run folder below ``root`` holding the most recently written payload."""
+    folder = F.regexp_replace("path", "/(batch_[^/]+/)?(payloads/)?[^/]+$", "").alias("folder")
+    found = None
     for glob in LAYOUTS:
         try:
             files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{pattern}/{glob}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         # Only the listing is read: the content column is pruned.
-        folder = F.regexp_replace("path", "/(batch_[^/]+/)?(payloads/)?[^/]+$", "")
-        newest = files.groupBy(folder.alias("folder")).agg(F.max("modificationTime").alias("ts"))
-        row = newest.orderBy(F.desc("ts"), F.desc("folder")).limit(1).head()
-        if row:
-            return row["folder"]
-    return None
+        newest = files.groupBy(folder).agg(F.max("modificationTime").alias("ts"))
+        found = newest if found is None else found.unionByName(newest)
+    row = found.orderBy(F.desc("ts"), F.desc("folder")).head() if found is not None else None
+    return row["folder"] if row else None
 
 
 def main_run(envelopes: DataFrame, preferred_prefix: str = "manual__") -> DataFrame:
