@@ -110,8 +110,11 @@ def test_mutations_trip_the_expected_extract_and_load_checks(clean):
     assert found(suites.SODA, "L", "season_dates_missing") == {"mart_kpi_missing_dates": n}
     assert found(suites.SODA, "L", "duplicate_first", "season_dates_missing") == {"mart_kpi_missing_dates": n + 1}
     assert found(suites.GX, "L", "fact_match") == {"mart_kpi_rate_out_of_bounds": 1}
-    # A row in which nothing was played gives no rate, so no bound is broken.
-    assert found(suites.SODA, "L", "fact_standing") == {}
+    # A row in which nothing was played gives no rate, so no bound is broken; it is planted for a team without standing.
+    newcomer = clean["teams"].limit(1).withColumn("id", F.lit(777).cast("bigint"))
+    roomy = mutations.apply({**clean, "teams": clean["teams"].unionByName(newcomer)}, entity_mutation("fact_standing"))
+    assert failed(fusion.evaluate("soda", "L", suites.SODA.checks("L"), roomy).collect()) == {}
+    assert roomy["standings"].filter("type = 'MUTATED'").first()["team_id"] == 777
     assert found(suites.DEEQU, "T", "fact_standing") == {"played_games_positive": 1}
     assert found(suites.DEEQU, "L", "drop_matches_key") == {}
 
