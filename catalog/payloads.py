@@ -236,7 +236,7 @@ def struct_findings(t):
     FROM num WHERE entity = 'teams' AND k % 17 = 0""",
 )
 def struct_rows(t):
-    return structure.element_findings(rawbed.envelopes(t), "teams").select("payload", "position", "rule", "field")
+    return structure.element_findings(rawbed.envelopes(t), ["teams"]).select("payload", "position", "rule", "field")
 
 
 @query(
@@ -245,11 +245,7 @@ def struct_rows(t):
     WHERE entity <> 'standings' AND NOT no_list AND n > 0 AND k % 31 = 0 GROUP BY ALL""",
 )
 def declared_count(t):
-    raw = rawbed.envelopes(t)
-    found = None
-    for entity in ("areas", "competitions", "teams", "matches"):
-        rows = structure.payload_findings(raw, entity, ["completeness"]).filter("rule = 'declared_count'")
-        found = rows if found is None else found.unionByName(rows)
+    found = structure.payload_findings(rawbed.envelopes(t), families=["completeness"]).filter("rule = 'declared_count'")
     return found.groupBy(F.col("field").alias("entity")).agg(F.count(F.lit(1)).alias("payloads"))
 
 

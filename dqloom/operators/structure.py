@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqloom.operators.flatten import items, table_rows
+from dqloom.operators.flatten import table_rows
 
 INT_NULL, STR_NULL = ("integer", "null"), ("string", "null")
 
@@ -165,15 +165,27 @@ def _when(condition: str, rule: str) -> str:
     return f"CASE WHEN {condition} THEN '{rule}' END"
 
 
-def _emit(df: DataFrame, payload: str, position: str, entries: Sequence[str], more: str = "") -> DataFrame:
-    """One row per broken rule; ``entries`` are structs whose rule is NULL when it holds."""
-    broken = f"filter(array({', '.join(entries)}), x -> x.rule IS NOT NULL)"
-    listed = f"concat({broken}, {more})" if more else broken
-    rows = df.selectExpr(f"{payload} AS payload", f"cast({position} AS STRING) AS position", f"inline({listed})")
-    return rows.select(*COLUMNS)
+def _by_entity(arrays: dict[str, str]) -> str:
+    """The array that belongs to a row's entity."""
+    return "CASE entity " + " ".join(f"WHEN '{e}' THEN {array}" for e, array in arrays.items()) + " END"
 
 
-_PAYLOAD_OF_ITEM = "concat_ws('/', _batch, _file)"
+def _broken(entries: Sequence[str]) -> str:
+    """The entries whose rule is broken."""
+    return f"filter(array({', '.join(entries)}), x -> x.rule IS NOT NULL)"
+
+
+def _emit(df: DataFrame, payload: str, position: str, arrays: dict[str, str]) -> DataFrame:
+    """One row per broken rule; every row is judged by the rules of its entity."""
+    found = f"inline({_by_entity(arrays)})"
+    return df.selectExpr(f"{payload} AS payload", f"cast({position} AS STRING) AS position", found).select(*COLUMNS)
+
+
+def _listed(envelopes: DataFrame, entities: Sequence[str]) -> DataFrame:
+    """Payloads of some entities with their list (NULL when absent or no list)."""
+    lists = _by_entity({e: _at("body", e, "array<variant>") for e in entities})
+    own = envelopes.filter(F.col("entity").isin(*entities))
+    return own.selectExpr("concat_ws('/', batch_id, source_file) AS payload", "entity", "body", f"{lists} AS list")
 
 
 def _ids(entity: str) -> str:
@@ -187,13 +199,8 @@ def _ids(entity: str) -> str:
     return f"array_sort(filter({ids}, x -> x IS NOT NULL))"
 
 
-def payload_findings(envelopes: DataFrame, entity: str, families: Sequence[str] = ALL_FAMILIES) -> DataFrame:
-    """Findings about a payload as a whole: its list, its declared count, its repeated identifiers."""
-    rows = envelopes.filter(F.col("entity") == entity).selectExpr(
-        "concat_ws('/', batch_id, source_file) AS payload",
-        "body",
-        f"{_at('body', entity, 'array<variant>')} AS list",
-    )
+def _payload_entries(entity: str, families: Sequence[str]) -> str:
+    """Array of findings about a payload of an entity: its list, its declared count, its repeated identifiers."""
     entries = []
     if "schema" in families:
         schema = f"{entity}_schema"
@@ -226,15 +233,22 @@ def payload_findings(envelopes: DataFrame, entity: str, families: Sequence[str]
     if "uniqueness" in families:
         validators.append((f"{entity}_uniqueness", "warning" if entity == "standings" else "error"))
     if not validators:
-        return _emit(rows, "payload", "NULL", entries)
+        return _broken(entries)
     # A repeated value equals its right neighbour; a payload is one row, so this needs no shuffle.
-    pairs = "zip_with(ids, slice(ids, 2, greatest(size(ids), 0)), (a, b) -> CASE WHEN a = b THEN a END)"
-    twice = f"coalesce(array_distinct(filter({pairs}, x -> x IS NOT NULL)), array())"
-    named = ", ".join(
-        _entry(v, level, "'duplicate_id'", ".".join(UNIQUE_ID[entity]), "x") for v, level in validators
-    )
-    rows = rows.withColumn("ids", F.expr(_ids(entity))).withColumn("twice", F.expr(twice))
-    return _emit(rows, "payload", "NULL", entries, f"flatten(transform(twice, x -> array({named})))")
+    named = ", ".join(_entry(v, level, "'duplicate_id'", ".".join(UNIQUE_ID[entity]), "x") for v, level in validators)
+    return f"concat({_broken(entries)}, flatten(transform(twice, x -> array({named}))))"
+
+
+def payload_findings(
+    envelopes: DataFrame, entities: Sequence[str] = tuple(ELEMENT_FIELDS), families: Sequence[str] = ALL_FAMILIES
+) -> DataFrame:
+    """Findings about payloads as a whole, for any number of entities in one pass without a shuffle."""
+    rows = _listed(envelopes, entities)
+    if "schema" in families or "uniqueness" in families:
+        pairs = "zip_with(ids, slice(ids, 2, greatest(size(ids), 0)), (a, b) -> CASE WHEN a = b THEN a END)"
+        twice = f"coalesce(array_distinct(filter({pairs}, x -> x IS NOT NULL)), array())"
+        rows = rows.withColumn("ids", F.expr(_by_entity({e: _ids(e) for e in entities}))).withColumn("twice", F.expr(twice))
+    return _emit(rows, "payload", "NULL", {e: _payload_entries(e, families) for e in entities})
 
 
 def _period(value: str, path: str) -> tuple[str, str]:
@@ -267,47 +281,56 @@ def _consistency_entries(entity: str) -> list[str]:
     return [_entry(f"{entity}_consistency", level, _when(cond, rule), value=ident) for level, rule, cond in rules]
 
 
+def _is_object() -> Column:
+    return F.expr(f"{_at('e', '', 'struct<>')} IS NOT NULL")
+
+
 def _schema_entries(entity: str, fields: Sequence[Field]) -> list[str]:
     """Broken structure rules of one element; an element that is no object breaks just that one."""
-    whole = f"{_at('e', '', 'struct<>')} IS NULL"
-    entries = [_entry(f"{entity}_schema", "error", _when(whole, "type"), "")]
+    entries = [_entry(f"{entity}_schema", "error", _when("NOT is_object", "type"), "")]
     for f in fields:
         case = _rule_case("e", f)
         if f.required:
-            case = f"CASE WHEN {whole} THEN NULL ELSE {case} END"
+            case = f"CASE WHEN is_object THEN {case} END"
         entries.append(_entry(f"{entity}_schema", "error", case, ".".join(f.path)))
     return entries
 
 
-def element_findings(envelopes: DataFrame, entity: str, families: Sequence[str] = ALL_FAMILIES) -> DataFrame | None:
-    """Findings about single list elements; None when no rule of the families looks at them."""
+def _element_entries(entity: str, families: Sequence[str]) -> list[str]:
     schema = "schema" in families
     entries = _schema_entries(entity, ELEMENT_FIELDS[entity]) if schema else []
     if schema and entity == "standings":
         empty = f"size({_at('e', 'table', 'array<variant>')}) = 0"
         entries.append(_entry("standings_schema", "error", _when(empty, "minItems"), "table"))
-    if "consistency" in families:
-        entries += _consistency_entries(entity)
-    if not entries:
+    return entries + (_consistency_entries(entity) if "consistency" in families else [])
+
+
+def element_findings(
+    envelopes: DataFrame, entities: Sequence[str] = tuple(ELEMENT_FIELDS), families: Sequence[str] = ALL_FAMILIES
+) -> DataFrame | None:
+    """Findings about single list elements, for any number of entities in one pass; None when no rule looks at them."""
+    arrays = {e: _element_entries(e, families) for e in entities}
+    arrays = {e: _broken(entries) for e, entries in arrays.items() if entries}
+    if not arrays:
         return None
-    return _emit(items(envelopes, entity), _PAYLOAD_OF_ITEM, "_pos", entries)
+    elements = _listed(envelopes, list(arrays)).selectExpr("payload", "entity", "posexplode(list) AS (_pos, e)")
+    return _emit(elements.withColumn("is_object", _is_object()), "payload", "_pos", arrays)
 
 
 def table_findings(envelopes: DataFrame) -> DataFrame:
     """Structure findings about the rows of standings tables."""
-    entries = _schema_entries("standings", TABLE_ROW_FIELDS)
-    return _emit(table_rows(envelopes), _PAYLOAD_OF_ITEM, "_pos", entries)
+    rows = table_rows(envelopes).withColumns({"entity": F.lit("standings"), "is_object": _is_object()})
+    return _emit(rows, "concat_ws('/', _batch, _file)", "_pos", {"standings": _broken(_schema_entries("standings", TABLE_ROW_FIELDS))})
 
 
 def findings(envelopes: DataFrame, families: Sequence[str] = ALL_FAMILIES) -> DataFrame:
     """Everything the payload validators have to say, one row per finding:
     ``validator, level, payload, position, rule, field, value``.
 
-    Two narrow passes per entity, neither of which shuffles.
+    Three passes over the payloads, none of which shuffles: whole payloads, list
+    elements, rows of nested tables.
     """
-    parts = []
-    for entity in ELEMENT_FIELDS:
-        parts += [payload_findings(envelopes, entity, families), element_findings(envelopes, entity, families)]
+    parts = [payload_findings(envelopes, families=families), element_findings(envelopes, families=families)]
     if "schema" in families:
         parts.append(table_findings(envelopes))
     return reduce(DataFrame.unionByName, [p for p in parts if p is not None])

@@ -43,7 +43,7 @@ def match(i, **changes):
 
 
 def rules(df, entity="matches"):
-    return sorted((r["rule"], r["field"]) for r in structure.element_findings(df, entity, ["schema"]).collect())
+    return sorted((r["rule"], r["field"]) for r in structure.element_findings(df, [entity], ["schema"]).collect())
 
 
 def statuses(df):
@@ -54,7 +54,7 @@ def test_key_and_completeness_of_lists(spark):
     df = envelopes(spark, {}, {"matches": None}, {"matches": []})
     facts = native.envelope_facts(df)
     assert facts.filter("NOT has_key").count() == 1
-    found = structure.payload_findings(df, "matches", ["completeness"])
+    found = structure.payload_findings(df, ["matches"], ["completeness"])
     assert found.filter("rule = 'list_missing_or_empty'").count() == 3
 
 
@@ -105,7 +105,7 @@ def test_scorers(spark):
 def test_consistency_of_matches(spark):
     season = {"id": 1, "startDate": "2024-12-31", "endDate": "2024-01-01"}
     items = [match(1, season=season), match(2, homeTeam="DROP", awayTeam="DROP"), match(3, utcDate="2030-01-01T00:00:00Z")]
-    found = structure.element_findings(envelopes(spark, {"matches": items}), "matches", ["consistency"]).collect()
+    found = structure.element_findings(envelopes(spark, {"matches": items}), ["matches"], ["consistency"]).collect()
     got = sorted((r["position"], r["level"], r["rule"]) for r in found)
     assert ("0", "error", "period_reversed") in got
     assert ("1", "error", "same_team") in got
