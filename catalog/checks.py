@@ -142,7 +142,7 @@ table_check(
 )
 table_check(
     "chk_text_dupes",
-    C.duplicate_groups("text_unique", "documents", "text"),
+    C.duplicate_groups("text_unique", "documents", "text", wide=True),
     S.duplicates("documents", "text"),
 )
 table_check(
@@ -236,6 +236,12 @@ def failrows_unmatched_rows(t):
     return fusion.failing_rows(check, {"documents": t["documents"], "labels": t["labels"]}).select("doc_id", "lang", "source", "n_chars")
 
 
+@query("failrows_text_dupes", "SELECT text, count(*) AS cnt FROM documents GROUP BY text HAVING count(*) > 1")
+def failrows_text_dupes(t):
+    check = C.duplicate_groups("text_unique", "documents", "text", wide=True)
+    return fusion.failing_rows(check, {"documents": t["documents"]})
+
+
 @query(
     "failrows_drill_down",
     f"WITH {S.X_STANDING} SELECT season_id, competition_id, team_id, points FROM x_standing WHERE points <> won * 3 + draw "

@@ -59,6 +59,7 @@ class Check:
     severity: str = ERROR
     show: tuple[str, ...] = ()
     tags: tuple[str, ...] = ()
+    wide: bool = False
 
     def tables(self) -> set[str]:
         names = {self.table} | {r.parent for r in self.refs}
@@ -79,13 +80,14 @@ def rows_where(name: str, table: str, rule: str, group: str = CORRUPTION, show:
     return Check(name, table, ROWS, rule=rule, group=group, show=show)
 
 
-def duplicate_groups(name: str, table: str, *keys: str, count_null_keys: bool = True) -> Check:
+def duplicate_groups(name: str, table: str, *keys: str, count_null_keys: bool = True, wide: bool = False) -> Check:
     """Key values held by more than one row.
 
     ``count_null_keys=False`` ignores rows with an incomplete key; otherwise the
-    NULLs form a group of their own.
+    NULLs form a group of their own.  ``wide`` is for long values such as texts:
+    only rows whose digest repeats are shuffled by value.
     """
-    return Check(name, table, GROUPS, keys=keys, count_null_keys=count_null_keys, group=DUPLICATES)
+    return Check(name, table, GROUPS, keys=keys, count_null_keys=count_null_keys, group=DUPLICATES, wide=wide)
 
 
 def orphans(name: str, table: str, *refs: Ref, show: tuple[str, ...] = ()) -> Check:

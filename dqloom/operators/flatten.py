@@ -7,7 +7,7 @@ raises instead, as a typed load into a database would.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,18 +20,27 @@ from dqloom.plans.tables import ENTITY_SCHEMAS, STAR
 ARRIVAL = ("_batch", "_file", "_pos")
 
 
+def unrolled(df: DataFrame, kept: Sequence[Column | str], elements: Column, position: str, element: str) -> DataFrame:
+    """Explode with positions.
+
+    Rows without elements are dropped after the outer explode: an inner one makes
+    the optimizer also filter on the list's size, which extracts every list twice.
+    """
+    return df.select(*kept, F.posexplode_outer(elements).alias(position, element)).filter(F.col(position).isNotNull())
+
+
 def items(envelopes: DataFrame, entity: str, *, keep_body: bool = False) -> DataFrame:
     """One row per list element of an entity: ``e`` plus arrival order."""
     rows = envelopes.filter(F.col("entity") == entity)
     kept = [F.col("batch_id").alias("_batch"), F.col("source_file").alias("_file")]
     kept += [F.col("body")] if keep_body else []
-    return rows.select(*kept, F.posexplode(V.elements(F.col("body"), entity)).alias("_pos", "e"))
+    return unrolled(rows, kept, V.elements(F.col("body"), entity), "_pos", "e")
 
 
 def table_rows(envelopes: DataFrame) -> DataFrame:
     """Standings are nested twice: groups ``g`` of table rows ``e``."""
     groups = items(envelopes, "standings", keep_body=True).withColumnsRenamed({"e": "g", "_pos": "_group"})
-    rows = groups.select("*", F.posexplode(V.elements(F.col("g"), "table")).alias("_row", "e"))
+    rows = unrolled(groups, ["*"], V.elements(F.col("g"), "table"), "_row", "e")
     return rows.withColumn("_pos", F.struct("_group", "_row")).drop("_group", "_row")
 
 

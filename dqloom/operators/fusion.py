@@ -58,6 +58,9 @@ def _duplicate_rules(table: DataFrame, keys: Sequence[str], members: Sequence[tu
     aggregates = [
         f"count_if(cnt > 1{'' if check.count_null_keys else f' AND {whole}'}) AS _c{pos}" for pos, check in members
     ]
+    kept = kept.select(*keys)
+    if all(c.wide for _, c in members):
+        kept = K.repeated_by_digest(kept, keys)
     return _melt(K.group_sizes(kept, keys).selectExpr(*aggregates), {pos: f"_c{pos}" for pos, _ in members})
 
 
@@ -219,7 +222,7 @@ def failing_rows(check: Check, tables: Tables) -> DataFrame:
     if check.count == C.ROWS:
         return table.filter(check.rule).select(*shown)
     if check.count == C.GROUPS:
-        return K.duplicated(table, check.keys, check.count_null_keys)
+        return K.duplicated(table, check.keys, check.count_null_keys, check.wide)
     if check.count == C.ORPHANS:
         parts = [
             K.orphan_rows(table, tables[ref.parent], ref).select(F.lit(ref.label).alias("ref_type"), *shown) for ref in check.refs

@@ -31,10 +31,22 @@ def group_sizes(df: DataFrame, keys: Sequence[str], size: str = "cnt") -> DataFr
     return df.groupBy(*keys).agg(F.expr(f"count(1) AS {size}"))
 
 
-def duplicated(df: DataFrame, keys: Sequence[str], count_null_keys: bool = True) -> DataFrame:
+def repeated_by_digest(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose 64-bit key digest occurs more than once.
+
+    A digest collision only keeps rows that the exact grouping afterwards tells
+    apart, so nothing is lost or invented; distinct values never travel.
+    """
+    digest = F.expr(f"xxhash64({', '.join(keys)})").alias("_digest")
+    repeated = group_sizes(df.select(digest), ["_digest"]).filter("cnt > 1").select("_digest")
+    return df.select("*", digest).join(repeated, "_digest", "left_semi").drop("_digest")
+
+
+def duplicated(df: DataFrame, keys: Sequence[str], count_null_keys: bool = True, wide: bool = False) -> DataFrame:
     """Duplicate key groups with their size."""
     kept = df if count_null_keys else df.filter(complete(keys))
-    return group_sizes(kept, keys).filter("cnt > 1")
+    kept = kept.select(*keys)
+    return group_sizes(repeated_by_digest(kept, keys) if wide else kept, keys).filter("cnt > 1")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqloom.operators.flatten import table_rows
+from dqloom.operators.flatten import table_rows, unrolled
 
 INT_NULL, STR_NULL = ("integer", "null"), ("string", "null")
 
@@ -313,7 +313,7 @@ def element_findings(
     arrays = {e: _broken(entries) for e, entries in arrays.items() if entries}
     if not arrays:
         return None
-    elements = _listed(envelopes, list(arrays)).selectExpr("payload", "entity", "posexplode(list) AS (_pos, e)")
+    elements = unrolled(_listed(envelopes, list(arrays)), ["payload", "entity"], F.col("list"), "_pos", "e")
     return _emit(elements.withColumn("is_object", _is_object()), "payload", "_pos", arrays)
 
 

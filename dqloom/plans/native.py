@@ -120,15 +120,16 @@ def payload_results(envelopes: DataFrame, suites: Sequence[str] = tuple(PAYLOAD_
     counts = []
     for i, (_, v) in enumerate(wanted):
         counts += [f"count_if(validator = '{v}' AND level = '{level}') AS {level[0]}{i}" for level in ("error", "warning")]
-    entities = list(routing.ENDPOINT_PATTERNS)
-    seen = envelopes.selectExpr(*[f"count_if(entity = '{e}') AS {e}" for e in entities])
-    one = found.selectExpr(*counts).select("*", *[seen.select(e).scalar().alias(f"seen_{e}") for e in entities])
+    # One small map (an entry per entity) from one pass over the envelopes.
+    per_entity = envelopes.filter("entity IS NOT NULL").groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    seen = per_entity.agg(F.map_from_entries(F.collect_list(F.struct("entity", "n"))))
+    one = found.selectExpr(*counts).withColumn("seen", seen.scalar())
     cells = []
     for i, (suite, v) in enumerate(wanted):
         severity = C.WARNING if v in WARNING_ONLY else C.ERROR
         cells.append(
             f"named_struct('suite', '{suite}', 'name', '{v}', 'sev', '{severity}', 'errors', e{i}, 'warnings', w{i}, "
-            f"'payloads', seen_{v.split('_')[0]})"
+            f"'payloads', coalesce(try_element_at(seen, '{v.split('_')[0]}'), 0))"
         )
     status = f"CASE WHEN payloads = 0 THEN '{C.SKIP}' ELSE {fusion.status_of('errors', 'sev')} END"
     return one.selectExpr(f"inline(array({', '.join(cells)}))").selectExpr(

@@ -141,7 +141,8 @@ def stage_e_tables(envelopes: DataFrame, run_id: str | None = None) -> dict[str,
     if run_id is not None:
         ok = ok.filter(F.col("run_id") == run_id)
     numbered = ok.withColumn("id", F.concat_ws("/", "batch_id", "source_file"))
-    items = numbered.select("id", "endpoint", F.explode(V.elements(F.col("body"), "matches")).alias("m"))
+    # Outer and filtered afterwards, see flatten.unrolled.
+    items = numbered.select("id", "endpoint", F.explode_outer(V.elements(F.col("body"), "matches")).alias("m")).filter("m IS NOT NULL")
     return {
         "stg_payloads": numbered.select("id", "endpoint", "http_status", V.has_key(F.col("body"), "matches").alias("has_key")),
         "stg_matches": items.select(

@@ -20,6 +20,8 @@ def test_null_keys_form_a_group_only_when_asked(spark):
     t = spark.createDataFrame([(None,), (None,), (1,), (1,), (2,)], "id BIGINT")
     assert count(C.duplicate_groups("u", "t", "id"), t=t) == 2
     assert count(C.duplicate_groups("u", "t", "id", count_null_keys=False), t=t) == 1
+    assert count(C.duplicate_groups("u", "t", "id", wide=True), t=t) == 2
+    assert count(C.duplicate_groups("u", "t", "id", count_null_keys=False, wide=True), t=t) == 1
 
 
 def test_null_is_in_every_set(spark):
