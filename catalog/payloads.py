@@ -271,6 +271,28 @@ def native_payloads(t):
     return results.select("suite", "check_name", "status", "rows_failed", "message")
 
 
+# Only the newest good event of every entity.
+LATEST = EVENTS.replace(
+    "FROM events)",
+    """FROM events WHERE event_id IN (SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type
+      ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE NOT (event_type = 'error' AND
+      CAST(json_extract_string(props, '$.k') AS INTEGER) >= 90)) WHERE rn = 1))""",
+)
+
+
+@query(
+    "suite_native_latest_payloads",
+    f"""WITH {LATEST}, found AS ({FINDINGS}), validators(suite, name, soft, entity) AS (VALUES {_VALIDATORS}),
+    totals AS (SELECT name, soft, v.entity,
+      CAST(coalesce((SELECT sum(findings) FROM found f WHERE f.validator = v.name AND f.level = 'error'), 0) AS BIGINT) AS errors
+      FROM validators v)
+    SELECT name AS check_name, CASE WHEN entity = 'scorers' THEN 'SKIP' WHEN errors = 0 THEN 'PASS' WHEN soft THEN 'WARN' ELSE 'FAIL'
+      END AS status, errors AS rows_failed FROM totals""",
+)
+def native_latest(t):
+    return native.latest_payload_results(rawbed.envelopes(t), rawbed.RUN).select("check_name", "status", "rows_failed")
+
+
 # --- flatten ---------------------------------------------------------------------------------------------------------
 
 ETL = {
@@ -356,6 +378,14 @@ for _table, (_columns, _sql) in ENTITIES.items():
     )
 
 
+@query(
+    "etl_load_counts",
+    f"""WITH {EVENTS} SELECT entity AS "table", count(*) AS rows FROM el GROUP BY ALL""",
+)
+def load_counts(t):
+    return flatten.row_counts(flatten.load_entities(rawbed.envelopes(t)))
+
+
 def _source_gate(gate: str):
     def build(t):
         raw = rawbed.envelopes(t)

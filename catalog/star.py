@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog import sql as S
-from dqloom.operators import keys, marts
+from dqloom.operators import flatten, keys, marts
 from dqloom.plans import testbed
 
 
@@ -38,6 +38,15 @@ def top_teams(t):
     return marts.snapshot(testbed.star_tables(t, True)["mart_team"], "mart_team")
 
 
+@query(
+    "rpt_post_rows",
+    f"""WITH {S.MARTS} SELECT 'mart_kpi' AS "table", count(*) AS rows FROM mart_kpi UNION ALL SELECT 'mart_team', count(*) FROM mart_team""",
+)
+def post_rows(t):
+    star = testbed.star_tables(t, True)
+    return flatten.row_counts({n: star[n] for n in ("mart_kpi", "mart_team")})
+
+
 @query("etl_dedupe_first", f"WITH {S.STAR} SELECT * FROM fact_match")
 def dedupe_first(t):
     return testbed.star_tables(t, True)["fact_match"]

@@ -6,6 +6,7 @@ A check names a table and states how to count violations.  It is plain data;
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 
 # Severities, outcome words and rule groups.
@@ -114,6 +115,16 @@ def none_invented(name: str, target: str, target_keys: tuple[str, ...], source:
     )
 
 
+def configured(checks: Iterable[Check], config: Mapping[str, Mapping]) -> tuple[Check, ...]:
+    """Checks with per-check settings applied: ``{name: {enabled, severity}}``; unnamed checks stay as declared."""
+    out = []
+    for check in checks:
+        settings = config.get(check.name, {})
+        if settings.get("enabled", True):
+            out.append(replace(check, severity=str(settings.get("severity", check.severity)).lower()))
+    return tuple(out)
+
+
 @dataclass(frozen=True)
 class Suite:
     """Named checks per stage."""

@@ -8,6 +8,7 @@ raises instead, as a typed load into a database would.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -274,3 +275,9 @@ def source_keys(envelopes: DataFrame) -> dict[str, DataFrame]:
         .filter("season_id IS NOT NULL AND team_id IS NOT NULL")
     )
     return out
+
+
+def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows per table: ``table, rows``."""
+    counts = [df.selectExpr(f"'{name}' AS table", "count(1) AS rows") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from dqloom.functions import routing
 from dqloom.operators import checks as C
-from dqloom.operators import fusion, mutations
+from dqloom.operators import diff, flatten, fusion, marts, mutations
 from dqloom.operators.ledger import validation_run_id
+from dqloom.plans import native
 from dqloom.plans.strategies import STAGES, Strategy
 from dqloom.plans.suites import ENTITY_SUITES, STAR_SUITES
+from dqloom.sources import envelopes as E
 
 BASELINE = "baseline"
 
@@ -87,6 +89,52 @@ def run_entity_plan(tables: Mapping[str, DataFrame], plan: Sequence[Iteration],
     return reduce(DataFrame.unionByName, [results_of(name, version, strategy) for name, version in versions])
 
 
+@dataclass
+class PayloadOutcome:
+    """What became of one payload-level iteration."""
+
+    name: str
+    stopped_at: str | None
+    results: list
+    star: dict[str, DataFrame] | None = None
+    changes: dict[str, DataFrame] | None = None
+
+
+def run_payload_iteration(
+    envelopes: DataFrame,
+    source_run: str,
+    iteration: Iteration,
+    baseline_marts: Mapping[str, DataFrame] | None = None,
+    staging: bool = True,
+    skip_gates: Sequence[str] = (),
+) -> PayloadOutcome:
+    """Copy a staged run with defects, gate it, load it with more defects, gate again, compare the marts.
+
+    Stops at the first gate that fails (``skip_gates`` leaves some out).  All
+    tables stay lazy; only check results come back.
+    """
+    run_id = f"{routing.EXPERIMENT_PREFIX}{iteration.name.replace(' ', '_')}"
+
+    def mutate(copied: DataFrame) -> DataFrame:
+        for entity, action in iteration.staging:
+            seed = iteration.seed or mutations.mutation_seed(run_id, "STG", entity, action)
+            copied = mutations.mutate_payloads(copied, entity, action, iteration.swaps, seed)
+        return copied
+
+    copied = E.copy_run(envelopes, source_run, run_id, mutate)
+    gates = [g for g in native.staging_gates(copied) if g[0] not in skip_gates] if staging else []
+    rows, stopped = native.run_gates(gates, enforce=False)
+    if stopped:
+        return PayloadOutcome(iteration.name, stopped, rows)
+    star = mutations.apply(flatten.load_star(copied, run_id), *iteration.star_mutations(run_id))
+    more, stopped = native.run_gates([g for g in native.star_gates(star, copied) if g[0] not in skip_gates], enforce=False)
+    if stopped:
+        return PayloadOutcome(iteration.name, stopped, rows + more, star)
+    found = marts.add_marts(star)
+    changes = diff.compare_marts(dict(baseline_marts), found, marts.MART_KEYS) if baseline_marts else None
+    return PayloadOutcome(iteration.name, None, rows + more, star, changes)
+
+
 @dataclass
 class StageRun:
     """One measured evaluation of one suite at one stage."""

@@ -14,6 +14,7 @@ from dqloom.operators import flatten, fusion, structure
 from dqloom.operators.checks import Check, Ref, Suite
 from dqloom.operators.marts import uneven_home_away
 from dqloom.plans.suites import STATUS
+from dqloom.sources import envelopes as E
 
 # Payload validators by suite, in the order the suites gate.
 PAYLOAD_SUITES = {
@@ -144,6 +145,15 @@ def payload_results(envelopes: DataFrame, suites: Sequence[str] = tuple(PAYLOAD_
     )
 
 
+def latest_payload_results(envelopes: DataFrame, run_id: str) -> DataFrame:
+    """The payload validators on the newest good payload of every entity of a run.
+
+    A validator belongs to the entity its name starts with; entities without a
+    payload are skipped.
+    """
+    return payload_results(E.latest_per_entity(envelopes.filter(F.col("run_id") == run_id)))
+
+
 def ingestion_results(envelopes: DataFrame) -> DataFrame:
     return fusion.evaluate("ingestion", "STG", INGESTION.checks("STG"), {"envelopes": envelope_facts(envelopes)})
 

@@ -196,3 +196,53 @@ def test_streaming_takes_each_file_once(spark, tmp_path):
 def test_checkpoint_folder_is_read_from_the_session(spark):
     assert session.cut_lineage(spark.range(5)).count() == 5
     assert "shared-checkpoints" in session.checkpoint_folder(spark)
+
+
+def test_pending_runs_are_loaded_once(spark, generated, tmp_path):
+    from dqloom.plans import loading
+
+    raw, root = str(tmp_path / "raw"), str(tmp_path / "star")
+    loading.staged(generated, raw, root, "dag", "gen")
+    stored = tables.read_envelopes(spark, raw)
+    assert loading.load_pending(stored, root, "dag", "d1") == ["gen"]
+    assert loading.load_pending(stored, root, "dag", "d2") == []
+    assert tables.read_run(spark, root, ["fact_match"], "d1")["fact_match"].count() == 228
+    audit = spark.read.parquet(loading.audit_path(root))
+    rows = {r["entity_name"]: r["rows_processed"] for r in audit.filter("status = 'SUCCESS'").collect()}
+    assert rows["fact_match"] == 228 and rows["dim_team"] == 24 and rows["ALL"] is None
+    state = ledger.batch_state(spark.read.parquet(loading.events_path(root)))
+    assert {(r["layer"], r["run_id"]): (r["status"], r["attempts"]) for r in state.collect()} == {
+        ("STG", "gen"): ("SUCCESS", 1),
+        ("DDS", "d1"): ("SUCCESS", 1),
+    }
+
+
+def test_payload_experiment(spark, generated):
+    from dqloom.operators import marts
+    from dqloom.plans import experiment
+
+    base = marts.add_marts(flatten.load_star(generated, "base"))
+
+    def run(*staging, loading=()):
+        it = experiment.Iteration("it", staging, loading, 3, "seed")
+        # Generated competitions never carry the required plan, so the schema gate is left out.
+        return experiment.run_payload_iteration(generated, "gen", it, base, skip_gates=("schema",))
+
+    swapped = run(("matches", "swap_teams"))
+    assert swapped.stopped_at is None and len(swapped.results) == 2 + 17 + 15
+    assert swapped.changes["mart_team"].filter("change = 'changed'").count() > 0
+    assert swapped.changes["mart_kpi"].filter("change <> 'changed'").count() == 0
+    assert run(("matches", "duplicate_first")).stopped_at == "uniqueness"
+    assert run(("matches", "drop_matches_key")).stopped_at == "ingestion"
+    bad = run(loading=("fact_match",))
+    # The planted match has no teams; it is unknown to the source.
+    assert bad.stopped_at == "source_exclusivity"
+    assert experiment.run_payload_iteration(generated, "gen", experiment.Iteration("it")).stopped_at == "schema"
+
+
+def test_settings_of_checks():
+    from dqloom.operators import checks as C
+
+    config = {"match_home_away_diff": {"severity": "WARNING"}, "match_status_invalid": {"enabled": False}}
+    found = {c.name: c.severity for c in C.configured(suites.SQL.checks("T"), config)}
+    assert len(found) == 6 and found["match_home_away_diff"] == "warning" and found["dds_matchday_out_of_range"] == "error"
