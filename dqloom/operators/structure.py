@@ -199,7 +199,7 @@ def _ids(entity: str) -> str:
     return f"array_sort(filter({ids}, x -> x IS NOT NULL))"
 
 
-def _payload_entries(entity: str, families: Sequence[str]) -> str:
+def _payload_entries(entity: str, families: Sequence[str]) -> str | None:
     """Array of findings about a payload of an entity: its list, its declared count, its repeated identifiers."""
     entries = []
     if "schema" in families:
@@ -233,7 +233,7 @@ def _payload_entries(entity: str, families: Sequence[str]) -> str:
     if "uniqueness" in families:
         validators.append((f"{entity}_uniqueness", "warning" if entity == "standings" else "error"))
     if not validators:
-        return _broken(entries)
+        return _broken(entries) if entries else None
     # A repeated value equals its right neighbour; a payload is one row, so this needs no shuffle.
     named = ", ".join(_entry(v, level, "'duplicate_id'", ".".join(UNIQUE_ID[entity]), "x") for v, level in validators)
     return f"concat({_broken(entries)}, flatten(transform(twice, x -> array({named}))))"
@@ -243,12 +243,14 @@ def payload_findings(
     envelopes: DataFrame, entities: Sequence[str] = tuple(ELEMENT_FIELDS), families: Sequence[str] = ALL_FAMILIES
 ) -> DataFrame:
     """Findings about payloads as a whole, for any number of entities in one pass without a shuffle."""
-    rows = _listed(envelopes, entities)
+    arrays = {e: _payload_entries(e, families) for e in entities}
+    arrays = {e: array for e, array in arrays.items() if array}
+    rows = _listed(envelopes, list(arrays))
     if "schema" in families or "uniqueness" in families:
         pairs = "zip_with(ids, slice(ids, 2, greatest(size(ids), 0)), (a, b) -> CASE WHEN a = b THEN a END)"
         twice = f"coalesce(array_distinct(filter({pairs}, x -> x IS NOT NULL)), array())"
-        rows = rows.withColumn("ids", F.expr(_by_entity({e: _ids(e) for e in entities}))).withColumn("twice", F.expr(twice))
-    return _emit(rows, "payload", "NULL", {e: _payload_entries(e, families) for e in entities})
+        rows = rows.withColumn("ids", F.expr(_by_entity({e: _ids(e) for e in arrays}))).withColumn("twice", F.expr(twice))
+    return _emit(rows, "payload", "NULL", arrays)
 
 
 def _period(value: str, path: str) -> tuple[str, str]:

@@ -93,6 +93,14 @@ def test_standings_tables(spark):
     assert verdict["standings_uniqueness"] == ("PASS", 0, "1 warnings")
 
 
+@pytest.mark.parametrize("family", native.PAYLOAD_SUITES)
+def test_families_can_run_alone(spark, generated, family):
+    alone = {r["check_name"]: (r["status"], r["rows_failed"]) for r in native.payload_results(generated, [family]).collect()}
+    assert set(alone) == set(native.PAYLOAD_SUITES[family])
+    together = statuses(generated)
+    assert alone == {name: together[name][:2] for name in alone}
+
+
 def test_scorers(spark):
     body = {"scorers": [{"player": {"id": 1}, "team": {"id": 2}, "goals": 3}, {"player": {"id": 1}, "team": {}, "goals": None}, {"team": {}, "goals": 1}]}
     verdict = statuses(envelopes(spark, body, endpoint="competitions/1/scorers?season=2024"))
