@@ -81,7 +81,7 @@ dim_area{suffix} AS (SELECT '{run}' AS run_id, id AS area_id, name, CAST(NULL AS
 dim_competition{suffix} AS (SELECT '{run}' AS run_id, id AS competition_id, area_id, code, name, type, plan FROM x_competition),
 dim_team{suffix} AS (SELECT '{run}' AS run_id, id AS team_id, area_id, name FROM x_team),
 dim_season{suffix} AS (
-  SELECT '{run}' AS run_id, CAST(y AS BIGINT) AS season_id, CAST(0 AS BIGINT) AS competition_id,
+  SELECT '{run}' AS run_id, CAST(y AS BIGINT) AS season_id, CAST(y % 25 AS BIGINT) AS competition_id,
     CASE WHEN y <> 1997 THEN make_date(y, 1, 1) END AS start_date, CASE WHEN y <> 1997 THEN make_date(y, 12, 31) END AS end_date
   FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders))"""
 

@@ -141,8 +141,15 @@ def _append(df: DataFrame, anchor: DataFrame, values: Mapping[str, object], keys
         source = values.get(c, "0" if c not in ("form", "run_id") else "NULL")
         cells.append(f"cast({source} AS {kinds[c]}) AS {c}")
     row = anchor.filter("competition_id IS NOT NULL AND season_id IS NOT NULL AND team_id IS NOT NULL").selectExpr(*cells)
-    present = df.select(*keys)
-    return df.unionByName(row.join(present, list(keys), "left_anti").select(*df.columns))
+    anchored = [k for k in keys if values.get(k) in anchor.columns]
+    fixed = [k for k in keys if k not in anchored]
+    present = df.filter(" AND ".join(f"{k} = {values[k]}" for k in fixed)) if fixed else df
+    if anchored:
+        row = row.join(present.select(*anchored), anchored, "left_anti").select(*df.columns)
+    else:
+        # The whole key is known, so its presence is a single number.
+        row = row.filter(present.agg(F.count(F.lit(1))).scalar() == 0)
+    return df.unionByName(row)
 
 
 def insert_bad_match(tables: Mapping[str, DataFrame], at: Layout, run_id: str | None = None, names: Mapping[str, str] | None = None):

@@ -229,7 +229,7 @@ def star_tables(t: Mapping, defective: bool = False, run_id: str = BASELINE_RUN)
         return years.selectExpr(
             run,
             "cast(y AS BIGINT) AS season_id",
-            "cast(0 AS BIGINT) AS competition_id",
+            f"cast(y % {COMPETITIONS} AS BIGINT) AS competition_id",
             "CASE WHEN y <> 1997 THEN make_date(y, 1, 1) END AS start_date",
             "CASE WHEN y <> 1997 THEN make_date(y, 12, 31) END AS end_date",
             *empty("BIGINT", "winner_team_id"),
