@@ -128,3 +128,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = stars.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+
+
+def annotate(docs: DataFrame, add: str, function, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with the columns ``add`` (DDL), computed in Arrow batches.
+
+    ``function`` gets a list of texts, None for null, and returns one sequence per added column.  It sees slices of
+    bounded size, and every row by itself decides its result, so a lost task is simply run again.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    small_batches(docs.sparkSession)
+    kept = docs.columns if keep is None else keep
+    added = _parse_datatype_string(add)
+    source = docs.select(*(docs[c] for c in kept), docs[text].alias("__text"))
+    schema = StructType([*source.schema.fields[:-1], *added.fields])
+    kinds = [f.type for f in to_arrow_schema(added)]
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            parts = [function(texts[a:b]) for a, b in slices([len(t or "") for t in texts])]
+            if not parts:
+                continue
+            made = [pa.chunked_array([pa.array(p[i], type=kind) for p in parts], type=kind).combine_chunks() for i, kind in enumerate(kinds)]
+            made = [m.chunk(0) if isinstance(m, pa.ChunkedArray) else m for m in made]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
+
+    return source.mapInArrow(run, schema)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqloom.llm import exact
-from dqloom.llm.common import read
+from dqloom.llm import exact, language, secrets, toxicity
+from dqloom.llm.common import crc_bucket, labelled, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,41 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.col("__kept").alias("kept"),
         F.sha2("__text", 256).alias("text_sha256"),
     )
+
+
+@query()
+def op4_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    rows = secrets.scan(read(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        *(secrets.count_of("__base", kind).alias(f"n_{kind}") for kind in secrets.BASE),
+        F.sha2(secrets.as_text("__base"), 256).alias("base_sha256"),
+        secrets.as_text("__spans").alias("spans"),
+    )
+
+
+@query()
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(labelled(docs, read(spark, folder, "labels"), "toxic", 3, 1))
+    return _judged(toxicity.score(docs, model, keep=["doc_id"]), 3, 1, 0.7)
+
+
+@query()
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(True))
+    known = docs.where(~held_out & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    model = language.fit(known.select(F.col("doc_id").alias("key"), "text", "lang"))
+    found = language.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def _judged(scored: DataFrame, buckets: int, held_out: int, threshold: float) -> DataFrame:
+    """Contract columns of a trained score; a null identifier counts as held out, as nothing is learned from it."""
+    return scored.select(
+        "doc_id",
+        F.coalesce(crc_bucket(F.col("doc_id"), buckets) == held_out, F.lit(True)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
