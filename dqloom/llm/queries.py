@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqloom.llm import exact, language, secrets, toxicity
+from dqloom.llm import exact, language, packing, pieces, secrets, toxicity
 from dqloom.llm.common import crc_bucket, labelled, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +73,16 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query()
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def _judged(scored: DataFrame, buckets: int, held_out: int, threshold: float) -> DataFrame:
     """Contract columns of a trained score; a null identifier counts as held out, as nothing is learned from it."""
     return scored.select(
