@@ -13,6 +13,8 @@ from dqloom.llm.common import cut_lineage
 HOT_SHARE = 0.25
 # ... and are at least this many.
 HOT_ROWS = 512
+# Leading characters that the splitters look at; the driver samples these, never whole texts.
+LEADING = 16
 
 
 def content_sort(
@@ -24,8 +26,8 @@ def content_sort(
 ) -> DataFrame:
     """Every row of ``docs`` with ``__text`` (normalised), ``__keep_id``, ``__group_size`` and ``__kept``.
 
-    Sampled splitters range-partition the rows by their normalised text, Spark's external sort places equal texts
-    adjacent, and neighbours are compared in full.  The row with the smallest (``keep='max'``: largest) identifier
+    Sampled splitters range-partition the rows by the beginning of their normalised text (then by its hash, as many
+    texts may begin alike), Spark's external sort places equal texts adjacent, and neighbours are compared in full.  The row with the smallest (``keep='max'``: largest) identifier
     of a group stays.
 
     Copies of one text cannot be split by splitters on the text alone.  So the texts with more copies than a share
@@ -49,10 +51,11 @@ def content_sort(
     least = max(HOT_ROWS, int(docs.count() * HOT_SHARE / partitions))
     hot = cut_lineage(rows.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least).select("__hash"))
 
-    group = Window.partitionBy("__text")
+    group = Window.partitionBy("__leading", "__hash", "__text")
     cold = (
         rows.join(F.broadcast(hot), "__hash", "left_anti")
-        .repartitionByRange("__text")
+        .withColumn("__leading", F.substring("__text", 1, LEADING))
+        .repartitionByRange("__leading", "__hash")
         .withColumn("__keep_id", F.first(identifier).over(group.orderBy(order)))
         .withColumn("__kept", F.row_number().over(group.orderBy(order)) == 1)
         .withColumn("__group_size", F.count(F.lit(1)).over(group))
