@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqloom.llm import exact, language, packing, pieces, secrets, toxicity
+from dqloom.llm import exact, language, packing, pieces, quality, secrets, toxicity
 from dqloom.llm.common import crc_bucket, labelled, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,13 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query()
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(labelled(docs, read(spark, folder, "labels"), "quality", 5, 0))
+    return _judged(quality.score(docs, model, keep=["doc_id"]), 5, 0, 0.3)
+
+
 @query()
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
