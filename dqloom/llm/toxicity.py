@@ -21,14 +21,15 @@ STEM = (4, 8)  # least and greatest length of a stem; whole words may be longer
 LEAST_SUPPORT = 4  # distinct toxic texts that an entry must occur in
 LEAST_PRECISION = 0.8
 LEAST_GAIN = 14.0  # log-likelihood ratio of an entry against chance
+WHOLE = 0.95  # an entry is lengthened to a longer one that has this share of its toxic texts
 EXCEPTION_PRECISION = 0.2
 
-# Characters that pass for a Latin letter, and digits and signs that stand for one.
+# Letters of other scripts and full-width forms that pass for a Latin letter, and digits and signs that
+# stand for one.  Latin letters with accents are letters of their own in many languages and stay.
 LOOKALIKES = {
-    "a": "аαáàâäãåāăąａ@4", "b": "вьβｂ8", "c": "сϲçćčｃ", "d": "ԁďｄ", "e": "еєεéèêëēėęěｅ3", "g": "ɡｇ9", "h": "һнｈ",
-    "i": "іιïíìîīįıｉlӏｌł1", "j": "јｊ", "k": "кκｋ", "m": "мｍ", "n": "пηńňｎ", "o": "оοσöóòôõøōｏ0", "p": "рρｐ",
-    "q": "ԛｑ", "r": "гｒ", "s": "ѕśšｓ$5", "t": "тτţťｔ7", "u": "υüúùûūůｕ", "v": "νѵｖ", "w": "ԝωｗ", "x": "хχｘ",
-    "y": "уýÿγｙ", "z": "źžżｚ2",
+    "a": "аαａ@4", "b": "вьβｂ8", "c": "сϲｃ", "d": "ԁｄ", "e": "еєεｅ3", "g": "ɡｇ9", "h": "һнｈ", "i": "іιıｉlӏｌ1",
+    "j": "јｊ", "k": "кκｋ", "m": "мｍ", "n": "пηｎ", "o": "оοσｏ0", "p": "рρｐ", "q": "ԛｑ", "r": "гｒ", "s": "ѕｓ$5",
+    "t": "тτｔ7", "u": "υｕ", "v": "νѵｖ", "w": "ԝωｗ", "x": "хχｘ", "y": "уγｙ", "z": "ｚ2",
 }
 _FOLD = {ord(c): plain for plain, variants in LOOKALIKES.items() for c in variants} | dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0xFEFF))
 WORD = re.compile(r"[^\W_]+")
@@ -66,14 +67,15 @@ def _gain(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
 
 
 def _entries(counted: list, all_toxic: int, all_clean: int) -> list[tuple[str, float]]:
-    """Of terms that begin alike the shortest that is as telling, with smoothed log odds as weight."""
+    """Of telling terms that begin alike the shortest, lengthened where its texts share more; smoothed log odds weigh."""
     ranked = sorted(((_gain(r["toxic"], r["clean"], all_toxic, all_clean), r) for r in counted), key=lambda x: (-x[0], x[1]["term"]))
     good = [(g, r) for g, r in ranked if g >= LEAST_GAIN][:LEXICON]
     chosen: dict[str, float] = {}
     for _, r in sorted(good, key=lambda x: (len(x[1]["term"]), x[1]["term"])):
         term = r["term"]
         if not any(term[:n] in chosen for n in range(STEM[0], len(term))):
-            chosen[term] = math.log((r["toxic"] + 0.5) / (all_toxic + 1)) - math.log((r["clean"] + 0.5) / (all_clean + 1))
+            longer = max((o["term"] for _, o in good if o["term"].startswith(term) and o["toxic"] >= WHOLE * r["toxic"]), key=lambda t: (len(t), t))
+            chosen[longer] = math.log((r["toxic"] + 0.5) / (all_toxic + 1)) - math.log((r["clean"] + 0.5) / (all_clean + 1))
     return sorted(chosen.items())
 
 
