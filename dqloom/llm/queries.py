@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqloom.llm import exact, language, packing, pieces, quality, secrets, toxicity
+from dqloom.llm import exact, language, minhash, packing, pieces, quality, secrets, toxicity
 from dqloom.llm.common import crc_bucket, labelled, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,11 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(toxicity.score(docs, model, keep=["doc_id"]), 3, 1, 0.7)
 
 
+@query()
+def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, folder, "documents"))
+
+
 @query()
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
