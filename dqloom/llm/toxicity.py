@@ -159,7 +159,8 @@ def fit(training: DataFrame, sample: int = SAMPLE) -> Model:
                 for text, label in zip(pdf["text"], pdf["label"], strict=True):
                     held[label].update(terms(WORD.findall(fold(text))))
                 names = list(held[0].keys() | held[1].keys())
-                yield pd.DataFrame({"term": names, "toxic": [held[1][t] for t in names], "clean": [held[0][t] for t in names]})
+                if names:
+                    yield pd.DataFrame({"term": names, "toxic": [held[1][t] for t in names], "clean": [held[0][t] for t in names]})
                 held = {0: Counter(), 1: Counter()}
 
         summed = rows.select("text", "label").mapInPandas(count, "term string, toxic long, clean long").groupBy("term")
