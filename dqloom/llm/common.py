@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dqloom.session import checkpoint_folder, cut_lineage
 
-__all__ = ["checkpoint_folder", "cut_lineage", "read", "crc_bucket", "labelled", "bounded_sample", "small_batches", "slices", "components"]
+__all__ = ["checkpoint_folder", "cut_lineage", "read", "crc_bucket", "labelled", "bounded_sample", "small_batches", "slices", "grouped", "components"]
 
 # Rows of one Arrow batch: some MB of text, as long texts are cut into slices inside a task.
 BATCH_ROWS = 512
@@ -47,6 +47,27 @@ def slices(lengths, budget: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def grouped(batches, keys: list[str]):
+    """From frames sorted by ``keys``: frames of complete groups, with the bounds between the groups."""
+    import pandas as pd
+
+    held = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        change = np.zeros(len(held) - 1, dtype=bool)
+        for key in keys:
+            values = held[key].to_numpy()
+            change |= values[1:] != values[:-1]
+        edges = (np.flatnonzero(change) + 1).tolist()
+        if edges:
+            yield held.iloc[: edges[-1]], [0, *edges]
+            held = held.iloc[edges[-1] :].reset_index(drop=True)
+    if held is not None:
+        yield held, [0, len(held)]
+
+
 def labelled(docs: DataFrame, labels: DataFrame, target: str, buckets: int, held_out: int) -> DataFrame:
     """Labelled rows that may be learned from: ``text`` and ``label``.
 
@@ -72,7 +93,7 @@ def bounded_sample(rows: DataFrame, key: str, size: int, per: str | None = None)
     return rows.join(F.broadcast(counts), per).where(share * F.col("__rows") < size).drop("__rows")
 
 
-def _forest(edges: np.ndarray) -> np.ndarray:
+def forest(edges: np.ndarray) -> np.ndarray:
     """The (node, smallest reachable node) pairs of the given edges."""
     nodes, flat = np.unique(edges, return_inverse=True)
     parent = np.arange(len(nodes))
@@ -103,7 +124,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
         held = np.empty((0, 2), dtype=np.int64)
         for pdf in batches:
-            held = _forest(np.concatenate([held, pdf[["a", "b"]].to_numpy(np.int64)]))
+            held = forest(np.concatenate([held, pdf[["a", "b"]].to_numpy(np.int64)]))
         yield pd.DataFrame({"a": held[:, 0], "b": held[:, 1]})
 
     small = edges.select(F.col("a").cast("long"), F.col("b").cast("long"))

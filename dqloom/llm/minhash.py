@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dqloom.llm.common import annotate, components, cut_lineage, small_batches
+from dqloom.llm.common import annotate, components, cut_lineage, grouped, small_batches
 from dqloom.llm.words import shingle_sets
 
 SHINGLE = 5
@@ -100,28 +101,13 @@ def _proposals(width: int):
         return pd.DataFrame({"a": low, "b": high, "cut": np.full(len(a), cut)})
 
     def run(batches):
-        held = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            edges = np.flatnonzero((held["key"].to_numpy()[1:] != held["key"].to_numpy()[:-1]) | (held["chunk"].to_numpy()[1:] != held["chunk"].to_numpy()[:-1])) + 1
-            if len(edges):
-                yield from groups(held.iloc[: edges[-1]], edges[:-1])
-                held = held.iloc[edges[-1] :].reset_index(drop=True)
-        if held is not None:
-            yield from groups(held, np.zeros(0, dtype=int))
-
-    def groups(pdf, edges):
-        nodes, roots = pdf["node"].to_numpy(), pdf["root"].to_numpy()
-        values = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint16).reshape(len(pdf), SIZE)
-        found = []
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(pdf)], strict=True):
-            made = pairs_of(nodes[a:b], roots[a:b], values[a:b])
-            if made is not None:
-                found.append(made)
-        if found:
-            yield pd.concat(found, ignore_index=True).groupby(["a", "b"], as_index=False)["cut"].max()
+        for pdf, bounds in grouped(batches, ["key", "chunk"]):
+            nodes, roots = pdf["node"].to_numpy(), pdf["root"].to_numpy()
+            values = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint16).reshape(len(pdf), SIZE)
+            found = [pairs_of(nodes[a:b], roots[a:b], values[a:b]) for a, b in itertools.pairwise(bounds)]
+            found = [f for f in found if f is not None]
+            if found:
+                yield pd.concat(found, ignore_index=True).groupby(["a", "b"], as_index=False)["cut"].max()
 
     return run
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqloom.llm import exact, language, minhash, packing, pieces, quality, secrets, substrings, toxicity
+from dqloom.llm import caps, exact, language, minhash, packing, pieces, quality, secrets, substrings, toxicity
 from dqloom.llm.common import crc_bucket, labelled, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return caps.near_vectors(read(spark, folder, "embeddings"))
+
+
 @query(
     """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
