@@ -199,3 +199,12 @@ def near_duplicates(docs: DataFrame, identifier: str = "doc_id", text: str = "te
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
     kept = F.coalesce(F.col("doc") == component, F.lit(True))
     return found.select(F.col("doc").alias(identifier), "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def drop_near(docs: DataFrame, identifier: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that stay, one document of each component, with the columns of ``docs``.
+
+    Rows with a null identifier and rows that repeat the identifier of the document that stays are kept.
+    """
+    gone = near_duplicates(docs, identifier, text, percent, shingle).where("NOT kept").select(F.col(identifier).alias("__gone")).distinct()
+    return docs.join(gone, docs[identifier] == gone["__gone"], "left_anti")

@@ -242,12 +242,7 @@ def label_lines(model: Model, texts: list[str | None]) -> list[list[float]]:
     return [part.tolist() for part in np.split(good, np.cumsum(counts)[:-1])]
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher is better), ``n_lines`` and ``bad_lines``.
-
-    Null and empty texts are one empty line.  Whole texts are judged, however long; repeated rows each by itself;
-    an empty table gives an empty result.
-    """
+def _judge(model: Model):
     shift, slope = model.calibration
 
     def judge(texts):
@@ -257,4 +252,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         bad = np.add.reduceat((good < 0.5).astype(np.int64), np.cumsum(counts) - counts)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), counts, bad
 
-    return annotate(docs, "score double, n_lines long, bad_lines long", judge, text, keep)
+    return judge
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1, higher is better), ``n_lines`` and ``bad_lines``.
+
+    Null and empty texts are one empty line.  Whole texts are judged, however long; repeated rows each by itself;
+    an empty table gives an empty result.
+    """
+    return annotate(docs, "score double, n_lines long, bad_lines long", _judge(model), text, keep)
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with the columns of ``docs``."""
+    judge = _judge(model)
+    return annotate(docs, "__score double", lambda texts: judge(texts)[:1], text).where(F.col("__score") >= threshold).select(docs.columns)
