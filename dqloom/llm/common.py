@@ -155,15 +155,16 @@ def annotate(docs: DataFrame, add: str, function, text: str = "text", keep: list
     """``docs`` (or its columns ``keep``) with the columns ``add`` (DDL), computed in Arrow batches.
 
     ``function`` gets a list of texts, None for null, and returns one sequence per added column.  It sees slices of
-    bounded size, and every row by itself decides its result, so a lost task is simply run again.
+    bounded size, and every row by itself decides its result, so a lost task is simply run again.  Columns of ``docs``
+    that are named like an added one are replaced.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     small_batches(docs.sparkSession)
-    kept = docs.columns if keep is None else keep
     added = _parse_datatype_string(add)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in added.names]
     source = docs.select(*(docs[c] for c in kept), docs[text].alias("__text"))
     schema = StructType([*source.schema.fields[:-1], *added.fields])
     kinds = [f.type for f in to_arrow_schema(added)]

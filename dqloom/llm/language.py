@@ -109,7 +109,7 @@ def fit(training: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) ->
         points = np.concatenate([vectors(ngram_counts(texts[a:b]), idf) for a, b in slices([len(t) for t in texts])])
         points = points[points.any(axis=1)]
         if not len(points):
-            return pd.DataFrame({"lang": [], "part": [], "centroid": [], "reject": []})
+            return pd.DataFrame({"lang": [], "part": [], "centroid": [], "reject": []}, dtype=object)
         centres = _cluster(points, clusters)
         closeness = points @ centres.T
         near = closeness.argmax(axis=1)

@@ -94,10 +94,10 @@ def _place(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (high >> _U(32)).astype(np.int64), (high & _U(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _spread(chunk: int, bucket: np.ndarray, columns: dict[str, np.ndarray], buckets: int) -> pd.DataFrame:
+def _spread(chunk: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
     """One row per bucket of entries that are sorted by bucket."""
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-    stops = np.append(edges[1:], len(bucket))
+    stops = np.append(edges[1:], len(bucket)) if len(bucket) else edges
     frame = {"chunk": chunk, "bucket": bucket[edges]}
     for name, values in columns.items():
         frame[name] = [values[a:b].tobytes() for a, b in zip(edges.tolist(), stops.tolist(), strict=True)]
@@ -132,7 +132,7 @@ def _index(window: int, buckets: int):
             for row in _rows(pdf):
                 _, bucket, rest, is_block, several, *_ = _probes(row, block, buckets)
                 if len(bucket):
-                    yield _spread(row["chunk"], bucket, {"probes": rest, "marks": is_block.astype(np.uint8) + 2 * several.astype(np.uint8)}, buckets)
+                    yield _spread(row["chunk"], bucket, {"probes": rest, "marks": is_block.astype(np.uint8) + 2 * several.astype(np.uint8)})
 
     return run
 
@@ -188,7 +188,7 @@ def _claim(window: int, buckets: int):
             chunk, distinct, first, *_ = _repeats(row, replies, window, buckets)
             bucket, _ = _place(distinct, buckets)
             ids = chunk.ids[chunk.words.owner[first]]
-            found.append(_spread(row["chunk"], bucket, {"hashes": distinct, "ids": ids, "starts": chunk.position[first].astype(np.uint32)}, buckets))
+            found.append(_spread(row["chunk"], bucket, {"hashes": distinct, "ids": ids, "starts": chunk.position[first].astype(np.uint32)}))
         return pd.concat(found) if found else pd.DataFrame({"chunk": [], "bucket": [], "hashes": [], "ids": [], "starts": []})
 
     return run
