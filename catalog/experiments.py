@@ -306,8 +306,8 @@ def mart_diff_totals(t):
 
 @query(
     "exp_mart_diff_sample",
-    f"WITH {DIFF_CTES}, d AS ({TEAM_DIFF}) SELECT * FROM d WHERE change = 'changed' "
-    "ORDER BY competition_id, season_id, team_id, field LIMIT 50",
+    f"WITH {DIFF_CTES}, d AS ({TEAM_DIFF}), k AS (SELECT DISTINCT competition_id, season_id, team_id FROM d WHERE change = 'changed' "
+    "ORDER BY ALL LIMIT 50) SELECT d.* FROM d JOIN k USING (competition_id, season_id, team_id) WHERE change = 'changed'",
 )
 def mart_diff_sample(t):
     keys = marts.MART_KEYS["mart_team"]

@@ -235,7 +235,8 @@ def runs_of(t) -> DataFrame:
     return base.selectExpr("*", f"{meta} AS meta_json")
 
 
-RUNS_SQL = f"runs AS (SELECT event_id, {_as_sql(_fields(chr(106) + 'son_extract_string(props, ' + chr(39) + '$.k' + chr(39) + ')')).replace('STRING', 'VARCHAR')} FROM events)"
+_K_SQL = "json_extract_string(props, '$.k')"
+RUNS_SQL = f"runs AS (SELECT event_id, {_as_sql(_fields(_K_SQL)).replace('STRING', 'VARCHAR')} FROM events)"
 
 
 def _avg(expression: str) -> str:

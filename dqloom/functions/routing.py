@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ ENDPOINT_PATTERNS = {
     "standings": "^competitions/.*/standings",
 }
 
-# Fixed value: endpoints an export keeps, besides the two plain ones.
-EXPORT_ENDPOINT = r"^competitions/(\d+)/(teams|scorers|matches|standings)\?season=(2023|2024|2025)(?:&limit=\d+)?$"
+# Endpoints an export keeps, besides the two plain ones, and the seasons it keeps by default.
+EXPORT_ENDPOINT = r"^competitions/(\d+)/(teams|scorers|matches|standings)\?season=(\d+)(?:&limit=\d+)?$"
+EXPORT_SEASONS = (2023, 2024, 2025)
 
 # Prefix of experiment runs and the two kinds.
 EXPERIMENT_PREFIX = "exp_"
@@ -41,8 +44,12 @@ def endpoint_slug(endpoint: Column) -> Column:
     return F.btrim(F.regexp_replace(spaced, "[^a-zA-Z0-9_.-]+", "_"), F.lit("_"))
 
 
-def exportable(endpoint: Column) -> Column:
-    return endpoint.isin("areas", "competitions") | endpoint.rlike(EXPORT_ENDPOINT)
+def exportable(endpoint: Column, seasons: Sequence[int] | None = EXPORT_SEASONS) -> Column:
+    """True for endpoints an export keeps; ``seasons`` None keeps every season."""
+    own = endpoint.rlike(EXPORT_ENDPOINT)
+    if seasons is not None:
+        own = own & F.regexp_extract(endpoint, EXPORT_ENDPOINT, 3).isin(*map(str, seasons))
+    return endpoint.isin("areas", "competitions") | own
 
 
 def export_parts(endpoint: Column) -> dict[str, Column]:

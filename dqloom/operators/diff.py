@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: rows shown per section of a diff report.
@@ -17,12 +17,14 @@ def keyed_diff(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Data
     ``change`` is added, removed or changed; a changed row appears once per
     differing field, an added or removed row once with an empty field.  One full
     outer join on the key; values are compared null-safe in their own type and
-    only shown as text.
+    only shown as text.  Rows that share a key are numbered by their values on
+    each side and compared number by number, so equal sides have no difference.
     """
     fields = [c for c in before.columns if c not in keys and c in after.columns]
-    old = before.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.struct(*fields).alias("_b"))
-    new = after.select(*[F.col(k).alias(f"_a_{k}") for k in keys], F.struct(*fields).alias("_a"))
-    match = F.expr(" AND ".join(f"_b_{k} <=> _a_{k}" for k in keys))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*fields) if fields else Window.partitionBy(*keys).orderBy(*keys))
+    old = before.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.struct(*fields).alias("_b"), number.alias("_b_no"))
+    new = after.select(*[F.col(k).alias(f"_a_{k}") for k in keys], F.struct(*fields).alias("_a"), number.alias("_a_no"))
+    match = F.expr(" AND ".join([*[f"_b_{k} <=> _a_{k}" for k in keys], "_b_no = _a_no"]))
     joined = old.join(new, match, "full")
     text = "STRING"
     none = f"cast(NULL AS {text})"
@@ -37,8 +39,8 @@ def keyed_diff(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Data
         for f in fields
     ]
     whole = (
-        f"CASE WHEN _b IS NULL THEN array({entry('added', none, none, none)}) "
-        f"WHEN _a IS NULL THEN array({entry('removed', none, none, none)}) "
+        f"CASE WHEN _b_no IS NULL THEN array({entry('added', none, none, none)}) "
+        f"WHEN _a_no IS NULL THEN array({entry('removed', none, none, none)}) "
         f"ELSE filter(array({', '.join(changed)}), x -> x IS NOT NULL) END"
     )
     return joined.selectExpr(*[f"coalesce(_b_{k}, _a_{k}) AS {k}" for k in keys], f"inline({whole})")
@@ -52,8 +54,11 @@ def diff_totals(diff: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def diff_sample(diff: DataFrame, keys: Sequence[str], change: str, limit: int = SAMPLE) -> DataFrame:
-    """The first differences of one kind, for a report."""
-    return diff.filter(F.col("change") == change).orderBy(*keys, "field").limit(limit)
+    """All differences of the first ``limit`` keys of one kind, for a report."""
+    own = diff.filter(F.col("change") == change)
+    names = [f"_k{i}" for i in range(len(keys))]
+    first = own.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]).distinct().orderBy(*names).limit(limit)
+    return own.join(first, F.expr(" AND ".join(f"{k} <=> {n}" for k, n in zip(keys, names))), "left_semi").orderBy(*keys, "field")
 
 
 def keyless_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -148,7 +148,13 @@ def _broken(spark: SparkSession, placed: Placed, reason: str) -> DataFrame:
 
 
 def _reason(error: Exception) -> str:
-    return str(error).strip().splitlines()[0][:300]
+    return str(error).strip()
+
+
+def _of_data(error: PySparkException) -> bool:
+    """True for errors that a value causes: SQLSTATE class 22 (data exception) and raise_error's P0001."""
+    state = error.getSqlState() or ""
+    return state.startswith("22") or state == "P0001"
 
 
 def evaluate_placed(placed: Sequence[Placed], tables: Tables, spark: SparkSession | None = None) -> DataFrame:
@@ -189,18 +195,23 @@ def collect_results(suite: str, stage: str, checks: Sequence[Check], tables: Tab
     """Run the checks and return one dict per check.
 
     The result has one row per declared check, so collecting it is bounded by the
-    suite.  If the fused job dies at run time (for instance on a value a custom
-    rule casts strictly) each check is retried alone to find the broken ones.
+    suite.  If the fused job dies of the data (for instance on a value a custom
+    rule casts strictly) each check is retried alone to find the broken ones; any
+    other failure, a lost cluster say, is raised.
     """
     try:
         return [r.asDict() for r in evaluate(suite, stage, checks, tables).collect()]
-    except PySparkException:
+    except PySparkException as whole:
+        if not _of_data(whole):
+            raise
         spark = tables[next(iter(tables))].sparkSession
         results = []
         for check in checks:
             try:
                 results += [r.asDict() for r in evaluate(suite, stage, [check], tables).collect()]
             except PySparkException as error:
+                if not _of_data(error):
+                    raise
                 results += [r.asDict() for r in _broken(spark, Placed(suite, stage, check), _reason(error)).collect()]
         return results
 

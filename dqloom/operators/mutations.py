@@ -24,8 +24,6 @@ BAD_ID = "abc"
 ANOMALY_DATE = "2025-01-01 00:00:00"
 SWAP_COUNT, MATCHDAY_COUNT = 5, 3
 REQUIRED_FIELDS = ("id", "name", "utcDate")
-# Largest number of picked keys that is broadcast.
-BROADCAST_ROWS = 100_000
 
 
 def mutation_seed(run_id: str, layer: str, entity: str, action: str) -> str:
@@ -40,10 +38,8 @@ def _picked(df: DataFrame, key: str, n: int, seed: str | None) -> DataFrame:
 
 
 def _marked(df: DataFrame, key: str, n: int, seed: str | None) -> DataFrame:
-    picked = _picked(df, key, n, seed)
-    # At most n rows by construction; beyond the bound the join strategy is left to Spark.
-    side = F.broadcast(picked) if n <= BROADCAST_ROWS else picked
-    return df.join(side, F.col(key) == F.col("_key"), "left").drop("_key")
+    # At most n rows by construction; the join strategy is left to Spark.
+    return df.join(_picked(df, key, n, seed), F.col(key) == F.col("_key"), "left").drop("_key")
 
 
 def swap_teams(matches: DataFrame, n: int = SWAP_COUNT, seed: str | None = None, key: str = "id") -> DataFrame:

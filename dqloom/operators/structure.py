@@ -188,15 +188,21 @@ def _listed(envelopes: DataFrame, entities: Sequence[str]) -> DataFrame:
     return own.selectExpr("concat_ws('/', batch_id, source_file) AS payload", "entity", "body", f"{lists} AS list")
 
 
+def _typed_text(value: str, path: str) -> str:
+    """JSON text of a value, which tells 1 from "1"; NULL when absent or JSON null."""
+    return f"nullif(to_json({_at(value, path, 'variant')}), 'null')"
+
+
 def _ids(entity: str) -> str:
-    """Sorted identifiers of one payload, absent ones left out."""
-    ident = _at("e", ".".join(UNIQUE_ID[entity]), "string")
+    """Sorted identifiers of one payload with their type, absent ones left out."""
+    path = ".".join(UNIQUE_ID[entity])
+    ident = f"named_struct('typed', {_typed_text('e', path)}, 'shown', {_at('e', path, 'string')})"
     if entity == "standings":
         rows = "coalesce(try_variant_get(g, '$.table', 'array<variant>'), array())"
         ids = f"flatten(transform(list, g -> transform({rows}, e -> {ident})))"
     else:
         ids = f"transform(list, e -> {ident})"
-    return f"array_sort(filter({ids}, x -> x IS NOT NULL))"
+    return f"array_sort(filter({ids}, x -> x.typed IS NOT NULL))"
 
 
 def _payload_entries(entity: str, families: Sequence[str]) -> str | None:
@@ -247,7 +253,7 @@ def payload_findings(
     arrays = {e: array for e, array in arrays.items() if array}
     rows = _listed(envelopes, list(arrays))
     if "schema" in families or "uniqueness" in families:
-        pairs = "zip_with(ids, slice(ids, 2, greatest(size(ids), 0)), (a, b) -> CASE WHEN a = b THEN a END)"
+        pairs = "zip_with(ids, slice(ids, 2, greatest(size(ids), 0)), (a, b) -> CASE WHEN a.typed = b.typed THEN a.shown END)"
         twice = f"coalesce(array_distinct(filter({pairs}, x -> x IS NOT NULL)), array())"
         rows = rows.withColumn("ids", F.expr(_by_entity({e: _ids(e) for e in arrays}))).withColumn("twice", F.expr(twice))
     return _emit(rows, "payload", "NULL", arrays)
@@ -268,8 +274,8 @@ def _consistency_entries(entity: str) -> list[str]:
     elif entity == "matches":
         start, end = _period("e", "season")
         day = f"cast({_at('e', 'utcDate', 'timestamp_ntz')} AS DATE)"
-        # Null-safe on purpose: two absent teams are the same team.
-        same = f"{_at('e', 'homeTeam.id', 'string')} <=> {_at('e', 'awayTeam.id', 'string')}"
+        # Null-safe on purpose: two absent teams are the same team.  1 and "1" are not; what is no object has no teams.
+        same = f"is_object AND {_typed_text('e', 'homeTeam.id')} <=> {_typed_text('e', 'awayTeam.id')}"
         rules = [
             ("error", "period_reversed", f"{start} > {end}"),
             ("warning", "outside_season", f"{start} IS NOT NULL AND {end} IS NOT NULL AND {day} NOT BETWEEN {start} AND {end}"),

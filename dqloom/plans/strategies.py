@@ -28,7 +28,9 @@ class Strategy:
 
     @property
     def runs(self) -> int:
-        return max(1, int(os.environ.get(REPEATS_OVERRIDE) or self.repeats))
+        """Repeats of a measurement; an override that is no whole number is ignored."""
+        given = os.environ.get(REPEATS_OVERRIDE, "").strip()
+        return max(1, int(given) if given.isdecimal() else self.repeats)
 
     @property
     def skip_processed(self) -> bool:

@@ -101,13 +101,17 @@ def good(envelopes: DataFrame) -> DataFrame:
 
 
 def latest_per_entity(envelopes: DataFrame) -> DataFrame:
-    """The newest good payload of every entity (an aggregate, so no entity is gathered in one task)."""
-    order = F.struct("load_ts", "batch_id", "source_file")
-    row = F.struct("endpoint", F.to_json("body").alias("body"), "run_id", "batch_id", "source_file")
-    newest = good(envelopes).filter("entity IS NOT NULL").groupBy("entity").agg(F.max_by(row, order).alias("r"))
-    return newest.select(
-        "entity", "r.endpoint", F.parse_json("r.body").alias("body"), "r.run_id", "r.batch_id", "r.source_file"
-    )
+    """The newest good payload of every entity.
+
+    The newest is found on the narrow columns, in an aggregate; then only the few bodies it names are fetched.
+    """
+    place = ("load_ts", "batch_id", "source_file", "run_id", "endpoint")
+    own = good(envelopes).filter("entity IS NOT NULL")
+    newest = own.select("entity", *place).groupBy("entity").agg(F.max(F.struct(*place)).alias("r"))
+    named = newest.select(F.col("entity").alias("_entity"), *[F.col(f"r.{c}").alias(f"_{c}") for c in place])
+    fetched = own.join(named, F.expr(" AND ".join(f"{c} <=> _{c}" for c in ("entity", *place))), "left_semi")
+    # one row per entity even where a payload is stored twice
+    return fetched.select("entity", "endpoint", "body", "run_id", "batch_id", "source_file").dropDuplicates(["entity"])
 
 
 def newest_run_folder(spark: SparkSession, root: str, pattern: str = "*") -> str | None:

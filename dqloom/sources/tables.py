@@ -46,14 +46,23 @@ def read_run(spark: SparkSession, root: str, names: Sequence[str], run_id: str,
     return out
 
 
-def append_absent(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> None:
-    """Append the rows whose key is not stored yet; stored rows are never touched."""
+def append_absent(
+    spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], order: Sequence[str] = (), run_id: str | None = None
+) -> None:
+    """Append the rows whose key is not stored yet; stored rows are never touched.
+
+    ``run_id`` says that all rows belong to that run, so only its partition is looked at.
+    """
     try:
         existing = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         existing = rows.limit(0)
+    if run_id is not None:
+        existing = existing.filter(F.col("run_id") == run_id)
     fresh = insert_if_absent(existing, rows, keys, order)
-    fresh.drop(*order).write.mode("append").partitionBy("run_id").parquet(path)
+    fresh.drop(*order).hint("rebalance").write.mode("append").partitionBy("run_id").parquet(path)
 
 
 def save_entities(tables: Mapping[str, DataFrame], database: str) -> None:
@@ -98,9 +107,12 @@ def write_summary(runs: DataFrame, dag_id: str, path: str) -> None:
     write_csv(R.exported_summary(runs, dag_id), path)
 
 
-def export_payloads(envelopes: DataFrame, run_id: str) -> DataFrame:
-    """Exportable payloads of one run in their export layout, with the file name each is stored under."""
-    own = envelopes.filter(F.col("run_id") == run_id).filter(routing.exportable(F.col("endpoint")))
+def export_payloads(envelopes: DataFrame, run_id: str, seasons: Sequence[int] | None = routing.EXPORT_SEASONS) -> DataFrame:
+    """Exportable payloads of one run in their export layout, with the file name each is stored under.
+
+    ``seasons`` are those to export; None exports all.
+    """
+    own = envelopes.filter(F.col("run_id") == run_id).filter(routing.exportable(F.col("endpoint"), seasons))
     return own.select(
         F.concat_ws("_", F.regexp_replace("source_file", "[.]json$", ""), routing.endpoint_slug(F.col("endpoint"))).alias("file"),
         routing.endpoint_slug(F.col("endpoint")).alias("endpoint_slug"),

@@ -1,6 +1,7 @@
 """Raw envelopes, flattening and payload validators."""
 
 import json
+import os
 
 import pytest
 from pyspark.errors import PySparkException
@@ -167,10 +168,11 @@ def test_medium_preset_size(spark):
 
 def test_file_layouts(spark, tmp_path):
     body = {"endpoint": "areas", "response_json": {"areas": [{"id": 1, "name": "a"}]}, "request_params": {"dag_id": "d"}}
-    for folder in ("run/batch_001", "run/batch_007", "flat"):
+    for age, folder in enumerate(("run/batch_001", "run/batch_007", "flat")):
         target = tmp_path / folder / "payloads"
         target.mkdir(parents=True)
         (target / "000001_areas.json").write_text(json.dumps(body, indent=2))
+        os.utime(target / "000001_areas.json", (1_700_000_000 + age, 1_700_000_000 + age))
     found = E.read_envelopes(spark, str(tmp_path / "run"), "r1").orderBy("batch_id").collect()
     assert [r["batch_id"] for r in found] == ["r1_b0001", "r1_b0002"]
     assert found[0]["http_status"] == 200 and found[0]["source_file"] == "000001_areas.json"
