@@ -204,17 +204,29 @@ def star_rows(envelopes: DataFrame, run_id: str, strict: bool = False) -> dict[s
 def load_star(envelopes: DataFrame, run_id: str, strict: bool = False) -> dict[str, DataFrame]:
     """The star schema of one run: one row per key, the first that arrived.
 
-    Rows whose key is incomplete cannot be stored; the structure and completeness
-    checks on the envelopes report them.
+    Rows whose key is incomplete cannot be stored: ``strict`` raises on one, otherwise ``unkeyed_rows`` holds them.
     """
     out = {}
     for name, rows in star_rows(envelopes, run_id, strict).items():
         key = ["run_id", *STAR[name].key]
-        present = rows.filter(" AND ".join(f"{k} IS NOT NULL" for k in STAR[name].key))
+        if strict:
+            demanded = {k: F.expr(f"coalesce({k}, raise_error('{name} without {k}'))").cast(rows.schema[k].dataType) for k in STAR[name].key}
+            present = rows.withColumns(demanded)
+        else:
+            present = rows.filter(_whole_key(name))
         out[name] = first_per_key(present, key, ARRIVAL).drop(*ARRIVAL)
     return out
 
 
+def _whole_key(name: str) -> str:
+    return "(" + " AND ".join(f"{k} IS NOT NULL" for k in STAR[name].key) + ")"
+
+
+def unkeyed_rows(envelopes: DataFrame, run_id: str) -> dict[str, DataFrame]:
+    """The quarantine of a load: per star table the typed rows that cannot be stored for want of a key."""
+    return {name: rows.filter(f"NOT {_whole_key(name)}") for name, rows in star_rows(envelopes, run_id).items()}
+
+
 def load_entities(envelopes: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
     """The five un-versioned tables: every element becomes a row, duplicates included."""
     r = _Reader(strict)

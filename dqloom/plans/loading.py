@@ -6,13 +6,13 @@ Ledger rows are appended next to the tables: ``<root>/_audit`` and
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqloom.operators import flatten, ledger
+from dqloom.plans.tables import STAR
+from dqloom.sources import envelopes as E
 from dqloom.sources import tables
 
 ALL = "ALL"
@@ -34,50 +34,54 @@ def _audit(spark: SparkSession, root: str, dag_id: str, run_id: str, entity: str
 def load_run(envelopes: DataFrame, root: str, dag_id: str, run_id: str, strict: bool = False) -> dict[str, int]:
     """Write every star table of a run in load order; returns the rows written per table.
 
-    One write per table; the row count is observed during that write instead of
-    counting afterwards.  The first failing table stops the load.
+    Rows are inserted where their key is absent in the run's partition, so loading a run again, after a failure or
+    twice, adds what is missing and nothing else.  Rows without a key
+    are counted in the audit (REJECTED); ``strict`` raises on them.  The first failing table stops the load.
     """
     spark = envelopes.sparkSession
     _audit(spark, root, dag_id, run_id, ALL, "STARTED")
     written: dict[str, int] = {}
     try:
         for name, rows in flatten.load_star(envelopes, run_id, strict).items():
-            seen = Observation()
-            tables.save_run({name: rows.observe(seen, F.count(F.lit(1)).alias("rows"))}, root, run_id)
-            written[name] = seen.get["rows"]
+            key = ["run_id", *STAR[name].key]
+            written[name] = tables.append_absent(spark, f"{root.rstrip('/')}/{name}", rows, key, run_id=run_id)
             _audit(spark, root, dag_id, run_id, name, ledger.SUCCESS, written[name])
+        if not strict:
+            for row in flatten.row_counts(flatten.unkeyed_rows(envelopes, run_id)).filter("rows > 0").collect():
+                _audit(spark, root, dag_id, run_id, row["table"], "REJECTED", message=f"{row['rows']} rows without a key")
     except PySparkException as error:
-        _audit(spark, root, dag_id, run_id, ALL, ledger.FAILED, message=str(error)[:300])
+        _audit(spark, root, dag_id, run_id, ALL, ledger.FAILED, message=str(error))
         raise
     _audit(spark, root, dag_id, run_id, ALL, ledger.SUCCESS)
     return written
 
 
-def load_pending(envelopes: DataFrame, root: str, dag_id: str, run_id: str) -> Sequence[str]:
+def load_pending(envelopes: DataFrame, root: str, dag_id: str, run_id: str) -> DataFrame:
     """Claim every staged run nobody has loaded and load them together as one run.
 
-    The claimed runs are a filter on the envelopes, so any number of them is one
-    distributed load.  Returns the claimed run ids.
+    The claims are appended as events and read back, so any number of runs is one distributed load and none of them
+    passes through the driver.  Returns the claimed run ids, one row each.
     """
     spark = envelopes.sparkSession
-    events = spark.read.parquet(events_path(root))
-    # A list of run ids, not of data: one per staged run.
-    claimed = [r[0] for r in ledger.pending_loads(ledger.batch_state(events)).collect()]
-    if not claimed:
-        return []
+    claims = ledger.claim_events(ledger.batch_state(spark.read.parquet(events_path(root))), dag_id, run_id)
+    tables.append_ledger(claims, events_path(root))
+    own = (F.col("run_id") == run_id) & (F.col("layer") == "DDS") & (F.col("status") == ledger.NEW)
+    claimed = spark.read.parquet(events_path(root)).filter(own).select(F.col("parent_run_id").alias("run_id")).distinct()
+    if claimed.isEmpty():
+        return claimed
 
     def log(status: str, error: str | None = None) -> None:
-        rows = [(dag_id, run_id, parent, "DDS", status, error) for parent in claimed]
-        kinds = "dag_id STRING, run_id STRING, parent_run_id STRING, layer STRING, status STRING, error_message STRING"
-        stamped = spark.createDataFrame(rows, kinds).select("*", F.localtimestamp().alias("event_ts"), F.lit(0).cast("bigint").alias("seq"))
+        fixed = {"dag_id": dag_id, "layer": "DDS", "status": status, "error_message": error}
+        rows = claimed.select(F.lit(run_id).alias("run_id"), F.col("run_id").alias("parent_run_id"))
+        rows = rows.withColumns({name: F.lit(value).cast("string") for name, value in fixed.items()})
+        stamped = rows.withColumns({"event_ts": F.localtimestamp(), "seq": F.lit(0).cast("bigint")})
         tables.append_ledger(stamped, events_path(root))
 
-    log(ledger.NEW)
     log(ledger.PROCESSING)
     try:
-        load_run(envelopes.filter(F.col("run_id").isin(claimed)), root, dag_id, run_id)
+        load_run(envelopes.join(claimed, "run_id", "left_semi"), root, dag_id, run_id)
     except PySparkException as error:
-        log(ledger.FAILED, str(error)[:300])
+        log(ledger.FAILED, str(error))
         raise
     log(ledger.SUCCESS)
     return claimed
@@ -90,3 +94,16 @@ def staged(envelopes: DataFrame, path: str, root: str, dag_id: str, run_id: str)
         tables.append_ledger(ledger.batch_event(spark, dag_id, run_id, run_id, "STG", status), events_path(root))
     tables.append_envelopes(envelopes, path)
     tables.append_ledger(ledger.batch_event(spark, dag_id, run_id, run_id, "STG", ledger.SUCCESS), events_path(root))
+
+
+def stage_folder(spark: SparkSession, folder: str, path: str, root: str, dag_id: str, run_id: str, lines: bool = False) -> None:
+    """Stage the payload files of a run folder; a broken file or an empty batch fails the run and stages nothing."""
+    broken = E.payload_errors(spark, folder, lines)
+    count = broken.count()
+    if count:
+        first = broken.orderBy("path").first()
+        message = f"{count} broken payloads, the first: {first['path']} ({first['reason']})"
+        for status, error in ((ledger.NEW, None), (ledger.PROCESSING, None), (ledger.FAILED, message)):
+            tables.append_ledger(ledger.batch_event(spark, dag_id, run_id, run_id, "STG", status, error), events_path(root))
+        raise E.BrokenPayloads(message)
+    staged(E.read_envelopes(spark, folder, run_id, lines), path, root, dag_id, run_id)

@@ -8,16 +8,20 @@ else about the envelope is typed.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqloom.functions import routing
 from dqloom.functions import variant as V
 
 # Layout of a payload file and of the stored envelope.
-PAYLOAD_SCHEMA = (
-    "endpoint STRING, http_status INT, request_params MAP<STRING,STRING>, response_json VARIANT, source_file STRING"
-)
+PAYLOAD_FIELDS = {
+    "endpoint": "string",
+    "http_status": "int",
+    "request_params": "map<string,string>",
+    "response_json": "variant",
+    "source_file": "string",
+}
 ENVELOPE_COLUMNS = (
     "endpoint",
     "entity",
@@ -38,8 +42,12 @@ BATCH_DIR = "'/(batch_[^/]+)/'"
 HTTP_OK = "http_status BETWEEN 200 AND 299"
 
 
-def read_payloads(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
-    """Payload files of a run folder with their path; raises when there are none.
+class BrokenPayloads(ValueError):
+    """Payload files that are no JSON object, or batches without any payload."""
+
+
+def payload_texts(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Raw payload texts ``value`` of a run folder with their path ``_path``; raises when there are none.
 
     By default a file is one payload spread over many lines; ``lines`` reads files
     that hold one payload per line and can therefore be split.
@@ -47,14 +55,61 @@ def read_payloads(spark: SparkSession, folder: str, lines: bool = False) -> Data
     folder = folder.rstrip("/")
     for glob in LAYOUTS:
         try:
-            scan = spark.read.schema(PAYLOAD_SCHEMA).option("multiLine", not lines).json(f"{folder}/{glob}")
-            return scan.withColumn("_path", F.col("_metadata.file_path"))
+            scan = spark.read.text(f"{folder}/{glob}", wholetext=not lines)
+            return scan.select("value", F.col("_metadata.file_path").alias("_path"))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
     raise FileNotFoundError(f"no payload files under {folder}")
 
 
+def parsed(texts: DataFrame) -> DataFrame:
+    """Payload texts as ``_payload`` (VARIANT) with ``_broken``: empty, malformed or no object; NULL when sound."""
+    payload = F.try_parse_json("value")
+    return texts.withColumn("_payload", payload).withColumn(
+        "_broken",
+        F.when(F.btrim(F.coalesce("value", F.lit(""))) == "", "empty")
+        .when(F.col("_payload").isNull(), "malformed")
+        .when(~V.is_object(F.col("_payload")), "no object"),
+    )
+
+
+def payload_errors(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Files that hold no payload, ``path, reason``; batch directories without any file have the reason ``no files``.
+
+    With ``lines`` an empty line is no payload and no error.
+    """
+    found = parsed(payload_texts(spark, folder, lines)).filter("_broken IS NOT NULL")
+    if lines:
+        found = found.filter("_broken <> 'empty'")
+    bare = batch_folders(spark, folder).join(
+        payload_texts(spark, folder, lines).select(F.regexp_extract("_path", "/(batch_[^/]+)/", 1).alias("batch")).distinct(), "batch", "left_anti"
+    )
+    return found.select(F.col("_path").alias("path"), F.col("_broken").alias("reason")).unionByName(
+        bare.select("path", F.lit("no files").alias("reason"))
+    )
+
+
+def batch_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """The batch directories of a run folder, ``batch, path, no``, numbered by name; from a listing, no file is read."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/batch_*")
+    listing = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or ()
+    names = sorted((s.getPath().getName(), s.getPath().toString()) for s in listing if s.isDirectory())
+    rows = [(name, path, number) for number, (name, path) in enumerate(names, 1)]
+    return spark.createDataFrame(rows, "batch STRING, path STRING, no INT")
+
+
+def read_payloads(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Sound payloads of a run folder with their path; broken ones are in ``payload_errors``."""
+    return sound_payloads(parsed(payload_texts(spark, folder, lines)))
+
+
+def sound_payloads(texts: DataFrame) -> DataFrame:
+    """The typed fields of parsed payload texts that are JSON objects."""
+    fields = [V.get(F.col("_payload"), name, kind=kind).alias(name) for name, kind in PAYLOAD_FIELDS.items()]
+    return texts.filter("_broken IS NULL").select(*fields, "_path")
+
+
 def read_envelopes(spark: SparkSession, folder: str, run_id: str, lines: bool = False) -> DataFrame:
     """Envelopes of one run with defaults filled in and batches numbered by directory order."""
     raw = read_payloads(spark, folder, lines).selectExpr(
@@ -62,9 +117,8 @@ def read_envelopes(spark: SparkSession, folder: str, run_id: str, lines: bool =
         "coalesce(source_file, regexp_extract(_path, '([^/]+)$', 1)) AS source_file",
         f"regexp_extract(_path, {BATCH_DIR}, 1) AS _dir",
     )
-    # One row per batch directory, however many files there are.
-    numbers = raw.select("_dir").distinct().withColumn("_no", F.dense_rank().over(Window.orderBy("_dir")))
-    named = raw.join(numbers, "_dir").withColumn("batch_id", F.format_string(f"{run_id}_b%04d", "_no"))
+    numbers = batch_folders(spark, folder).select(F.col("batch").alias("_dir"), F.col("no").alias("_no"))
+    named = raw.join(numbers, "_dir", "left").withColumn("batch_id", F.format_string(f"{run_id}_b%04d", F.coalesce("_no", F.lit(1))))
     return as_envelopes(named, run_id)
 
 

@@ -46,23 +46,32 @@ def read_run(spark: SparkSession, root: str, names: Sequence[str], run_id: str,
     return out
 
 
+def _stored(spark: SparkSession, path: str, run_id: str | None) -> DataFrame | None:
+    """Rows of a stored table, or of one run of it; None where nothing is stored."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as error:
+        # nothing was written yet, or only tables without rows
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return rows if run_id is None else rows.filter(F.col("run_id") == run_id)
+
+
 def append_absent(
     spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], order: Sequence[str] = (), run_id: str | None = None
-) -> None:
-    """Append the rows whose key is not stored yet; stored rows are never touched.
+) -> int:
+    """Append the rows whose key is not stored yet and return their number; stored rows are never touched.
 
-    ``run_id`` says that all rows belong to that run, so only its partition is looked at.
+    ``run_id`` says that all rows belong to that run, so only its partition is looked at.  Rows are counted from the
+    files' footers before and after.
     """
-    try:
-        existing = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        existing = rows.limit(0)
-    if run_id is not None:
-        existing = existing.filter(F.col("run_id") == run_id)
-    fresh = insert_if_absent(existing, rows, keys, order)
+    existing = _stored(spark, path, run_id)
+    before = 0 if existing is None else existing.count()
+    fresh = insert_if_absent(rows.limit(0) if existing is None else existing, rows, keys, order)
     fresh.drop(*order).hint("rebalance").write.mode("append").partitionBy("run_id").parquet(path)
+    after = _stored(spark, path, run_id)
+    return (0 if after is None else after.count()) - before
 
 
 def save_entities(tables: Mapping[str, DataFrame], database: str) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from dqloom.operators import checks as C
 from dqloom.operators import fusion
 from dqloom.operators.checks import Check
 from dqloom.plans import native, suites
@@ -23,12 +24,15 @@ from dqloom.sources import tables
 def arriving_envelopes(
     spark: SparkSession, folder: str, run_id: str, lines: bool = False, files_per_trigger: int | None = None, layout: str = E.BATCH_GLOB
 ) -> DataFrame:
-    """New payload files below a run folder as a stream of envelopes; the batch id is the directory name."""
-    reader = spark.readStream.schema(E.PAYLOAD_SCHEMA).option("multiLine", not lines)
+    """New payload files below a run folder as a stream of envelopes; the batch id is the directory name.
+
+    Files that are no JSON object give no envelope; ``envelopes.payload_errors`` lists them.
+    """
+    reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    raw = reader.json(f"{folder.rstrip('/')}/{layout}").withColumn("_path", F.col("_metadata.file_path"))
-    named = raw.selectExpr(
+    texts = reader.text(f"{folder.rstrip('/')}/{layout}", wholetext=not lines).select("value", F.col("_metadata.file_path").alias("_path"))
+    named = E.sound_payloads(E.parsed(texts)).selectExpr(
         "* EXCEPT (source_file)",
         "coalesce(source_file, regexp_extract(_path, '([^/]+)$', 1)) AS source_file",
         f"concat('{run_id}_', regexp_extract(_path, {E.BATCH_DIR}, 1)) AS batch_id",
@@ -41,14 +45,20 @@ def stage_and_check(stream: DataFrame, raw_path: str, results_path: str, checkpo
 
     Each micro-batch writes to its own folder and replaces it when the batch is
     replayed after a failure, so the outcome is the same as of one successful run.
+    Checks for repeated keys look at everything stored up to the batch, as a key
+    may come back in a later one; all others look at the batch.
     """
     checks: Sequence[Check] = suites.STAGE.checks("E")
+    alone = [c for c in checks if c.count != C.GROUPS]
+    together = [c for c in checks if c.count == C.GROUPS]
 
     def process(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").partitionBy("run_id", "entity").parquet(f"{raw_path}/epoch={epoch}")
         stored = batch.sparkSession.read.parquet(f"{raw_path}/epoch={epoch}")
-        extract = fusion.evaluate("stage", "E", checks, E.stage_e_tables(stored))
-        results = native.ingestion_results(stored).unionByName(extract)
+        results = native.ingestion_results(stored).unionByName(fusion.evaluate("stage", "E", alone, E.stage_e_tables(stored)))
+        if together:
+            so_far = batch.sparkSession.read.parquet(raw_path).filter(F.col("epoch") <= epoch).drop("epoch")
+            results = results.unionByName(fusion.evaluate("stage", "E", together, E.stage_e_tables(so_far)))
         results.write.mode("overwrite").parquet(f"{results_path}/epoch={epoch}")
 
     return (

@@ -159,6 +159,21 @@ def test_experiment_plan_and_matrix(clean):
     assert matrix[bad, "T"] == (0, 4)
 
 
+def test_keyed_diff_of_repeated_keys(spark):
+    both = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "k int, v string")
+    assert diff.keyed_diff(both, both, ["k"]).count() == 0
+    more = both.unionByName(spark.createDataFrame([(1, "b"), (2, "x")], "k int, v string"))
+    found = {(r["k"], r["change"], r["field"], r["before"], r["after"]) for r in diff.keyed_diff(both, more, ["k"]).collect()}
+    assert found == {(1, "added", None, None, None), (2, "added", None, None, None)}
+
+
+def test_diff_sample_keeps_whole_keys(spark):
+    before = spark.range(5).selectExpr("id AS k", "1 AS a", "2 AS b")
+    after = spark.range(5).selectExpr("id AS k", "3 AS a", "4 AS b")
+    found = diff.diff_sample(diff.keyed_diff(before, after, ["k"]), ["k"], "changed", 2).collect()
+    assert [(r["k"], r["field"]) for r in found] == [(0, "a"), (0, "b"), (1, "a"), (1, "b")]
+
+
 def test_keyed_diff(spark):
     before = spark.createDataFrame([(1, "a", 1), (2, "b", None), (3, "c", 3)], "k INT, v STRING, n INT")
     after = spark.createDataFrame([(2, "b", 2), (3, "c", 3), (4, "d", 4)], "k INT, v STRING, n INT")

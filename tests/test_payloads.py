@@ -102,6 +102,14 @@ def test_families_can_run_alone(spark, generated, family):
     assert alone == {name: together[name][:2] for name in alone}
 
 
+def test_ids_are_compared_with_their_type(spark):
+    mixed = [match(1, homeTeam={"id": 1}, awayTeam={"id": "1"}), 7, "x", match(1, id="1"), match(2, homeTeam={}, awayTeam={"id": None})]
+    found = structure.findings(envelopes(spark, {"matches": mixed}), ["consistency", "uniqueness"]).collect()
+    assert sorted((r["rule"], r["value"]) for r in found if r["level"] == "error") == [("same_team", "2")]
+    twice = structure.findings(envelopes(spark, {"matches": [match(1, id="a"), match(2, id="a"), match(5)]}), ["uniqueness"]).collect()
+    assert [(r["rule"], r["value"]) for r in twice] == [("duplicate_id", "a")]
+
+
 def test_scorers(spark):
     body = {"scorers": [{"player": {"id": 1}, "team": {"id": 2}, "goals": 3}, {"player": {"id": 1}, "team": {}, "goals": None}, {"team": {}, "goals": 1}]}
     verdict = statuses(envelopes(spark, body, endpoint="competitions/1/scorers?season=2024"))

@@ -204,8 +204,8 @@ def test_pending_runs_are_loaded_once(spark, generated, tmp_path):
     raw, root = str(tmp_path / "raw"), str(tmp_path / "star")
     loading.staged(generated, raw, root, "dag", "gen")
     stored = tables.read_envelopes(spark, raw)
-    assert loading.load_pending(stored, root, "dag", "d1") == ["gen"]
-    assert loading.load_pending(stored, root, "dag", "d2") == []
+    assert [r["run_id"] for r in loading.load_pending(stored, root, "dag", "d1").collect()] == ["gen"]
+    assert loading.load_pending(stored, root, "dag", "d2").collect() == []
     assert tables.read_run(spark, root, ["fact_match"], "d1")["fact_match"].count() == 228
     audit = spark.read.parquet(loading.audit_path(root))
     rows = {r["entity_name"]: r["rows_processed"] for r in audit.filter("status = 'SUCCESS'").collect()}
@@ -217,6 +217,59 @@ def test_pending_runs_are_loaded_once(spark, generated, tmp_path):
     }
 
 
+def test_loading_a_run_again_adds_nothing(spark, generated, tmp_path):
+    from dqloom.plans import loading
+
+    root = str(tmp_path / "star")
+    first = loading.load_run(generated, root, "dag", "d1")
+    assert first["fact_match"] == 228
+    assert set(loading.load_run(generated, root, "dag", "d1").values()) == {0}
+    assert loading.load_run(generated, root, "dag", "d2") == first
+    stored = spark.read.parquet(f"{root}/fact_match").groupBy("run_id").count().collect()
+    assert {tuple(r) for r in stored} == {("d1", 228), ("d2", 228)}
+
+
+def test_rows_without_a_key(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from dqloom.plans import loading
+
+    body = json.dumps({"areas": [{"id": 1, "name": "a"}, {"name": "b"}, {"id": "x", "name": "c"}]})
+    raw = spark.createDataFrame([("areas", 200, None, None, "b1", "f1")], "endpoint STRING, http_status INT, request_params MAP<STRING,STRING>, response_json VARIANT, batch_id STRING, source_file STRING")
+    envelopes = E.as_envelopes(raw.withColumn("response_json", F.parse_json(F.lit(body))), "r")
+    assert flatten.unkeyed_rows(envelopes, "r")["dim_area"].count() == 2
+    assert loading.load_run(envelopes, str(tmp_path / "a"), "dag", "r")["dim_area"] == 1
+    audit = spark.read.parquet(loading.audit_path(str(tmp_path / "a"))).filter("status = 'REJECTED'").collect()
+    assert [(r["entity_name"], r["message"]) for r in audit] == [("dim_area", "2 rows without a key")]
+    with pytest.raises(PySparkException):
+        loading.load_run(envelopes, str(tmp_path / "b"), "dag", "r", strict=True)
+
+
+def test_broken_payloads_fail_the_batch(spark, tmp_path):
+    from dqloom.plans import loading
+
+    sound = json.dumps({"endpoint": "areas", "response_json": {"areas": [{"id": 1}]}})
+    files = {"batch_001/payloads/a.json": sound, "batch_001/payloads/b.json": sound[:20], "batch_002/payloads/c.json": "[1]", "batch_002/payloads/d.json": " "}
+    for name, text in files.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    (tmp_path / "in" / "batch_003").mkdir()
+    folder, root = str(tmp_path / "in"), str(tmp_path / "root")
+    found = {(r["path"].rsplit("/", 1)[1], r["reason"]) for r in E.payload_errors(spark, folder).collect()}
+    assert found == {("b.json", "malformed"), ("c.json", "no object"), ("d.json", "empty"), ("batch_003", "no files")}
+    assert E.read_envelopes(spark, folder, "r").count() == 1
+    with pytest.raises(E.BrokenPayloads):
+        loading.stage_folder(spark, folder, str(tmp_path / "raw"), root, "dag", "r")
+    assert not (tmp_path / "raw").exists()
+    (state,) = ledger.batch_state(spark.read.parquet(loading.events_path(root))).collect()
+    assert state["status"] == "FAILED" and "4 broken payloads" in state["error_message"]
+    for name in list(files)[1:]:
+        (tmp_path / "in" / name).write_text(sound)
+    (tmp_path / "in" / "batch_003").rmdir()
+    loading.stage_folder(spark, folder, str(tmp_path / "raw"), root, "dag", "r")
+    assert spark.read.parquet(str(tmp_path / "raw")).count() == 4
+
+
 def test_payload_experiment(spark, generated):
     from dqloom.operators import marts
     from dqloom.plans import experiment
