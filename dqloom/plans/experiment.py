@@ -1,12 +1,13 @@
 """Mutation experiments: baseline, mutated iterations, checks and comparisons.
 
-An iteration is a chain of lazy transforms over the immutable baseline; nothing
-is restored or rewritten between iterations.
+The baseline is immutable, so nothing is restored or rewritten between iterations: a table-level iteration is a
+chain of lazy transforms, a payload-level one is stored as a run of its own.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -16,12 +17,14 @@ from pyspark.sql import functions as F
 
 from dqloom.functions import routing
 from dqloom.operators import checks as C
-from dqloom.operators import diff, flatten, fusion, marts, mutations
+from dqloom.operators import diff, flatten, fusion, ledger, marts, mutations
 from dqloom.operators.ledger import validation_run_id
 from dqloom.plans import native
 from dqloom.plans.strategies import STAGES, Strategy
 from dqloom.plans.suites import ENTITY_SUITES, STAR_SUITES
+from dqloom.session import checkpoint_folder
 from dqloom.sources import envelopes as E
+from dqloom.sources import tables
 
 BASELINE = "baseline"
 
@@ -44,20 +47,6 @@ class Iteration:
         return [mutations.star_mutation(action, run_id) for action in self.loading]
 
 
-_SWAP = (("matches", "swap_teams"),)
-# The published mutation plan.
-DEFAULT_PLAN = (
-    Iteration("swap_teams x3 + fact_match", _SWAP, ("fact_match",), 3),
-    Iteration("swap_teams x5 + fact_standing", _SWAP, ("fact_standing",), 5),
-    Iteration("swap_teams x7 + season_dates_missing", _SWAP, ("season_dates_missing",), 7),
-    Iteration("swap_teams x10 + fact_match", _SWAP, ("fact_match",), 10),
-    Iteration("competitions duplicate_first + fact_standing", (("competitions", "duplicate_first"),), ("fact_standing",)),
-    Iteration("teams duplicate_first + season_dates_missing", (("teams", "duplicate_first"),), ("season_dates_missing",)),
-    Iteration("matches duplicate_first + fact_match", (("matches", "duplicate_first"),), ("fact_match",)),
-    Iteration("teams duplicate_first + swap x5 + fact_standing", (("teams", "duplicate_first"), *_SWAP), ("fact_standing",), 5),
-)
-
-
 def plan_from_config(config: Mapping) -> tuple[Iteration, ...]:
     """Iterations from a parsed mutation plan (``experiment: {iterations: [...]}``)."""
     out = []
@@ -107,13 +96,18 @@ def run_payload_iteration(
     baseline_marts: Mapping[str, DataFrame] | None = None,
     staging: bool = True,
     skip_gates: Sequence[str] = (),
+    root: str | None = None,
+    dag_id: str = "experiments",
 ) -> PayloadOutcome:
     """Copy a staged run with defects, gate it, load it with more defects, gate again, compare the marts.
 
-    Stops at the first gate that fails (``skip_gates`` leaves some out).  All
-    tables stay lazy; only check results come back.
+    The copy and its star are stored once below ``root`` (by default a fresh folder in the cluster's shared one), and
+    all gates of a phase are evaluated over the stored rows in one pass.  Results end with the first gate that fails
+    (``skip_gates`` leaves some out).  Every mutation is recorded in the audit as MUTATED.
     """
+    spark = envelopes.sparkSession
     run_id = f"{routing.EXPERIMENT_PREFIX}{iteration.name.replace(' ', '_')}"
+    root = root or f"{checkpoint_folder(spark)}/experiments-{uuid.uuid4().hex}"
 
     def mutate(copied: DataFrame) -> DataFrame:
         for entity, action in iteration.staging:
@@ -121,20 +115,54 @@ def run_payload_iteration(
             copied = mutations.mutate_payloads(copied, entity, action, iteration.swaps, seed)
         return copied
 
-    copied = E.copy_run(envelopes, source_run, run_id, mutate)
-    gates = [g for g in native.staging_gates(copied) if g[0] not in skip_gates] if staging else []
-    rows, stopped = native.run_gates(gates, enforce=False)
-    if stopped:
-        return PayloadOutcome(iteration.name, stopped, rows)
-    star = mutations.apply(flatten.load_star(copied, run_id), *iteration.star_mutations(run_id))
-    more, stopped = native.run_gates([g for g in native.star_gates(star, copied) if g[0] not in skip_gates], enforce=False)
+    tables.append_envelopes(E.copy_run(envelopes, source_run, run_id, mutate), f"{root}/envelopes")
+    copied = tables.read_envelopes(spark, f"{root}/envelopes", run_id)
+    _record(spark, root, dag_id, run_id, [("STG", entity, action) for entity, action in iteration.staging])
+    rows: list = []
+    if staging:
+        found = native.ingestion_results(copied).unionByName(native.payload_results(copied))
+        rows, stopped = native.until_failure(found, [g for g in ("ingestion", *native.PAYLOAD_SUITES) if g not in skip_gates], "suite")
+        if stopped:
+            return PayloadOutcome(iteration.name, stopped, rows)
+    loaded = mutations.apply(flatten.load_star(copied, run_id), *iteration.star_mutations(run_id))
+    tables.save_run(loaded, f"{root}/star", run_id)
+    _record(spark, root, dag_id, run_id, [("DDS", action, action) for action in iteration.loading])
+    star = tables.read_run(spark, f"{root}/star", list(loaded), run_id)
+    found = fusion.evaluate_placed(
+        [fusion.Placed("native", gate, check) for gate, checks in native.STAR_GATES.items() for check in checks], native.star_inputs(star, copied)
+    )
+    more, stopped = native.until_failure(found, [g for g in native.STAR_GATES if g not in skip_gates], "stage")
     if stopped:
         return PayloadOutcome(iteration.name, stopped, rows + more, star)
-    found = marts.add_marts(star)
-    changes = diff.compare_marts(dict(baseline_marts), found, marts.MART_KEYS) if baseline_marts else None
+    made = marts.add_marts(star)
+    changes = diff.compare_marts(dict(baseline_marts), made, marts.MART_KEYS) if baseline_marts else None
     return PayloadOutcome(iteration.name, None, rows + more, star, changes)
 
 
+def _record(spark: SparkSession, root: str, dag_id: str, run_id: str, done: Sequence[tuple[str, str, str]]) -> None:
+    """Audit rows of the mutations applied to a run."""
+    rows = [(dag_id, run_id, None, layer, f"{layer}_mutation_{entity}", mutations.MUTATED, None, None, None, action) for layer, entity, action in done]
+    if rows:
+        tables.append_ledger(ledger.audit_rows(spark.createDataFrame(rows, ledger.AUDIT_SCHEMA)), f"{root}/_audit")
+
+
+def compare_iterations(outcomes: Sequence[PayloadOutcome]) -> DataFrame | None:
+    """``iteration, stopped_at, mart, change, rows``: mart differences of the iterations that passed their gates.
+
+    An iteration that stopped has one row that names the gate; one without differences has none.
+    """
+    parts = []
+    for outcome in outcomes:
+        for mart, changes in (outcome.changes or {}).items():
+            keys = marts.MART_KEYS[mart]
+            totals = diff.diff_totals(changes, keys)
+            parts.append(totals.select(F.lit(outcome.name).alias("iteration"), F.lit(None).cast("string").alias("stopped_at"), F.lit(mart).alias("mart"), "change", "rows"))
+    stopped = [(o.name, o.stopped_at, None, None, None) for o in outcomes if o.stopped_at]
+    if stopped and (spark := SparkSession.getActiveSession()):
+        parts.append(spark.createDataFrame(stopped, "iteration STRING, stopped_at STRING, mart STRING, change STRING, rows BIGINT"))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 @dataclass
 class StageRun:
     """One measured evaluation of one suite at one stage."""

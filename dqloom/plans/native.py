@@ -184,6 +184,18 @@ def run_gates(gates: Sequence[tuple[str, Callable[[], DataFrame]]], enforce: boo
     return rows, None
 
 
+def until_failure(results: DataFrame, gates: Sequence[str], gate_column: str) -> tuple[list, str | None]:
+    """Results of gates evaluated together, in the order of the gates, up to the first gate with a FAIL or ERROR."""
+    found = results.collect()  # one row per check
+    rows: list = []
+    for gate in gates:
+        current = [r for r in found if r[gate_column] == gate]
+        rows += current
+        if any(r["status"] in (C.FAIL, C.BROKEN) for r in current):
+            return rows, gate
+    return rows, None
+
+
 def staging_gates(envelopes: DataFrame) -> list[tuple[str, Callable[[], DataFrame]]]:
     gates = [("ingestion", lambda: ingestion_results(envelopes))]
     return gates + [(s, lambda s=s: payload_results(envelopes, [s])) for s in PAYLOAD_SUITES]

@@ -61,7 +61,7 @@ def payloads(spark: SparkSession, scale: Scale, seed: int = 42, dataset: str | N
         "named_struct('source_file', '000002_competitions.json', 'endpoint', 'competitions', 'response_json', "
         f"to_json(named_struct('competitions', transform(sequence(0, {scale.competitions - 1}), c -> named_struct("
         f"'id', c + {FIRST_COMPETITION}, 'area', named_struct('id', {area_of}), 'name', concat('League ', c), "
-        "'code', concat('L', c), 'type', 'LEAGUE'))))))) ",
+        "'code', concat('L', c), 'type', 'LEAGUE', 'plan', 'TIER_ONE'))))))) ",
     )
 
     def team(position: str) -> str:
@@ -79,17 +79,14 @@ def payloads(spark: SparkSession, scale: Scale, seed: int = 42, dataset: str | N
         f"'fullTime', named_struct('home', {_draw(seed, 0, 5, "'hg'", 'c', 'y', 'm')}, "
         f"'away', {_draw(seed, 0, 5, "'ag'", 'c', 'y', 'm')})))"
     )
-    ranges = {
-        "won": (0, 20),
-        "draw": (0, 10),
-        "lost": (0, 10),
-        "points": (0, 100),
-        "goalsFor": (20, 80),
-        "goalsAgainst": (20, 80),
-        "goalDifference": (-30, 30),
-    }
-    drawn = ", ".join(f"'{k}', {_draw(seed, lo, hi, repr(k), 'c', 'y', 't')}" for k, (lo, hi) in ranges.items())
-    row = f"named_struct('position', t + 1, 'team', {team('t')}, 'playedGames', 38, {drawn})"
+    # Wins and draws are drawn, everything else follows from them, so that clean data passes its own checks.
+    won, draw = _draw(seed, 2, 24, "'won'", "c", "y", "t"), _draw(seed, 1, 12, "'draw'", "c", "y", "t")
+    scored, conceded = (_draw(seed, 12, 96, repr(k), "c", "y", "t") for k in ("scored", "conceded"))
+    row = (
+        f"named_struct('position', t + 1, 'team', {team('t')}, 'playedGames', 38, 'won', {won}, 'draw', {draw}, "
+        f"'lost', 38 - {won} - {draw}, 'points', {won} * 3 + {draw}, 'goalsFor', {scored}, 'goalsAgainst', {conceded}, "
+        f"'goalDifference', {scored} - {conceded})"
+    )
     listed_team = (
         f"named_struct('id', {FIRST_TEAM} + c * {teams} + t, 'area', named_struct('id', {area_of}), "
         "'name', concat('Team ', c, '-', t), 'shortName', concat('T', c, '-', t), 'tla', concat('T', t), "

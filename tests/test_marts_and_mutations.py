@@ -150,9 +150,13 @@ def test_star_mutations(small):
 
 def test_experiment_plan_and_matrix(clean):
     strategy = strategies.STRATEGIES["staged_soda_sql_soda"]
-    results = experiment.run_entity_plan(clean, experiment.DEFAULT_PLAN[5:7], strategy)
+    plan = (
+        experiment.Iteration("twin team, no dates", (("teams", "duplicate_first"),), ("season_dates_missing",)),
+        experiment.Iteration("twin match, odd match", (("matches", "duplicate_first"),), ("fact_match",)),
+    )
+    results = experiment.run_entity_plan(clean, plan, strategy)
     matrix = {(r["mutation"], r["stage"]): (r["soda"], r["sql"]) for r in reports.detection_matrix(results, ["soda", "sql"]).collect()}
-    dates, bad = experiment.DEFAULT_PLAN[5].name, experiment.DEFAULT_PLAN[6].name
+    dates, bad = (iteration.name for iteration in plan)
     assert matrix["baseline", "E"] == matrix["baseline", "T"] == matrix["baseline", "L"] == (0, 0)
     assert matrix[dates, "L"] == (1, 0) and matrix[dates, "E"] == (1, 0)
     # Duplicate, missing teams, matchday and status.

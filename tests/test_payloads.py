@@ -222,10 +222,13 @@ def test_payload_mutations_hit_the_first_element_only(spark):
 
 def test_gates_stop_at_the_first_failure(spark, generated):
     rows, stopped = native.run_gates(native.staging_gates(generated), enforce=False)
-    # Generated competitions lack a required field, so the schema gate stops the run.
+    assert stopped is None and {r["suite"] for r in rows} == {"ingestion", *native.PAYLOAD_SUITES}
+    nameless = F.parse_json(F.lit('{"competitions": [{"name": "no id"}]}'))
+    broken = generated.withColumn("body", F.when(F.col("entity") == "competitions", nameless).otherwise(F.col("body")))
+    rows, stopped = native.run_gates(native.staging_gates(broken), enforce=False)
     assert stopped == "schema" and {r["suite"] for r in rows} == {"ingestion", "schema"}
     with pytest.raises(native.GateFailed, match="competitions_schema"):
-        native.run_gates(native.staging_gates(generated))
+        native.run_gates(native.staging_gates(broken))
     star = flatten.load_star(generated, "d")
     rows, stopped = native.run_gates(native.star_gates(star, generated), enforce=False)
     assert stopped is None and len(rows) == 15

@@ -278,11 +278,17 @@ def test_payload_experiment(spark, generated):
 
     def run(*staging, loading=()):
         it = experiment.Iteration("it", staging, loading, 3, "seed")
-        # Generated competitions never carry the required plan, so the schema gate is left out.
-        return experiment.run_payload_iteration(generated, "gen", it, base, skip_gates=("schema",))
+        return experiment.run_payload_iteration(generated, "gen", it, base, skip_gates=skip)
 
+    skip = ()
+    spark.sparkContext.setJobGroup("iteration", "jobs of one iteration")
     swapped = run(("matches", "swap_teams"))
-    assert swapped.stopped_at is None and len(swapped.results) == 2 + 17 + 15
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("iteration"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # storing the copy and seven tables, and one evaluation before and after the load, however many gates there are
+    assert jobs <= 80
+    assert swapped.stopped_at is None and len(swapped.results) == 2 + 23 + 15
+    skip = ("schema",)
     assert swapped.changes["mart_team"].filter("change = 'changed'").count() > 0
     assert swapped.changes["mart_kpi"].filter("change <> 'changed'").count() == 0
     assert run(("matches", "duplicate_first")).stopped_at == "uniqueness"
@@ -290,7 +296,10 @@ def test_payload_experiment(spark, generated):
     bad = run(loading=("fact_match",))
     # The planted match has no teams; it is unknown to the source.
     assert bad.stopped_at == "source_exclusivity"
-    assert experiment.run_payload_iteration(generated, "gen", experiment.Iteration("it")).stopped_at == "schema"
+    assert experiment.run_payload_iteration(generated, "gen", experiment.Iteration("it")).stopped_at is None
+    compared = experiment.compare_iterations([swapped, bad]).collect()
+    assert ("it", "source_exclusivity", None, None, None) in {tuple(r) for r in compared}
+    assert any(r["mart"] == "mart_team" and r["change"] == "changed" and r["rows"] > 0 for r in compared)
 
 
 def test_settings_of_checks():
