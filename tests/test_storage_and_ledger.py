@@ -302,6 +302,35 @@ def test_payload_experiment(spark, generated):
     assert any(r["mart"] == "mart_team" and r["change"] == "changed" and r["rows"] > 0 for r in compared)
 
 
+def test_targets_of_a_stage_are_validated_once(spark, small, tmp_path):
+    from dqloom.plans import dispatch, loading, strategies
+
+    root = str(tmp_path)
+    for layer, parent, run, status in (
+        ("STG", "s1", "s1", "SUCCESS"), ("DDS", "s1", "d1", "SUCCESS"), ("STG", "s1", "exp_a", "SUCCESS"), ("DDS", "exp_a", "exp_da", "SUCCESS"),
+    ):
+        tables.append_ledger(ledger.batch_event(spark, "dag", run, parent, layer, status), loading.events_path(root))
+    bad, given = testbed.entity_tables(small, True), testbed.entity_tables(small)
+    clean = {n: given[n] for n in given}
+    clean["matches"] = given["matches"].filter("home_team_id <> away_team_id").dropDuplicates(["id"])
+    strategy = strategies.universal("soda", ("T",), only_unprocessed=True)
+
+    def run():
+        return dispatch.run_stage_targets(spark, root, "T", strategy, "s1", lambda r: bad if r["run_id"] == "exp_da" else clean, "dag").collect()
+
+    ((stage, suite, runs, passed, failed, checks_failed),) = run()
+    assert (stage, suite, runs, passed, failed) == ("T", "soda", 2, 1, 1) and checks_failed > 0
+    # what has finished is not looked at again, a failed run is
+    assert [(r["runs"], r["failed"]) for r in run()] == [(1, 1)]
+    assert spark.read.parquet(dispatch.runs_path(root)).count() == 3
+    assert spark.read.parquet(dispatch.results_path(root)).filter("status = 'FAIL'").count() == 2 * checks_failed
+    star = testbed.star_tables(small)
+    tally, sizes = dispatch.run_post_targets(spark, root, lambda r: star, "dag")
+    assert [r["runs"] for r in tally.collect()] == [2]
+    assert {(r["run_id"], r["table"]) for r in sizes.collect()} == {(d, m) for d in ("d1", "exp_da") for m in ("mart_kpi", "mart_team")}
+    assert dispatch.run_post_targets(spark, root, lambda r: star, "dag")[0].count() <= 1
+
+
 def test_settings_of_checks():
     from dqloom.operators import checks as C
 
