@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog import query
 from catalog import sql as S
 from catalog.suites import EXPECTED
-from dqloom.operators import diff, marts, mutations, reports
+from dqloom.operators import diff, flatten, marts, mutations, reports
 from dqloom.operators.mutations import ENTITY_LAYOUT, STAR_LAYOUT, STAR_NAMES
 from dqloom.plans import experiment, strategies, testbed
 
@@ -80,9 +80,12 @@ def matchday(t):
     return mutations.matchday_out_of_range(matches(t))
 
 
-@query("mut_drop_matches_key", CLEAN + f"SELECT {COLUMNS} FROM x_clean WHERE false")
+@query(
+    "mut_drop_matches_key",
+    CLEAN + """SELECT 'before' AS "table", count(*) AS rows FROM x_clean UNION ALL SELECT 'after', 0""",
+)
 def drop_key(t):
-    return mutations.drop_matches_key(matches(t))
+    return flatten.row_counts({"before": matches(t), "after": mutations.drop_matches_key(matches(t))})
 
 
 _BUSIEST = """busiest AS (SELECT competition_id FROM x_clean WHERE competition_id IS NOT NULL GROUP BY competition_id
