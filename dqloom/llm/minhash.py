@@ -20,7 +20,8 @@ PER_TREE = 5  # signature values that a tree starts with; further levels use tho
 DEPTH = 3  # values that neighbours share at least
 REGION = 1024  # neighbours in a tree's order that are compared at a time; denser regions are thereby compared deeper
 LOWEST = 0.55  # share of equal signature values below which a pair is no candidate; 4.6 deviations under PERCENT
-WIDTHS = (3, 32, REGION)  # most similar partners that a document proposes in each round
+WIDTH = 3  # most similar partners that a document proposes at first ...
+PROMISING = 0.7  # ... and the share of equal values from which it does
 SIZE = TREES * PER_TREE
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -49,11 +50,12 @@ def signatures(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
 
 
 def _regions(distinct: DataFrame) -> DataFrame:
-    """(key, chunk, node, signature) of the nodes that have neighbours, once per tree.
+    """(key, chunk, tree, whole, node, signature) of the nodes that have neighbours, once per tree.
 
     A tree orders the signatures from its own first value on, cyclically.  Nodes that share ``DEPTH`` values are a
     region; its nodes are cut, in that order, into overlapping chunks of ``REGION``.  So a node meets all nodes of a
-    sparse region, and in a dense one those with the longest common prefixes.
+    sparse region, and in a dense one those with the longest common prefixes.  ``whole`` has a bit for each tree in
+    which the node's region is one chunk.
     """
     trees = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
@@ -61,124 +63,160 @@ def _regions(distinct: DataFrame) -> DataFrame:
     )
     keyed = distinct.select("node", F.explode(trees).alias("at")).select("node", "at.tree", "at.key")
     shared = keyed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
-    shared = shared.join(distinct.select("node", "signature"), "node")
+    bits = F.sum(F.when(F.col("size") <= REGION, F.expr("shiftleft(1, tree)")).otherwise(0)).over(Window.partitionBy("node"))
+    shared = shared.withColumn("whole", bits.cast("int")).join(distinct.select("node", "signature"), "node")
     start = F.col("tree") * (2 * PER_TREE) + 1
     order = F.concat(F.substring("signature", start, F.lit(2 * SIZE)), F.substring("signature", F.lit(1), start - 1))
     place = F.row_number().over(Window.partitionBy("key").orderBy("order", "node")) - 1
     small = shared.where(F.col("size") <= REGION).withColumn("chunk", F.lit(0))
     large = shared.where(F.col("size") > REGION).withColumn("order", order).withColumn("home", F.floor(place / (REGION // 2)).cast("int"))
     large = large.withColumn("chunk", F.explode(F.array("home", F.col("home") + 1)))
-    columns = ["key", "chunk", "node", "signature"]
+    columns = ["key", "chunk", "tree", "whole", "node", "signature"]
     return small.select(columns).union(large.select(columns))
 
 
-def _proposals(width: int):
-    """From sorted (key, chunk) groups to pairs of different components that look alike."""
-
-    def pairs_of(nodes: np.ndarray, roots: np.ndarray, values: np.ndarray):
-        n = len(nodes)
-        if n < 2 or (roots == roots[0]).all():
-            return None
-        alike = np.zeros((n, n), dtype=np.float32)
-        for i in range(n - 1):
-            alike[i, i + 1 :] = (values[i + 1 :] == values[i]).sum(axis=1)
-        alike = (alike + alike.T) / SIZE
-        alike[(alike < LOWEST) | (roots[:, None] == roots[None, :])] = 0
-        cut = False
-        if n - 1 > width:
-            bound = -np.partition(-alike, width - 1, axis=1)[:, width - 1]
-            best = alike >= np.maximum(bound, 1e-6)[:, None]
-            # of many equal ones only the first count
-            best &= np.cumsum(best, axis=1) <= 2 * width
-            best |= best.T
-            cut = bool((~best & (alike > 0)).any())
-        else:
-            best = alike > 0
-        a, b = np.nonzero(np.triu(best, 1))
-        if not len(a):
-            return None
-        low, high = np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
-        return pd.DataFrame({"a": low, "b": high, "cut": np.full(len(a), cut)})
+def _alike(roots: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Share of equal values of each pair, 0 where it is too low or the pair is in one component."""
+    n = len(values)
+    alike = np.zeros((n, n), dtype=np.float32)
+    for i in range(n - 1):
+        alike[i, i + 1 :] = (values[i + 1 :] == values[i]).sum(axis=1)
+    alike = (alike + alike.T) / SIZE
+    alike[(alike < LOWEST) | (roots[:, None] == roots[None, :])] = 0
+    return alike
+
+
+def _values(signatures) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), dtype=np.uint16).reshape(-1, SIZE)
+
+
+def _propose(batches):
+    """The most similar pairs of every group of (key, chunk)."""
+    for pdf, bounds in grouped(batches, ["key", "chunk"]):
+        nodes, values, found = pdf["node"].to_numpy(), _values(pdf["signature"]), []
+        for start, stop in itertools.pairwise(bounds):
+            if stop - start < 2:
+                continue
+            alike = _alike(np.arange(stop - start), values[start:stop])
+            best = alike >= PROMISING
+            if len(alike) - 1 > WIDTH:
+                bound = -np.partition(-alike, WIDTH - 1, axis=1)[:, WIDTH - 1]
+                best &= alike >= bound[:, None]
+                best &= np.cumsum(best, axis=1) <= WIDTH  # of equal ones the first count
+            a, b = np.nonzero(best)
+            a, b = nodes[start + a], nodes[start + b]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+        if len(pairs):
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Exact comparison of two full sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    short, long = (x, y) if len(x) < len(y) else (y, x)
+    common = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
+
+def _confirm(percent: int):
     def run(batches):
-        for pdf, bounds in grouped(batches, ["key", "chunk"]):
-            nodes, roots = pdf["node"].to_numpy(), pdf["root"].to_numpy()
-            values = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint16).reshape(len(pdf), SIZE)
-            found = [pairs_of(nodes[a:b], roots[a:b], values[a:b]) for a, b in itertools.pairwise(bounds)]
-            found = [f for f in found if f is not None]
-            if found:
-                yield pd.concat(found, ignore_index=True).groupby(["a", "b"], as_index=False)["cut"].max()
+        for pdf in batches:
+            sets = zip(pdf["left"], pdf["right"], strict=True)
+            kept = np.array([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sets], dtype=bool)
+            if kept.any():
+                yield pdf.loc[kept, ["a", "b"]]
 
     return run
 
 
-def _confirm(percent: int):
-    """Exact comparison of the full sets of a pair."""
+def _to_compare(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The candidate pairs of two components in a group, the most similar first, each in the first tree it meets in.
+
+    Pairs that share an earlier tree's region, if that is one chunk, are compared there.
+    """
+    roots, tree = pdf["root"].to_numpy(), int(pdf["tree"].iloc[0])
+    values, whole = _values(pdf["signature"]), pdf["whole"].to_numpy()
+    alike = np.triu(_alike(roots, values))
+    a, b = np.nonzero(alike)
+    heads = values.reshape(len(values), TREES, PER_TREE)[:, :tree, :DEPTH]
+    before = np.zeros(len(a), dtype=bool)
+    for t in range(tree):
+        before |= (((whole[a] & whole[b]) >> t) & 1).astype(bool) & (heads[a, t] == heads[b, t]).all(axis=1)
+    a, b = a[~before], b[~before]
+    order = np.argsort(-alike[a, b], kind="stable")
+    return a[order], b[order]
+
+
+def _open_rows(batches):
+    """The rows of (key, chunk) groups that have a pair to compare."""
+    for pdf, bounds in grouped(batches, ["key", "chunk"]):
+        wanted = np.zeros(len(pdf), dtype=bool)
+        for start, stop in itertools.pairwise(bounds):
+            for side in _to_compare(pdf.iloc[start:stop]):
+                wanted[start + side] = True
+        if wanted.any():
+            yield pdf[wanted]
+
+
+def _finish(percent: int):
+    """Links between components that are still apart, enough of them to join what is linked."""
+
+    def join(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+        nodes, roots = pdf["node"].to_numpy(), pdf["root"].to_numpy().copy()
+        sets = [np.frombuffer(f, np.uint64) for f in pdf["full"]]
+        found = []
+        for x, y in zip(*(side.tolist() for side in _to_compare(pdf)), strict=True):
+            if roots[x] != roots[y] and _linked(sets[x], sets[y], percent):
+                found.append((int(nodes[x]), int(nodes[y])))
+                roots[roots == roots[y]] = roots[x]
+        return found
 
     def run(batches):
-        for pdf in batches:
-            kept = []
-            for left, right in zip(pdf["left"], pdf["right"], strict=True):
-                x, y = np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64)
-                short, long = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(long, short), len(long) - 1)
-                common = int((long[at] == short).sum())
-                kept.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "linked": kept})
+        for pdf, bounds in grouped(batches, ["key", "chunk"]):
+            found = [e for start, stop in itertools.pairwise(bounds) for e in join(pdf.iloc[start:stop])]
+            if found:
+                yield pd.DataFrame(sorted(set(found)), columns=["a", "b"])
 
     return run
 
 
-def _size_bound(percent: int):
-    """Pairs whose set sizes alone exclude a link need no comparison."""
-    least, most = F.least("left_n", "right_n"), F.greatest("left_n", "right_n")
-    return 100 * least >= percent * most
-
-
 def links(distinct: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """(node, root) of all nodes linked to another one, from distinct sets (node, n, signature) and (node, text).
+    """(node, root) of all nodes linked to another one, from distinct sets (node, signature) and (node, text).
 
-    Rounds alternate between proposing and confirming.  A round proposes, for each node and neighbourhood, the most
-    similar partners of other components; full sets confirm each new pair; confirmed pairs merge components.  Later
-    rounds propose wider, but only between components that are still apart.  It ends when no neighbourhood holds an
-    unconfirmed candidate pair of two components, so a group of many copies is never expanded into all its pairs and
-    yet no candidate link between components is left out.
+    First every node proposes its most similar partners of each neighbourhood, and full sets confirm these pairs.
+    That joins most of what belongs together.  Then, in the neighbourhoods that still hold several components, the
+    nodes that have a candidate in another one get their full sets, and all candidate pairs of two components are compared in place, each in the first tree where
+    it meets, the most similar first.  Only links that join components leave a task, so a group of many copies is
+    never expanded into its pairs, and no candidate link between components is left out.
     """
-    small_batches(distinct.sparkSession, 2048)
+    small_batches(distinct.sparkSession, 1024)
     regions = cut_lineage(_regions(distinct))
     wanted = regions.select("node").distinct()
     full = cut_lineage(
         annotate(
             texts.join(wanted, "node", "left_semi").select("node", "text"),
-            "n long, full binary",
-            lambda t: (lambda sets: ([len(s) for s in sets], [s.tobytes() for s in sets]))(shingle_sets(t, shingle)),
+            "full binary",
+            lambda t: [[s.tobytes() for s in shingle_sets(t, shingle)]],
             keep=["node"],
         ).dropDuplicates(["node"])
     )
-    spark = distinct.sparkSession
-    roots = spark.createDataFrame([], "node long, root long")
-    linked = spark.createDataFrame([], "a long, b long")
-    tried = spark.createDataFrame([], "a long, b long")
-    for width in WIDTHS:
-        placed = regions.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        placed = placed.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-        proposed = placed.select("key", "chunk", "node", "root", "signature").mapInPandas(_proposals(width), "a long, b long, cut boolean")
-        proposed = cut_lineage(proposed.groupBy("a", "b").agg(F.max("cut").alias("cut")))
-        any_cut = proposed.agg(F.max("cut").alias("cut")).first()["cut"]
-        if any_cut is None:  # nothing left to propose
-            break
-        pairs = proposed.join(tried, ["a", "b"], "left_anti")
-        left = full.select(F.col("node").alias("a"), F.col("n").alias("left_n"), F.col("full").alias("left"))
-        right = full.select(F.col("node").alias("b"), F.col("n").alias("right_n"), F.col("full").alias("right"))
-        sized = pairs.select("a", "b").join(left.drop("left"), "a").join(right.drop("right"), "b").where(_size_bound(percent)).select("a", "b")
-        both = sized.join(left.drop("left_n"), "a").join(right.drop("right_n"), "b")
-        judged = cut_lineage(both.select("a", "b", "left", "right").mapInPandas(_confirm(percent), "a long, b long, linked boolean"))
-        linked = linked.union(judged.where("linked").select("a", "b"))
-        tried = cut_lineage(tried.union(pairs.select("a", "b")))
-        roots = cut_lineage(components(linked))
-        if not any_cut:
-            break
-    return roots
+    keys = ["key", "chunk"]
+    proposed = regions.select(*keys, "node", "signature").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_propose, "a long, b long")
+    pairs = proposed.distinct()
+    both = pairs.join(full.select(F.col("node").alias("a"), F.col("full").alias("left")), "a")
+    both = both.join(full.select(F.col("node").alias("b"), F.col("full").alias("right")), "b")
+    sure = cut_lineage(both.select("a", "b", "left", "right").mapInPandas(_confirm(percent), "a long, b long"))
+
+    roots = components(sure)
+    placed = regions.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    group = Window.partitionBy(*keys)
+    mixed = placed.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)}).where("low < high")
+    kinds = "key long, chunk int, tree int, whole int, node long, root long, signature binary"
+    mixed = mixed.select(*keys, "tree", "whole", "node", "root", "signature").sortWithinPartitions(*keys).mapInPandas(_open_rows, kinds)
+    more = mixed.join(full, "node").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_finish(percent), "a long, b long")
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(more))
 
 
 def near_duplicates(docs: DataFrame, identifier: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:

@@ -73,7 +73,6 @@ def _varied(seed):
 def test_near_duplicates_of_stars(spark, monkeypatch, region):
     """Also where neighbourhoods are cut into small chunks."""
     monkeypatch.setattr(minhash, "REGION", region)
-    monkeypatch.setattr(minhash, "WIDTHS", (2, 4, region))
     rows = _varied(3)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
     assert found == plain.near(rows)
