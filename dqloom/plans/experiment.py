@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,17 +27,34 @@ from dqloom.sources import envelopes as E
 from dqloom.sources import tables
 
 BASELINE = "baseline"
+# The kinds of iterations.
+KINDS = ("stg_mutation", "dds_mutation", "snapshot")
 
 
 @dataclass(frozen=True)
 class Iteration:
-    """One experiment: (entity, action) payload-level defects, then table-level ones."""
+    """One experiment: (entity, action) payload-level defects, then table-level ones.
+
+    ``kind``: ``stg_mutation`` copies, gates and loads a staged run, ``dds_mutation`` loads the staged run itself,
+    ``snapshot`` loads it without defects and gates.  ``from_run`` names another staged run than the baseline's, and
+    ``validations`` switches single validators and checks on or off.
+    """
 
     name: str
     staging: tuple[tuple[str, str], ...] = ()
     loading: tuple[str, ...] = ()
     swaps: int = mutations.SWAP_COUNT
     seed: str | None = None
+    kind: str = "stg_mutation"
+    from_run: str | None = None
+    validations: Mapping[str, bool] = field(default_factory=dict)
+
+    def __post_init__(self):
+        if self.kind not in KINDS:
+            raise ValueError(f"unknown kind of iteration: {self.kind}")
+
+    def off(self) -> list[str]:
+        return [name for name, on in self.validations.items() if not on]
 
     def entity_mutations(self) -> list[mutations.Mutation]:
         changes = [mutations.entity_mutation(action, entity, self.swaps, self.seed) for entity, action in self.staging]
@@ -55,7 +72,10 @@ def plan_from_config(config: Mapping) -> tuple[Iteration, ...]:
         staging = tuple((entity, action) for entity, actions in enabled.items() for action in actions)
         env = item.get("env") or {}
         swaps = next((int(v) for k, v in env.items() if k.endswith("SWAP_TEAMS_COUNT")), mutations.SWAP_COUNT)
-        out.append(Iteration(item["name"], staging, tuple(item.get("dds_mutations_enable") or ()), swaps))
+        switches = {**(item.get("stg_validation_overrides") or {}), **(item.get("dds_validation_overrides") or {})}
+        kind = (item.get("kind") or KINDS[0]).strip().lower()
+        loading = tuple(item.get("dds_mutations_enable") or ())
+        out.append(Iteration(item["name"], staging, loading, swaps, None, kind, item.get("from_stg_run_id"), switches))
     return tuple(out)
 
 
@@ -115,25 +135,31 @@ def run_payload_iteration(
             copied = mutations.mutate_payloads(copied, entity, action, iteration.swaps, seed)
         return copied
 
-    tables.append_envelopes(E.copy_run(envelopes, source_run, run_id, mutate), f"{root}/envelopes")
-    copied = tables.read_envelopes(spark, f"{root}/envelopes", run_id)
-    _record(spark, root, dag_id, run_id, [("STG", entity, action) for entity, action in iteration.staging])
+    source_run = iteration.from_run or source_run
+    copied = envelopes.filter(F.col("run_id") == source_run)
+    if iteration.kind == "stg_mutation":
+        tables.append_envelopes(E.copy_run(envelopes, source_run, run_id, mutate), f"{root}/envelopes")
+        copied = tables.read_envelopes(spark, f"{root}/envelopes", run_id)
+        _record(spark, root, dag_id, run_id, [("STG", entity, action) for entity, action in iteration.staging])
     rows: list = []
-    if staging:
-        found = native.ingestion_results(copied).unionByName(native.payload_results(copied))
+    enabled = ~F.col("check_name").isin(iteration.off())
+    if staging and iteration.kind == "stg_mutation":
+        found = native.ingestion_results(copied).unionByName(native.payload_results(copied)).filter(enabled)
         rows, stopped = native.until_failure(found, [g for g in ("ingestion", *native.PAYLOAD_SUITES) if g not in skip_gates], "suite")
         if stopped:
             return PayloadOutcome(iteration.name, stopped, rows)
-    loaded = mutations.apply(flatten.load_star(copied, run_id), *iteration.star_mutations(run_id))
+    changed = iteration.star_mutations(run_id) if iteration.kind != "snapshot" else []
+    loaded = mutations.apply(flatten.load_star(copied, run_id), *changed)
     tables.save_run(loaded, f"{root}/star", run_id)
-    _record(spark, root, dag_id, run_id, [("DDS", action, action) for action in iteration.loading])
+    _record(spark, root, dag_id, run_id, [("DDS", action, action) for action in iteration.loading if changed])
     star = tables.read_run(spark, f"{root}/star", list(loaded), run_id)
-    found = fusion.evaluate_placed(
-        [fusion.Placed("native", gate, check) for gate, checks in native.STAR_GATES.items() for check in checks], native.star_inputs(star, copied)
-    )
-    more, stopped = native.until_failure(found, [g for g in native.STAR_GATES if g not in skip_gates], "stage")
-    if stopped:
-        return PayloadOutcome(iteration.name, stopped, rows + more, star)
+    more: list = []
+    if iteration.kind != "snapshot":
+        placed = [fusion.Placed("native", gate, check) for gate, checks in native.STAR_GATES.items() for check in checks]
+        found = fusion.evaluate_placed(placed, native.star_inputs(star, copied)).filter(enabled)
+        more, stopped = native.until_failure(found, [g for g in native.STAR_GATES if g not in skip_gates], "stage")
+        if stopped:
+            return PayloadOutcome(iteration.name, stopped, rows + more, star)
     made = marts.add_marts(star)
     changes = diff.compare_marts(dict(baseline_marts), made, marts.MART_KEYS) if baseline_marts else None
     return PayloadOutcome(iteration.name, None, rows + more, star, changes)

@@ -297,6 +297,13 @@ def test_payload_experiment(spark, generated):
     # The planted match has no teams; it is unknown to the source.
     assert bad.stopped_at == "source_exclusivity"
     assert experiment.run_payload_iteration(generated, "gen", experiment.Iteration("it")).stopped_at is None
+    forgiven = experiment.Iteration("off", (), ("fact_match",), kind="dds_mutation", from_run="gen", validations={"matches_source_exclusivity": False})
+    outcome = experiment.run_payload_iteration(generated, "other", forgiven, base)
+    assert outcome.stopped_at != "source_exclusivity" and "matches_source_exclusivity" not in {r["check_name"] for r in outcome.results}
+    still = experiment.run_payload_iteration(generated, "gen", experiment.Iteration("still", kind="snapshot"), base)
+    assert still.results == [] and still.changes["mart_team"].count() == 0
+    with pytest.raises(ValueError):
+        experiment.Iteration("x", kind="y")
     compared = experiment.compare_iterations([swapped, bad]).collect()
     assert ("it", "source_exclusivity", None, None, None) in {tuple(r) for r in compared}
     assert any(r["mart"] == "mart_team" and r["change"] == "changed" and r["rows"] > 0 for r in compared)
