@@ -94,13 +94,35 @@ def _place(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (high >> _U(32)).astype(np.int64), (high & _U(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _spread(chunk: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
-    """One row per bucket of entries that are sorted by bucket."""
+def _pack_rising(values: np.ndarray) -> bytes:
+    """Rising 32-bit numbers as the bytes of their differences, all first bytes, then all second ones and so on.
+
+    The high bytes of the differences are mostly zero, which the shuffle's compression removes.
+    """
+    return np.diff(values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpack_rising(packed: bytes) -> np.ndarray:
+    parts = np.frombuffer(packed, dtype=np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(parts).view("<u4").ravel(), dtype=np.uint32)
+
+
+def _flags(packed: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    bits = [np.unpackbits(np.frombuffer(p, dtype=np.uint8), count=n) for p, n in zip(packed, sizes.tolist(), strict=True)]
+    return np.concatenate(bits).astype(bool)
+
+
+def _pack_flags(values: np.ndarray) -> bytes:
+    return np.packbits(values).tobytes()
+
+
+def _spread(chunk: int, bucket: np.ndarray, columns: dict) -> pd.DataFrame:
+    """One row per bucket of entries that are sorted by bucket; a column is its values and how a bucket's are packed."""
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
     stops = np.append(edges[1:], len(bucket)) if len(bucket) else edges
     frame = {"chunk": chunk, "bucket": bucket[edges]}
-    for name, values in columns.items():
-        frame[name] = [values[a:b].tobytes() for a, b in zip(edges.tolist(), stops.tolist(), strict=True)]
+    for name, (values, pack) in columns.items():
+        frame[name] = [pack(values[a:b]) for a, b in zip(edges.tolist(), stops.tolist(), strict=True)]
     return pd.DataFrame(frame)
 
 
@@ -132,7 +154,7 @@ def _index(window: int, buckets: int):
             for row in _rows(pdf):
                 _, bucket, rest, is_block, several, *_ = _probes(row, block, buckets)
                 if len(bucket):
-                    yield _spread(row["chunk"], bucket, {"probes": rest, "marks": is_block.astype(np.uint8) + 2 * several.astype(np.uint8)})
+                    yield _spread(row["chunk"], bucket, {"probes": (rest, _pack_rising), "blocks": (is_block, _pack_flags), "several": (several, _pack_flags)})
 
     return run
 
@@ -140,12 +162,11 @@ def _index(window: int, buckets: int):
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each chunk's probes of this bucket: 1 if the words occur elsewhere too, 3 if one occurrence is a block."""
     sizes = pdf["probes"].map(len).to_numpy() // 4
-    probes = np.frombuffer(b"".join(pdf["probes"]), dtype=np.uint32)
-    marks = np.frombuffer(b"".join(pdf["marks"]), dtype=np.uint8)
+    probes = np.concatenate([_unpack_rising(p) for p in pdf["probes"]])
     distinct, inverse = np.unique(probes, return_inverse=True)
-    count = np.bincount(inverse, weights=1 + (marks >> 1), minlength=len(distinct)) > 1
+    count = np.bincount(inverse, weights=1 + _flags(pdf["several"], sizes), minlength=len(distinct)) > 1
     anchored = np.zeros(len(distinct), dtype=bool)
-    anchored[inverse[(marks & 1) == 1]] = True
+    anchored[inverse[_flags(pdf["blocks"], sizes)]] = True
     found = (count.astype(np.uint8) + 2 * (count & anchored).astype(np.uint8))[inverse]
     stops = np.cumsum(sizes)
     packed = [zstandard.compress(found[e - n : e].tobytes(), 1) for e, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
@@ -188,7 +209,7 @@ def _claim(window: int, buckets: int):
             chunk, distinct, first, *_ = _repeats(row, replies, window, buckets)
             bucket, _ = _place(distinct, buckets)
             ids = chunk.ids[chunk.words.owner[first]]
-            found.append(_spread(row["chunk"], bucket, {"hashes": distinct, "ids": ids, "starts": chunk.position[first].astype(np.uint32)}))
+            found.append(_spread(row["chunk"], bucket, {"hashes": (distinct, np.ndarray.tobytes), "ids": (ids, np.ndarray.tobytes), "starts": (chunk.position[first].astype(np.uint32), np.ndarray.tobytes)}))
         return pd.concat(found) if found else pd.DataFrame({"chunk": [], "bucket": [], "hashes": [], "ids": [], "starts": []})
 
     return run
@@ -256,7 +277,7 @@ def remove_repeats(docs: DataFrame, identifier: str = "doc_id", text: str = "tex
        their windows, each distinct one once, with its first place.
     3. Groups by the window's 64-bit hash settle which place is the earliest; the others' words go.
 
-    Probes and answers are packed arrays, four bytes a word, and copies within a chunk are merged before the shuffle,
+    Probes and answers are packed arrays, about three bytes a word, and copies within a chunk are merged before the shuffle,
     so a hot passage sends one entry per chunk.  Groups are bounded by the number of buckets, which grows with the
     text.  Nothing is capped.  Null and empty texts have no words.  Rows that repeat an identifier and a place in
     the text are the same place.  Rows with a null identifier lose nothing and make nothing go.  An empty table gives
@@ -267,7 +288,7 @@ def remove_repeats(docs: DataFrame, identifier: str = "doc_id", text: str = "tex
     grouped = cut_lineage(chunks(docs, identifier, text))
     chars = grouped.agg(F.sum("chars")).first()[0] or 0
     buckets = max(8, chars // (5 * BUCKET_WORDS))
-    probes = grouped.mapInPandas(_index(window, buckets), "chunk long, bucket long, probes binary, marks binary")
+    probes = grouped.mapInPandas(_index(window, buckets), "chunk long, bucket long, probes binary, blocks binary, several binary")
     answer = "chunk long, bucket long, turn int, found binary"
     first = cut_lineage(probes.groupBy("bucket").applyInPandas(_answer, answer))
     claims = grouped.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInPandas(
