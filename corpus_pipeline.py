@@ -22,7 +22,7 @@ QUALITY_LEAST = 0.3
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose lines are mostly good; the labels of every fifth document are never learned from."""
-    model = quality.fit(labelled(docs, read(spark, sf_dir, "labels"), "quality", 5, 0))
+    model = quality.fit(labelled(docs, read(spark, sf_dir, "labels"), "quality", 5, 0, quality.SAMPLE))
     return quality.keep_good(docs, model, QUALITY_LEAST)
 
 

@@ -68,15 +68,17 @@ def grouped(batches, keys: list[str]):
         yield held, [0, len(held)]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, buckets: int, held_out: int) -> DataFrame:
-    """Labelled rows that may be learned from: ``text`` and ``label``.
+def labelled(docs: DataFrame, labels: DataFrame, target: str, buckets: int, held_out: int, sample: int) -> DataFrame:
+    """Labelled rows to learn from, ``label_id``, ``text`` and ``label``: about ``sample`` of them, chosen by hash.
 
     Rows of the held-out bucket, without an identifier, without text or without a label are left out; of
-    repeated label rows of one document the smallest label counts.
+    repeated label rows of one document the smallest label counts.  The sample is drawn from the labels, so that
+    a broadcast of its bounded rows finds their texts and no text is shuffled.
     """
     known = labels.where(F.col(target).isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.min(target).cast("int").alias("label"))
     known = known.where((crc_bucket(F.col("label_id"), buckets) != held_out) & F.col("label").isin(0, 1))
-    return docs.select(F.col("doc_id").alias("label_id"), "text").where("text IS NOT NULL").join(known, "label_id")
+    chosen = F.broadcast(bounded_sample(known, "label_id", sample))
+    return docs.select(F.col("doc_id").alias("label_id"), "text").where("text IS NOT NULL").join(chosen, "label_id")
 
 
 def bounded_sample(rows: DataFrame, key: str, size: int, per: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqloom.llm.common import annotate, bounded_sample, slices, small_batches
+from dqloom.llm.common import annotate, slices, small_batches
 
 SAMPLE = 8_000  # labelled documents that the field is fitted on
 CHAIN = 200  # lines of a training chain; longer documents give several
@@ -137,7 +137,7 @@ class Model:
 
 def _goodness(model: Model, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
     scores = np.zeros((len(x), 2))
-    scores[:, 1] = ((x - model.centre) / model.scale) @ model.weights
+    scores[:, 1] = x @ (model.weights / model.scale).astype(np.float32) - float(model.centre @ (model.weights / model.scale))
     return _Chains(counts).run(scores, model.change)[0][:, 1]
 
 
@@ -151,7 +151,8 @@ def _documents(good: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> np.n
 
 def _fit_field(x: np.ndarray, y: np.ndarray, importance: np.ndarray, counts: np.ndarray, start: Model) -> Model:
     """Gradient ascent (Adam) on the weighted conditional likelihood of the line labels."""
-    z = (x - start.centre) / start.scale
+    z = x - start.centre
+    z /= start.scale
     chains = _Chains(counts)
     stops = np.cumsum(counts)
     follows = np.ones(len(y), dtype=bool)
@@ -163,9 +164,9 @@ def _fit_field(x: np.ndarray, y: np.ndarray, importance: np.ndarray, counts: np.
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     scores = np.zeros((len(x), 2))
     for step in range(1, STEPS + 1):
-        scores[:, 1] = z @ theta[:-4]
+        scores[:, 1] = z @ theta[:-4].astype(np.float32)
         marginals, pairs = chains.run(scores, theta[-4:].reshape(2, 2))
-        gradient = np.concatenate([z.T @ (importance * (y - marginals[:, 1])), (seen - pairs).ravel()]) / len(y) - SHRINK * theta
+        gradient = np.concatenate([z.T @ (importance * (y - marginals[:, 1])).astype(np.float32), (seen - pairs).ravel()]) / len(y) - SHRINK * theta
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         theta = theta + 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return Model(start.centre, start.scale, theta[:-4], theta[-4:].reshape(2, 2), start.calibration)
@@ -185,8 +186,8 @@ def _calibrate(values: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(training: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from rows (label_id, text, label); about ``sample`` of them, chosen by hash, are used.
+def fit(training: DataFrame) -> Model:
+    """A model from a bounded sample of rows (label_id, text, label), see ``common.labelled``.
 
     Line features are computed in tasks; the driver gets those of the bounded sample.  Only documents are labelled,
     so the field is fitted several times: at first every line has its document's label, later the lines of bad
@@ -207,19 +208,21 @@ def fit(training: DataFrame, sample: int = SAMPLE) -> Model:
                     "weight": [weight[s - n : s].tobytes() for s, n in zip(stops, counts, strict=True)],
                 })
 
-    rows = bounded_sample(training, "label_id", sample).select("label_id", "text", "label")
+    rows = training.select("label_id", "text", "label")
     kind = dict(rows.dtypes)["label_id"]
     found = rows.mapInPandas(measure, f"key {kind}, label int, lines int, x binary, weight binary").toPandas().sort_values("key", kind="stable")
     width = line_features([""])[0].shape[1]
     if found["label"].nunique() < 2:
         base = 0.0 if found.empty else 3.0 if found["label"].iloc[0] else -3.0
         return Model(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), (base, 0.0))
-    x = np.frombuffer(b"".join(found["x"]), dtype=np.float32).reshape(-1, width).astype(float)
+    # single precision throughout: the sample's features are the driver's largest arrays
+    x = np.frombuffer(b"".join(found.pop("x")), dtype=np.float32).reshape(-1, width)
     weight = np.frombuffer(b"".join(found["weight"]), dtype=float)
     counts, label = found["lines"].to_numpy(), found["label"].to_numpy()
     chains = np.concatenate([[CHAIN] * (n // CHAIN) + [n % CHAIN] * bool(n % CHAIN) for n in counts]).astype(int)
-    centre, scale = x.mean(axis=0), x.std(axis=0)
-    centre[0], scale = 0.0, np.where(scale > 1e-6, scale, 1.0)
+    centre, scale = x.mean(axis=0, dtype=float), np.sqrt(np.maximum((x**2).mean(axis=0, dtype=float) - x.mean(axis=0, dtype=float) ** 2, 0))
+    centre[0], scale = 0.0, np.where(scale > 1e-4, scale, 1.0)
+    centre, scale = centre.astype(np.float32), scale.astype(np.float32)
     model = Model(centre, scale, np.zeros(width), np.zeros((2, 2)), (0.0, 1.0))
     owner = np.repeat(np.arange(len(counts)), counts)
     of_document = label[owner]

@@ -64,7 +64,7 @@ def op4_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
-    model = toxicity.fit(labelled(docs, read(spark, folder, "labels"), "toxic", 3, 1))
+    model = toxicity.fit(labelled(docs, read(spark, folder, "labels"), "toxic", 3, 1, toxicity.SAMPLE))
     return _judged(toxicity.score(docs, model, keep=["doc_id"]), 3, 1, 0.7)
 
 
@@ -91,7 +91,7 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
-    model = quality.fit(labelled(docs, read(spark, folder, "labels"), "quality", 5, 0))
+    model = quality.fit(labelled(docs, read(spark, folder, "labels"), "quality", 5, 0, quality.SAMPLE))
     return _judged(quality.score(docs, model, keep=["doc_id"]), 5, 0, 0.3)
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqloom.llm.common import annotate, bounded_sample, small_batches
+from dqloom.llm.common import annotate, cut_lineage, small_batches
 
 SAMPLE = 20_000  # labelled documents that the lexicon and the calibration are fitted on
 LEXICON = 600  # entries at most, the most telling first
@@ -137,15 +137,15 @@ def features(model: Model, text: str | None) -> tuple[float, float, int]:
     return math.log1p(total), math.log1p(100 * total / max(len(words), 1)), len(words)
 
 
-def fit(training: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from rows (label_id, text, label); about ``sample`` of them, chosen by hash, are used.
+def fit(training: DataFrame) -> Model:
+    """A model from a bounded sample of rows (label_id, text, label), see ``common.labelled``.
 
     Distinct texts count once.  Words and their beginnings are counted in tasks and summed by Spark; only terms that
     are frequent and precise enough reach the driver.  Exceptions are words and word pairs that contain an entry
     and yet occur mostly in clean texts.  Without labelled rows of both kinds, every score is the plain base rate.
     """
     small_batches(training.sparkSession)
-    rows = bounded_sample(training, "label_id", sample).groupBy("text").agg(F.min("label").alias("label"), F.min("label_id").alias("key"))
+    rows = cut_lineage(training.groupBy("text").agg(F.min("label").alias("label")))
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     all_toxic, all_clean = totals.get(1, 0), totals.get(0, 0)
     if not all_toxic or not all_clean:
