@@ -65,7 +65,9 @@ def decode(unit: np.ndarray, directions: int, listed: int = LISTED, least: int =
     return lists
 
 
-def _listed(directions: int):
+def _listed(directions: int, number: str):
+    """Each vector's filters; vectors travel in the precision ``number`` that they are stored in."""
+
     def run(batches):
         for pdf in batches:
             if not len(pdf):
@@ -77,18 +79,18 @@ def _listed(directions: int):
                 values = np.stack(pdf["embedding"].iloc[at].tolist()).astype(float)
                 for i, found in zip(at, decode(values / np.linalg.norm(values, axis=1, keepdims=True), directions), strict=True):
                     lists[i] = found
-            raw = [np.asarray(v, dtype=np.float64).tobytes() for v in pdf["embedding"]]
+            raw = [np.asarray(v, dtype=number).tobytes() for v in pdf["embedding"]]
             yield pd.DataFrame({"label": pdf["label"], "size": sizes.astype(np.int32), "node": pdf["node"], "copies": pdf["copies"], "vector": raw, "filters": lists})
 
     return run
 
 
-def _verify(cosine: float):
+def _verify(cosine: float, number: str):
     """Per group: each vector's links that this filter is the first to show, and edges that span the linked ones."""
 
     def linked_in(pdf: pd.DataFrame):
         nodes, copies, side = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["side"].to_numpy()
-        vectors = np.frombuffer(b"".join(pdf["vector"]), dtype=np.float64).reshape(len(pdf), -1)
+        vectors = np.frombuffer(b"".join(pdf["vector"]), dtype=number).reshape(len(pdf), -1).astype(np.float64)
         vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         split = pdf["low"].iloc[0] != pdf["high"].iloc[0]
         a = np.flatnonzero(side == pdf["low"].iloc[0])
@@ -155,10 +157,11 @@ def near_vectors(vectors: DataFrame, identifier: str = "vec_id", vector: str = "
     # of rows that repeat an identifier with different vectors only the nodes' names coincide
     largest = distinct.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     directions = math.isqrt(max(FILTERS, largest * LISTED // MEETING) - 1) + 1
-    kind = dict(distinct.dtypes)["label"]
+    kind, element = dict(distinct.dtypes)["label"], dict(distinct.dtypes)["embedding"]
+    number, index = "float32" if element == "array<float>" else "float64", "int" if directions**2 < 2**31 else "long"
     listed = cut_lineage(
         distinct.select("label", "node", "copies", "embedding").mapInPandas(
-            _listed(directions), f"label {kind}, size int, node long, copies long, vector binary, filters array<long>"
+            _listed(directions, number), f"label {kind}, size int, node long, copies long, vector binary, filters array<{index}>"
         )
     )
     narrow = listed.select("label", "size", F.explode("filters").alias("filter"))
@@ -170,7 +173,7 @@ def near_vectors(vectors: DataFrame, identifier: str = "vec_id", vector: str = "
     placed = placed.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
     keys = ["label", "size", "filter", "low", "high"]
     meeting = placed.select(*keys, "side", "node", "copies", "vector", "filters").repartition(*keys).sortWithinPartitions(*keys)
-    found = cut_lineage(meeting.mapInPandas(_verify(cosine), "a long, b long, n long"))
+    found = cut_lineage(meeting.mapInPandas(_verify(cosine, number), "a long, b long, n long"))
     counts = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     roots = components(found.where("a <> b").select("a", "b"))
     nodes = distinct.select("label", "print", "node", "copies").join(counts, "node", "left").join(roots, "node", "left")
