@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dqloom.llm.common import annotate, components, cut_lineage, grouped, small_batches
+from dqloom.llm.common import annotate, components, cut_lineage, forest, grouped, small_batches
 from dqloom.llm.words import shingle_sets
 
 SHINGLE = 5
@@ -18,8 +18,9 @@ PERCENT = 75  # documents are linked when 100 * intersection >= PERCENT * union
 TREES = 20  # sorted signature orders
 PER_TREE = 5  # signature values that a tree starts with; further levels use those of the next trees
 DEPTH = 3  # values that neighbours share at least
-REGION = 1024  # neighbours in a tree's order that are compared at a time; denser regions are thereby compared deeper
+REGION = 1024  # neighbours in a tree's order that are compared at a time; the rest of denser regions is compared in blocks afterwards
 LOWEST = 0.55  # share of equal signature values below which a pair is no candidate; 4.6 deviations under PERCENT
+FEW = 20_000  # nodes that are sent to every task
 WIDTH = 3  # most similar partners that a document proposes at first ...
 PROMISING = 0.7  # ... and the share of equal values from which it does
 SIZE = TREES * PER_TREE
@@ -54,8 +55,8 @@ def _regions(distinct: DataFrame) -> DataFrame:
 
     A tree orders the signatures from its own first value on, cyclically.  Nodes that share ``DEPTH`` values are a
     region; its nodes are cut, in that order, into overlapping chunks of ``REGION``.  So a node meets all nodes of a
-    sparse region, and in a dense one those with the longest common prefixes.  ``whole`` has a bit for each tree in
-    which the node's region is one chunk.
+    sparse region, and in a dense one those with the longest common prefixes first (``_across`` has the others).
+    ``whole`` has a bit for each tree in which the node's region is one chunk.
     """
     trees = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
@@ -131,6 +132,15 @@ def _confirm(percent: int):
     return run
 
 
+def _met(values: np.ndarray, trees: np.ndarray, a: np.ndarray, b: np.ndarray, tree: int) -> np.ndarray:
+    """Whether each pair shares a region of a tree before ``tree``, of those that both have a bit for in ``trees``."""
+    heads = values.reshape(len(values), TREES, PER_TREE)[:, :tree, :DEPTH]
+    met = np.zeros(len(a), dtype=bool)
+    for t in range(tree):
+        met |= (((trees[a] & trees[b]) >> t) & 1).astype(bool) & (heads[a, t] == heads[b, t]).all(axis=1)
+    return met
+
+
 def _to_compare(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The candidate pairs of two components in a group, the most similar first, each in the first tree it meets in.
 
@@ -140,10 +150,7 @@ def _to_compare(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     values, whole = _values(pdf["signature"]), pdf["whole"].to_numpy()
     alike = np.triu(_alike(roots, values))
     a, b = np.nonzero(alike)
-    heads = values.reshape(len(values), TREES, PER_TREE)[:, :tree, :DEPTH]
-    before = np.zeros(len(a), dtype=bool)
-    for t in range(tree):
-        before |= (((whole[a] & whole[b]) >> t) & 1).astype(bool) & (heads[a, t] == heads[b, t]).all(axis=1)
+    before = _met(values, whole, a, b, tree)
     a, b = a[~before], b[~before]
     order = np.argsort(-alike[a, b], kind="stable")
     return a[order], b[order]
@@ -182,6 +189,127 @@ def _finish(percent: int):
     return run
 
 
+def _crossing(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The candidate pairs of two components in a block of a crowded region, each in the first tree it meets in."""
+    nodes, roots, values = pdf["node"].to_numpy(), pdf["root"].to_numpy(), _values(pdf["signature"])
+    left = pdf["left"].to_numpy(dtype=bool)
+    a, b = np.flatnonzero(left), np.flatnonzero(~left)
+    alike = np.zeros((len(a), len(b)), dtype=np.int16)
+    for i, x in enumerate(a):
+        alike[i] = (values[b] == values[x]).sum(axis=1)
+    # two nodes outside the largest component meet on both sides
+    twice = (roots[b] != pdf["mass"].iloc[0])[None, :] & (nodes[a][:, None] > nodes[b][None, :])
+    x, y = np.nonzero((alike >= round(LOWEST * SIZE)) & (roots[a][:, None] != roots[b][None, :]) & ~twice)
+    x, y = a[x], b[y]
+    before = _met(values, np.full(len(pdf), -1), x, y, int(pdf["tree"].iloc[0]))
+    return x[~before], y[~before]
+
+
+def _crossing_rows(batches):
+    """The rows of (key, row, column) groups that have a pair to compare."""
+    for pdf, bounds in grouped(batches, ["key", "row", "column"]):
+        wanted = np.zeros(len(pdf), dtype=bool)
+        for start, stop in itertools.pairwise(bounds):
+            for side in _crossing(pdf.iloc[start:stop]):
+                wanted[start + side] = True
+        if wanted.any():
+            yield pdf[wanted]
+
+
+def _marks(sets: list[np.ndarray], points: np.ndarray) -> np.ndarray:
+    marks = np.zeros((len(sets), len(points)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        s = s[np.searchsorted(s, points[0]) : np.searchsorted(s, points[-1], "right")]
+        at = np.searchsorted(points, s)
+        marks[i, at[points[at] == s]] = 1
+    return marks
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of the intersections of all pairs of sorted sets, by products of their marks."""
+    points = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    common = np.zeros((len(left), len(right)), dtype=np.float64)
+    for start in range(0, len(points), 4096):
+        part = points[start : start + 4096]
+        common += _marks(left, part) @ _marks(right, part).T
+    return common.astype(np.int64)
+
+
+def _settle(percent: int):
+    """Links between components of a crowded region, as spanning edges of their roots."""
+
+    def join(pdf: pd.DataFrame) -> np.ndarray:
+        x, y = _crossing(pdf)
+        if not len(x):
+            return np.zeros((0, 2), dtype=np.int64)
+        roots, full = pdf["root"].to_numpy(), pdf["full"].to_numpy()
+        a, b = np.unique(x), np.unique(y)
+        left, right = [np.frombuffer(f, np.uint64) for f in full[a]], [np.frombuffer(f, np.uint64) for f in full[b]]
+        total = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])
+        common = _common(left, right)
+        linked = (100 * common >= percent * (total - common))[np.searchsorted(a, x), np.searchsorted(b, y)]
+        return forest(np.stack([roots[x[linked]], roots[y[linked]]], axis=1))
+
+    def run(batches):
+        for pdf, bounds in grouped(batches, ["key", "row", "column"]):
+            found = np.concatenate([join(pdf.iloc[start:stop]) for start, stop in itertools.pairwise(bounds)])
+            if len(found):
+                yield pd.DataFrame(forest(found), columns=["a", "b"])
+
+    return run
+
+
+def _across(regions: DataFrame, full: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(node, root) after all candidate pairs of two components in regions of more than one chunk are compared.
+
+    The nodes of a region that are not in its largest component are compared with all its nodes, in blocks of half a
+    ``REGION`` by as much, so a region of near copies that are joined already costs little.  The earlier trees' links
+    are joined before the next trees are compared, unless these add no more rows than all regions have.  What shares
+    no component after that is compared in full: the cost is the product of the two counts, nothing is left out.
+    """
+    half = max(REGION // 2, 1)
+    # a node has two successive chunks in a crowded region, one of them even
+    crowds = regions.where("(shiftright(whole, tree) & 1) = 0 AND chunk % 2 = 0").select("key", "tree", "node", "signature")
+    if crowds.isEmpty():
+        return roots
+    rows, done = regions.count(), -1
+    while True:
+        at = crowds.where(F.col("tree") > done).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        kinds = at.groupBy("tree", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+        mixed = kinds.groupBy("tree", "key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("mass"))
+        blocks = {"rows": F.ceil((F.col("n") - F.col("most")) / half).cast("int"), "columns": F.ceil(F.col("n") / half).cast("int")}
+        mixed = cut_lineage(mixed.where("most < n").withColumns(blocks))
+        loads = mixed.groupBy("tree").agg(F.sum(F.expr("rows * n + columns * (n - most)")).alias("load")).orderBy("tree").collect()
+        if not loads:
+            return roots
+        trees, load = [], 0
+        for r in loads:
+            if trees and load + r["load"] > rows:
+                break
+            trees.append(r["tree"])
+            load += r["load"]
+        done = trees[-1]
+        here = at.where(F.col("tree").isin(trees)).join(mixed.drop("tree", "n", "most"), "key")
+        keys = ["key", "row", "column"]
+        names = [*keys, "left", "tree", "mass", "node", "root", "signature"]
+        few = here.where("root <> mass").withColumns({"left": F.lit(True), "row": F.pmod(F.xxhash64(F.lit(1), "node"), "rows").cast("int")})
+        few = few.withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+        every = here.withColumns({"left": F.lit(False), "column": F.pmod(F.xxhash64(F.lit(2), "node"), "columns").cast("int")})
+        every = every.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+        meeting = few.select(names).union(every.select(names)).repartition(*keys).sortWithinPartitions(*keys)
+        kept = "key long, row int, column int, left boolean, tree int, mass long, node long, root long, signature binary"
+        wanted = cut_lineage(meeting.mapInPandas(_crossing_rows, kept))
+        needed = wanted.select("node").distinct()
+        # few nodes find their sets without a shuffle of all sets
+        sets = full.join(F.broadcast(needed) if needed.count() <= FEW else needed, "node", "left_semi")
+        complete = wanted.join(sets, "node").repartition(*keys).sortWithinPartitions(*keys)
+        found = cut_lineage(complete.mapInPandas(_settle(percent), "a long, b long"))
+        if not found.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(found))
+        if len(trees) == len(loads):
+            return roots
+
+
 def links(distinct: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(node, root) of all nodes linked to another one, from distinct sets (node, signature) and (node, text).
 
@@ -189,7 +317,8 @@ def links(distinct: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle
     That joins most of what belongs together.  Then, in the neighbourhoods that still hold several components, the
     nodes that have a candidate in another one get their full sets, and all candidate pairs of two components are compared in place, each in the first tree where
     it meets, the most similar first.  Only links that join components leave a task, so a group of many copies is
-    never expanded into its pairs, and no candidate link between components is left out.
+    never expanded into its pairs.  Last, pairs of two components that share a crowded region but no chunk of it are
+    compared in blocks, so no candidate link between components is left out.
     """
     small_batches(distinct.sparkSession, 1024)
     regions = cut_lineage(_regions(distinct))
@@ -216,7 +345,8 @@ def links(distinct: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle
     kinds = "key long, chunk int, tree int, whole int, node long, root long, signature binary"
     mixed = mixed.select(*keys, "tree", "whole", "node", "root", "signature").sortWithinPartitions(*keys).mapInPandas(_open_rows, kinds)
     more = mixed.join(full, "node").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_finish(percent), "a long, b long")
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(more))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(more))
+    return _across(regions, full, roots, percent)
 
 
 def near_duplicates(docs: DataFrame, identifier: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:

@@ -78,6 +78,21 @@ def test_near_duplicates_of_stars(spark, monkeypatch, region):
     assert found == plain.near(rows)
 
 
+def test_near_duplicates_joined_through_a_hub_only(spark, monkeypatch):
+    """Light edits of one text that are linked with it, but not with each other, in regions of many chunks."""
+    monkeypatch.setattr(minhash, "REGION", 16)
+    draw = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(5000, " ".join(base))]
+    for i in range(400):
+        copy = list(base)
+        for at in draw.sample(range(2, 198, 5), 5):
+            copy[at] = f"n{i}_{at}"
+        rows.append((i, " ".join(copy)))
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert found == plain.near(rows) and {c for _, c in found.values()} == {0}
+
+
 def test_near_edges(spark):
     found = minhash.near_duplicates(frame(spark, EDGES)).collect()
     by = {r["doc_id"]: r for r in found}
