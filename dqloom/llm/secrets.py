@@ -15,7 +15,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 # Weak parts: only reported next to complementary parts.
 WEAK_ID = r"\b(?:(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{12,}|(?i:client_?id|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,})"
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,63}[0-9])(?=[A-Za-z0-9+/_-]{0,63}[A-Z])(?=[A-Za-z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{20,64}(?![A-Za-z0-9+/_-])"
+# a whole run of any length; possessive, so each look-ahead reads it once
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+"
 ENDPOINT = r"\b(?:https?|wss?|s3|ftp|jdbc:[a-z]{2,12})://[^\x00-\x20\"'<>|]+"
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 BASE, WEAK = KINDS[:3], KINDS[3:]

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import plain
 import public_tokenizers
+import pytest
 from conftest import SMALL
 from dqloom.llm import packing, pieces, queries, secrets
 from tokenizers import Tokenizer
@@ -45,6 +46,16 @@ def test_weak_parts_need_complements(spark):
     assert kinds == [[], ["weak_secret"], [], [], ["weak_id", "weak_secret"], ["weak_id", "weak_secret", "endpoint"], []]
 
 
+@pytest.mark.parametrize("length", [19, 20, 64, 65, 86, 93, 5000])
+def test_weak_secrets_of_any_length(spark, length):
+    key, site = ("aB3" + "xY7z+" * length)[:length], "https://api.example.org/v1"
+    row = [f"at {site} key {key}"]
+    found = secrets.scan(frame(spark, row)).select(secrets.as_text("__spans").alias("spans")).first()["spans"]
+    masked = secrets.mask(frame(spark, row)).first()["text"]
+    assert found == (f"weak_secret:34:{34 + length}" if length > 19 else "")
+    assert masked == (f"at {site} key [SECRET]" if length > 19 else row[0])
+
+
 def test_many_parts_in_one_document(spark):
     rows = [" ".join(["ASIA" + "Q7" * 8, "aB3" + "xY7z" * 8] * 3000)]
     found = secrets.scan(frame(spark, rows)).select(secrets.count_of("__spans", "weak_id").alias("n")).first()
