@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import plain
 import pytest
 from conftest import MEDIUM, SMALL
@@ -196,6 +197,21 @@ def test_cap_lists_hold_every_filter_beyond_the_threshold():
         assert found.tolist() == (beyond if len(beyond) >= caps.LEAST else np.sort(np.argsort(-scores[i], kind="stable")[: caps.LEAST])).tolist()
 
 
+@pytest.mark.parametrize("directions", [32, 100, 316, 1000])
+def test_pairs_at_the_bound_share_a_filter_of_few_and_of_many(directions):
+    draw = np.random.default_rng(6)
+    a, b = draw.standard_normal((2, 4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b *= (1 - caps.COSINE**2) ** 0.5 / np.linalg.norm(b, axis=1, keepdims=True)
+    sides = []
+    for side in (a, caps.COSINE * a + b):
+        table = pd.DataFrame({"label": 1, "node": range(len(side)), "copies": 1, "embedding": list(side)})
+        sides.append([set(f) for part in caps._listed(directions, "float64")([table]) for f in part["filters"]])
+    missed = sum(x.isdisjoint(y) for x, y in zip(*sides, strict=True))
+    assert missed <= 8  # two in a thousand
+
+
 def test_components_of_random_graphs(spark):
     draw = random.Random(4)
     edges = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2100)]
