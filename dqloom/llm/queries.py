@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqloom.llm import caps, exact, language, minhash, packing, pieces, quality, secrets, substrings, toxicity
+from dqloom.llm import bpe, caps, exact, language, minhash, packing, periods, pieces, quality, secrets, spelling, substrings, toxicity
 from dqloom.llm.common import crc_bucket, labelled, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,21 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+@query()
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+
+
+@query()
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(read(spark, folder, "documents"), change=spelling.lossy)
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.contract(read(spark, folder, "documents"))
+
+
 def _judged(scored: DataFrame, buckets: int, held_out: int, threshold: float) -> DataFrame:
     """Contract columns of a trained score; a null identifier counts as held out, as nothing is learned from it."""
     return scored.select(
