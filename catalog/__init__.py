@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from catalog import checks, experiments, ledgers, payloads, star, suites  # noqa: F401
+    from catalog import checks, dispatching, experiments, ledgers, payloads, star, suites, violations  # noqa: F401

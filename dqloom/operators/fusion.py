@@ -66,7 +66,11 @@ def _duplicate_rules(table: DataFrame, keys: Sequence[str], members: Sequence[tu
 
 def _reference_rules(child: DataFrame, parent: DataFrame, members: Sequence[tuple[int, C.Ref]]) -> DataFrame:
     refs = list(dict.fromkeys(ref for _, ref in members))
-    return _melt(K.orphan_totals(child, parent, refs), {pos: f"_n{refs.index(ref)}" for pos, ref in members})
+    # a check may have several references to one parent; several checks may share a reference
+    terms = defaultdict(list)
+    for pos, ref in members:
+        terms[pos].append(f"_n{refs.index(ref)}")
+    return _melt(K.orphan_totals(child, parent, refs), {pos: " + ".join(names) for pos, names in terms.items()})
 
 
 def _branches(checks: Sequence[tuple[int, Check]], tables: Tables) -> list[DataFrame]:
@@ -120,14 +124,15 @@ class Placed:
     check: Check
 
 
-def _described(placed: Sequence[Placed], counts: DataFrame) -> DataFrame:
-    """Attach the declared metadata, which travels as literals indexed by position."""
+def described(placed: Sequence[Placed], counts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Attach the declared metadata, which travels as literals indexed by position; ``keep`` names further columns."""
     meta = ", ".join(
         f"named_struct('suite', {quoted(p.suite)}, 'stage', {quoted(p.stage)}, 'name', {quoted(p.check.name)}, "
         f"'grp', {quoted(p.check.group)}, 'sev', {quoted(p.check.severity)})"
         for p in placed
     )
-    return counts.selectExpr(f"array({meta})[pos] AS m", "rows_failed").selectExpr(
+    return counts.selectExpr(*keep, f"array({meta})[pos] AS m", "rows_failed").selectExpr(
+        *keep,
         "m.suite AS suite",
         "m.stage AS stage",
         "m.name AS check_name",
@@ -139,19 +144,22 @@ def _described(placed: Sequence[Placed], counts: DataFrame) -> DataFrame:
     )
 
 
-def _broken(spark: SparkSession, placed: Placed, reason: str) -> DataFrame:
+def broken_columns(placed: Placed, reason: str) -> list[str]:
+    """The result columns of a check that could not run."""
     c = placed.check
     values = [placed.suite, placed.stage, c.name, c.group, c.severity, C.BROKEN, str(NOT_EVALUATED), reason]
-    return spark.range(1).selectExpr(
-        *[f"cast({quoted(v)} AS {'BIGINT' if n == 'rows_failed' else 'STRING'}) AS {n}" for v, n in zip(values, RESULT_COLUMNS)]
-    )
+    return [f"cast({quoted(v)} AS {'BIGINT' if n == 'rows_failed' else 'STRING'}) AS {n}" for v, n in zip(values, RESULT_COLUMNS)]
+
+
+def _broken(spark: SparkSession, placed: Placed, reason: str) -> DataFrame:
+    return spark.range(1).selectExpr(*broken_columns(placed, reason))
 
 
 def _reason(error: Exception) -> str:
     return str(error).strip()
 
 
-def _of_data(error: PySparkException) -> bool:
+def of_data(error: PySparkException) -> bool:
     """True for errors that a value causes: SQLSTATE class 22 (data exception) and raise_error's P0001."""
     state = error.getSqlState() or ""
     return state.startswith("22") or state == "P0001"
@@ -172,7 +180,7 @@ def evaluate_placed(placed: Sequence[Placed], tables: Tables, spark: SparkSessio
     usable = [p for p in placed if p.check.tables() <= names]
     broken = [(p, f"no table {sorted(p.check.tables() - names)}") for p in placed if p not in usable]
     try:
-        parts = [_described(usable, violation_counts([p.check for p in usable], tables))] if usable else []
+        parts = [described(usable, violation_counts([p.check for p in usable], tables))] if usable else []
     except AnalysisException:
         sound = []
         for p in usable:
@@ -181,7 +189,7 @@ def evaluate_placed(placed: Sequence[Placed], tables: Tables, spark: SparkSessio
                 sound.append(p)
             except AnalysisException as error:
                 broken.append((p, _reason(error)))
-        parts = [_described(sound, violation_counts([p.check for p in sound], tables))] if sound else []
+        parts = [described(sound, violation_counts([p.check for p in sound], tables))] if sound else []
     parts += [_broken(spark, p, reason) for p, reason in broken]
     return reduce(DataFrame.unionByName, parts)
 
@@ -202,7 +210,7 @@ def collect_results(suite: str, stage: str, checks: Sequence[Check], tables: Tab
     try:
         return [r.asDict() for r in evaluate(suite, stage, checks, tables).collect()]
     except PySparkException as whole:
-        if not _of_data(whole):
+        if not of_data(whole):
             raise
         spark = tables[next(iter(tables))].sparkSession
         results = []
@@ -210,7 +218,7 @@ def collect_results(suite: str, stage: str, checks: Sequence[Check], tables: Tab
             try:
                 results += [r.asDict() for r in evaluate(suite, stage, [check], tables).collect()]
             except PySparkException as error:
-                if not _of_data(error):
+                if not of_data(error):
                     raise
                 results += [r.asDict() for r in _broken(spark, Placed(suite, stage, check), _reason(error)).collect()]
         return results

@@ -62,6 +62,20 @@ def batch_event(spark, dag_id: str, run_id: str, parent_run_id: str, layer: str,
     return base.select("*", F.localtimestamp().alias("event_ts"), F.lit(0).cast("bigint").alias("seq"))
 
 
+def run_events(runs: DataFrame, dag_id: str, parent_run_id: str, layer: str, status: Column, error: str | None = None) -> DataFrame:
+    """One event per row of ``runs`` (``run_id``), ready to be appended together."""
+    return runs.select(
+        F.lit(dag_id).alias("dag_id"),
+        "run_id",
+        F.lit(parent_run_id).alias("parent_run_id"),
+        F.lit(layer).alias("layer"),
+        status.alias("status"),
+        F.lit(error).cast("string").alias("error_message"),
+        F.localtimestamp().alias("event_ts"),
+        F.lit(0).cast("bigint").alias("seq"),
+    )
+
+
 def _of(state: DataFrame, layer: str, *statuses: str) -> DataFrame:
     return state.filter((F.col("layer") == layer) & F.col("status").isin(*statuses))
 

@@ -30,7 +30,7 @@ def mutation_seed(run_id: str, layer: str, entity: str, action: str) -> str:
     return f"{run_id}:{layer}:{entity}:{action}"
 
 
-def _picked(df: DataFrame, key: str, n: int, seed: str | None) -> DataFrame:
+def picked(df: DataFrame, key: str, n: int, seed: str | None) -> DataFrame:
     """At most ``n`` key values: the smallest, or the smallest by seeded hash."""
     order = F.col(key) if seed is None else F.xxhash64(F.lit(seed), F.col(key))
     rows = df.filter(F.col(key).isNotNull()).select(key).orderBy(order, key).limit(max(1, n))
@@ -39,7 +39,7 @@ def _picked(df: DataFrame, key: str, n: int, seed: str | None) -> DataFrame:
 
 def _marked(df: DataFrame, key: str, n: int, seed: str | None) -> DataFrame:
     # At most n rows by construction; the join strategy is left to Spark.
-    return df.join(_picked(df, key, n, seed), F.col(key) == F.col("_key"), "left").drop("_key")
+    return df.join(picked(df, key, n, seed), F.col(key) == F.col("_key"), "left").drop("_key")
 
 
 def swap_teams(matches: DataFrame, n: int = SWAP_COUNT, seed: str | None = None, key: str = "id") -> DataFrame:
@@ -58,10 +58,14 @@ def collapse_teams(matches: DataFrame, n: int = SWAP_COUNT, seed: str | None = N
     return _marked(matches, key, n, seed).withColumn("home_team_id", home).select(*matches.columns)
 
 
+def first_row(df: DataFrame, key: str = "id") -> DataFrame:
+    rest = [c for c in df.columns if c != key]
+    return df.orderBy(F.asc_nulls_last(key), *rest).limit(1)
+
+
 def duplicate_first(df: DataFrame, key: str = "id") -> DataFrame:
     """Append a copy of the first row."""
-    rest = [c for c in df.columns if c != key]
-    return df.unionByName(df.orderBy(F.asc_nulls_last(key), *rest).limit(1))
+    return df.unionByName(first_row(df, key))
 
 
 def drop_required(df: DataFrame, key: str = "id") -> DataFrame:
@@ -129,8 +133,8 @@ def _anchor(matches: DataFrame, competitions: DataFrame, teams: DataFrame, seaso
     )
 
 
-def _append(df: DataFrame, anchor: DataFrame, values: Mapping[str, object], keys: Sequence[str]) -> DataFrame:
-    """Append one row built from the anchor unless its key exists; types follow the table."""
+def _planted(df: DataFrame, anchor: DataFrame, values: Mapping[str, object], keys: Sequence[str]) -> DataFrame:
+    """The row to append, built from the anchor; none where its key exists.  Types follow the table."""
     kinds = dict(df.dtypes)
     cells = []
     for c in df.columns:
@@ -145,11 +149,11 @@ def _append(df: DataFrame, anchor: DataFrame, values: Mapping[str, object], keys
     else:
         # The whole key is known, so its presence is a single number.
         row = row.filter(present.agg(F.count(F.lit(1))).scalar() == 0)
-    return df.unionByName(row)
+    return row
 
 
-def insert_bad_match(tables: Mapping[str, DataFrame], at: Layout, run_id: str | None = None, names: Mapping[str, str] | None = None):
-    """A match without teams, with an impossible matchday and status."""
+def planted_match(tables: Mapping[str, DataFrame], at: Layout, run_id: str | None = None, names: Mapping[str, str] | None = None) -> DataFrame:
+    """The row of a match without teams, with an impossible matchday and status."""
     n = names or {}
     matches = tables[n.get("matches", "matches")]
     anchor = _anchor(
@@ -174,7 +178,12 @@ def insert_bad_match(tables: Mapping[str, DataFrame], at: Layout, run_id: str |
     if run_id is not None:
         values["run_id"] = f"'{run_id}'"
         keys = ["run_id", *keys]
-    return _append(matches, anchor, values, keys)
+    return _planted(matches, anchor, values, keys)
+
+
+def insert_bad_match(tables: Mapping[str, DataFrame], at: Layout, run_id: str | None = None, names: Mapping[str, str] | None = None):
+    """The matches with ``planted_match``."""
+    return tables[(names or {}).get("matches", "matches")].unionByName(planted_match(tables, at, run_id, names))
 
 
 def _without_standing(anchor: DataFrame, standings: DataFrame, teams: DataFrame, at: Layout) -> DataFrame:
@@ -187,7 +196,7 @@ def _without_standing(anchor: DataFrame, standings: DataFrame, teams: DataFrame,
     return anchor.withColumn("team_id", F.coalesce(free.scalar(), F.col("team_id")))
 
 
-def insert_zero_standing(tables: Mapping[str, DataFrame], at: Layout, run_id: str | None = None, names: Mapping[str, str] | None = None):
+def planted_standing(tables: Mapping[str, DataFrame], at: Layout, run_id: str | None = None, names: Mapping[str, str] | None = None) -> DataFrame:
     """A standing row in which nothing was ever played."""
     n = names or {}
     standings, teams = tables[n.get("standings", "standings")], tables[n.get("teams", "teams")]
@@ -211,7 +220,12 @@ def insert_zero_standing(tables: Mapping[str, DataFrame], at: Layout, run_id: st
     else:
         values["run_id"] = f"'{run_id}'"
         keys = ["run_id", *keys]
-    return _append(standings, anchor, values, keys)
+    return _planted(standings, anchor, values, keys)
+
+
+def insert_zero_standing(tables: Mapping[str, DataFrame], at: Layout, run_id: str | None = None, names: Mapping[str, str] | None = None):
+    """The standings with ``planted_standing``."""
+    return tables[(names or {}).get("standings", "standings")].unionByName(planted_standing(tables, at, run_id, names))
 
 
 def corrupt_competition(competitions: DataFrame, target, key: str = "id", overwrite: bool = True) -> DataFrame:

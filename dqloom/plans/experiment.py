@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from dqloom.functions import routing
 from dqloom.operators import checks as C
-from dqloom.operators import diff, flatten, fusion, ledger, marts, mutations
+from dqloom.operators import deltas, diff, flatten, fusion, ledger, marts, mutations
 from dqloom.operators.ledger import validation_run_id
 from dqloom.plans import native
 from dqloom.plans.strategies import STAGES, Strategy
@@ -79,23 +79,27 @@ def plan_from_config(config: Mapping) -> tuple[Iteration, ...]:
     return tuple(out)
 
 
-def results_of(name: str, tables: Mapping[str, DataFrame], strategy: Strategy) -> DataFrame:
-    """Check results of every stage of a strategy over one version of the tables, fused across suites and stages."""
-    suites = {**ENTITY_SUITES, **STAR_SUITES}
-    placed = [
-        fusion.Placed(suite, stage, check)
-        for stage in STAGES
-        for suite in strategy.suites(stage)
-        for check in suites[suite].checks(stage)
-    ]
-    return fusion.evaluate_placed(placed, tables).withColumn("mutation", F.lit(name))
+def entity_changes(tables: Mapping[str, DataFrame], iteration: Iteration) -> dict[str, deltas.Change]:
+    """What an iteration changes.  Mutations that build on each other are not told apart: all their tables count as changed."""
+    steps = [(action, entity) for entity, action in iteration.staging] + [(action, "matches") for action in iteration.loading]
+    if len(steps) == 1:
+        (action, entity), seeded = steps[0], bool(iteration.staging)
+        return deltas.entity_change(tables, action, entity, iteration.swaps if seeded else None, iteration.seed if seeded else None)
+    before = {name: tables[name] for name in tables}
+    return deltas.whole_changes(before, mutations.apply(before, *iteration.entity_mutations()))
 
 
 def run_entity_plan(tables: Mapping[str, DataFrame], plan: Sequence[Iteration], strategy: Strategy) -> DataFrame:
-    """Results of the baseline and of every iteration, as one lazy frame."""
-    versions = [(BASELINE, tables)]
-    versions += [(it.name, mutations.apply(tables, *it.entity_mutations())) for it in plan]
-    return reduce(DataFrame.unionByName, [results_of(name, version, strategy) for name, version in versions])
+    """Results of the baseline and of every iteration, as one frame.
+
+    The tables are evaluated once; an iteration's results follow from the rows it changes (``operators.deltas``).
+    """
+    suites = {**ENTITY_SUITES, **STAR_SUITES}
+    placed = [
+        fusion.Placed(suite, stage, check) for stage in STAGES for suite in strategy.suites(stage) for check in suites[suite].checks(stage)
+    ]
+    changes = {it.name: entity_changes(tables, it) for it in plan}
+    return deltas.evaluate(placed, tables, changes, BASELINE).withColumnRenamed(deltas.VERSION, "mutation")
 
 
 @dataclass

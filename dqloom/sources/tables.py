@@ -46,6 +46,12 @@ def read_run(spark: SparkSession, root: str, names: Sequence[str], run_id: str,
     return out
 
 
+def read_runs(spark: SparkSession, root: str, names: Sequence[str], runs: DataFrame) -> dict[str, DataFrame]:
+    """The tables of all ``runs`` (``run_id``) together; other runs' partitions are pruned when the runs are known."""
+    wanted = runs.select("run_id").distinct()
+    return {name: spark.read.parquet(f"{root.rstrip('/')}/{name}").join(wanted, "run_id", "left_semi") for name in names}
+
+
 def _stored(spark: SparkSession, path: str, run_id: str | None) -> DataFrame | None:
     """Rows of a stored table, or of one run of it; None where nothing is stored."""
     try:

@@ -156,3 +156,10 @@ def test_first_row_of_a_key_is_deterministic(spark):
     for parts in (1, 4):
         got = {r["k"]: r["v"] for r in keys.first_per_key(df.repartition(parts), ["k"], ["ord"]).collect()}
         assert got == {1: "z", 2: None}
+
+
+def test_references_of_one_check_to_one_parent_add_up(spark):
+    refs = (C.Ref("home", ("home",), "team", ("id",)), C.Ref("away", ("away",), "team", ("id",)))
+    tables = {"game": spark.createDataFrame([(1, 9), (9, 1), (9, 9), (1, 1)], "home INT, away INT"), "team": spark.createDataFrame([(1,)], "id INT")}
+    (row,) = fusion.evaluate("own", "T", [C.orphans("teams", "game", *refs)], tables).collect()
+    assert row["rows_failed"] == 4

@@ -2,12 +2,15 @@
 
 import datetime as dt
 import json
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dqloom import session
-from dqloom.operators import flatten, ledger, reports
+from dqloom.operators import checks as C
+from dqloom.operators import flatten, fusion, ledger, reports
 from dqloom.plans import suites, testbed
 from dqloom.sources import envelopes as E
 from dqloom.sources import generated as G
@@ -320,10 +323,13 @@ def test_targets_of_a_stage_are_validated_once(spark, small, tmp_path):
     bad, given = testbed.entity_tables(small, True), testbed.entity_tables(small)
     clean = {n: given[n] for n in given}
     clean["matches"] = given["matches"].filter("home_team_id <> away_team_id").dropDuplicates(["id"])
+    both = testbed.Lazy(
+        {n: lambda n=n: clean[n].withColumn("run_id", F.lit("d1")).unionByName(bad[n].withColumn("run_id", F.lit("exp_da"))) for n in clean}
+    )
     strategy = strategies.universal("soda", ("T",), only_unprocessed=True)
 
     def run():
-        return dispatch.run_stage_targets(spark, root, "T", strategy, "s1", lambda r: bad if r["run_id"] == "exp_da" else clean, "dag").collect()
+        return dispatch.run_stage_targets(spark, root, "T", strategy, "s1", lambda targets: both, "dag").collect()
 
     ((stage, suite, runs, passed, failed, checks_failed),) = run()
     assert (stage, suite, runs, passed, failed) == ("T", "soda", 2, 1, 1) and checks_failed > 0
@@ -331,11 +337,91 @@ def test_targets_of_a_stage_are_validated_once(spark, small, tmp_path):
     assert [(r["runs"], r["failed"]) for r in run()] == [(1, 1)]
     assert spark.read.parquet(dispatch.runs_path(root)).count() == 3
     assert spark.read.parquet(dispatch.results_path(root)).filter("status = 'FAIL'").count() == 2 * checks_failed
-    star = testbed.star_tables(small)
-    tally, sizes = dispatch.run_post_targets(spark, root, lambda r: star, "dag")
+    stars = [testbed.star_tables(small, run_id=run) for run in ("d1", "exp_da")]
+    star = testbed.Lazy({n: lambda n=n: stars[0][n].unionByName(stars[1][n]) for n in stars[0]})
+    tally, sizes = dispatch.run_post_targets(spark, root, lambda targets: star, "dag")
     assert [r["runs"] for r in tally.collect()] == [2]
     assert {(r["run_id"], r["table"]) for r in sizes.collect()} == {(d, m) for d in ("d1", "exp_da") for m in ("mart_kpi", "mart_team")}
-    assert dispatch.run_post_targets(spark, root, lambda r: star, "dag")[0].count() <= 1
+    assert dispatch.run_post_targets(spark, root, lambda targets: star, "dag")[0].count() <= 1
+
+
+def _entities_of_runs(spark, runs):
+    """Small tables of several runs; run number ``i`` has ``i`` matches that break each rule."""
+    rows = {"areas": [], "competitions": [], "teams": [], "matches": [], "standings": []}
+    for i, run in enumerate(runs):
+        rows["areas"].append((run, 1, "a"))
+        rows["competitions"].append((run, 1, "c"))
+        rows["teams"] += [(run, 10 + i, "t"), (run, 20, "u")]
+        rows["matches"].append((run, 1, 1, 1, "FINISHED", 1, 10 + i, 20))
+        for k in range(i):
+            # unknown to this run, known to another; the same id twice
+            rows["matches"] += [(run, 100 + k, 1, 1, "FINISHED", 1, 11 + i, 20)] * 2
+        rows["standings"].append((run, 1, 1, 20, 3, 1, 0, 1))
+    layout = {
+        "areas": "id BIGINT, name STRING", "competitions": "id BIGINT, name STRING", "teams": "id BIGINT, name STRING",
+        "matches": "id BIGINT, competition_id BIGINT, season_id BIGINT, status STRING, matchday INT, home_team_id BIGINT, away_team_id BIGINT",
+        "standings": "season_id BIGINT, competition_id BIGINT, team_id BIGINT, points INT, won INT, draw INT, playedGames INT",
+    }
+    return {n: spark.createDataFrame(rows[n], f"run_id STRING, {layout[n]}") for n in rows}
+
+
+def test_runs_together_are_judged_like_each_alone(spark, small):
+    from dqloom.operators import runs as R
+
+    names = ["r0", "r1", "r2", "r3"]
+    given = _entities_of_runs(spark, names)
+    given["matches"] = given["matches"].withColumn("utcDate", F.lit(None).cast("timestamp_ntz"))
+    targets = spark.createDataFrame([(n,) for n in [*names, "nothing"]], "run_id STRING")
+    placed = [fusion.Placed(s.name, stage, c) for s in suites.ENTITY_SUITES.values() for stage in ("E", "T", "L") for c in s.checks(stage)]
+    placed.append(fusion.Placed("own", "E", C.all_loaded("loaded", "matches", ("home_team_id",), "teams", ("id",))))
+    placed.append(fusion.Placed("own", "E", C.none_invented("invented", "matches", ("home_team_id",), "teams", ("id",))))
+    found = {tuple(r) for r in R.evaluate(placed, given, targets).collect()}
+    assert len(found) == len(placed) * 5
+    for run in [*names, "nothing"]:
+        alone = {n: rows.filter(F.col("run_id") == run).drop("run_id") for n, rows in given.items()}
+        assert {r[1:] for r in found if r[0] == run} == {tuple(r) for r in fusion.evaluate_placed(placed, alone).collect()}
+    # tables of other runs do not matter
+    some = targets.filter("run_id = 'r2'")
+    assert {tuple(r) for r in R.evaluate(placed, given, some).collect()} == {r for r in found if r[0] == "r2"}
+
+
+def test_a_run_whose_values_a_check_cannot_bear(spark):
+    from dqloom.operators import runs as R
+
+    rows = spark.createDataFrame([("a", "1"), ("b", "x"), ("c", "-1")], "run_id STRING, v STRING")
+    placed = [fusion.Placed("own", "E", c) for c in (
+        C.rows_where("strict", "t", "cast(v AS INT) < 0"), C.not_empty("there", "t"), C.rows_where("unknown", "t", "w < 0"), C.not_empty("lost", "u"),
+    )]
+    targets = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "run_id STRING")
+    found = {(r["run_id"], r["check_name"]): (r["status"], r["rows_failed"]) for r in R.evaluated(placed, {"t": rows}, targets).collect()}
+    assert [found[r, "strict"] for r in "abcd"] == [("PASS", 0), ("ERROR", -1), ("FAIL", 1), ("PASS", 0)]
+    assert [found[r, "there"] for r in "abcd"] == [("PASS", 0)] * 3 + [("FAIL", 1)]
+    assert {found[r, c] for r in "abcd" for c in ("unknown", "lost")} == {("ERROR", -1)}
+
+
+def test_jobs_do_not_grow_with_the_runs(spark, tmp_path):
+    from dqloom.plans import dispatch, loading, strategies
+
+    def jobs(n):
+        root, names = str(tmp_path / str(n)), [f"exp_{i}" for i in range(n)]
+        given = _entities_of_runs(spark, names)
+        events = [ledger.batch_event(spark, "dag", run, "s1", "DDS", "SUCCESS") for run in names]
+        tables.append_ledger(reduce(DataFrame.unionByName, events).coalesce(1), loading.events_path(root))
+        group = f"dispatch {n}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            found = dispatch.run_stage_targets(spark, root, "T", strategies.universal("soda", ("T",)), "s1", lambda targets: given, "dag").collect()
+            issued = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert [(r["runs"], r["failed"]) for r in found] == [(n, n - 1)]
+        assert spark.read.parquet(dispatch.runs_path(root)).count() == n
+        state = {r["run_id"]: r["status"] for r in ledger.batch_state(spark.read.parquet(loading.events_path(root))).filter("layer = 'T_SODA'").collect()}
+        assert state == {run: "FAILED" if i else "SUCCESS" for i, run in enumerate(names)}
+        return issued
+
+    few, many = jobs(3), jobs(12)
+    assert many <= few + 2
 
 
 def test_settings_of_checks():
