@@ -14,10 +14,13 @@ from dqloom.llm.common import annotate
 
 # White space at which texts are cut into chunks: a part of what the pre-tokenizer drops, so no token crosses it.
 CHUNK = re.compile(r"[^ \t\n\r]+")
-KEPT_CHARS = 64  # longer chunks are encoded each time and not kept
-TABLE_CHUNKS = 200_000  # chunks in the younger half of a worker's table; when it is full, it becomes the older half
+KEPT_CHARS = 64  # longer chunks and words are encoded each time and not kept
+TABLE_CHUNKS = 250_000  # entries in the younger half of a worker's tables; when it is full, it becomes the older half
+PRINTABLE = re.compile("[!-~]+")  # characters that stand for their own byte
 LAST = 0x10000  # added to the code of a word's last character, so that word-final tokens match only there
 NEVER = 1 << 60
+NONE = -1
+TABLE_PAIRS = 1 << 20  # pairs of tokens whose compatibility a worker remembers
 
 
 class WordCoder:
@@ -58,14 +61,19 @@ class WordCoder:
                 a, b = self.parts[i]
                 if a in reachable and b in reachable and self._apart(a, b, self.birth[i], self.birth[i] - 1):
                     reachable[i] = text
-        self.length = {i: len(text) for i, text in reachable.items()}
+        size = max(spelled, default=0) + 1
+        self.length = [0] * size
+        for i, text in reachable.items():
+            self.length[i] = len(text)
         by_text = {text: i for i, text in reachable.items()}
-        self.shorter = {i: next((by_text[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in by_text), None) for i, text in reachable.items()}
-        self.matcher = ahocorasick.Automaton()
+        self.shorter: list[int] = [NONE] * size
+        for i, text in reachable.items():
+            self.shorter[i] = next((by_text[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in by_text), NONE)
+        self.matcher = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, text in reachable.items():
-            self.matcher.add_word(text, (i, len(text)))
+            self.matcher.add_word(text, i)
         self.matcher.make_automaton()
-        self.compatible = functools.lru_cache(maxsize=1 << 18)(lambda a, b: self._apart(a, b, NEVER, NEVER))
+        self.pairs: dict[int, bool] = {}  # the compatibility of pairs met so far
 
     def _apart(self, left: int, right: int, left_ends: int, right_ends: int) -> bool:
         """Whether no merge across the border of two neighbouring tokens comes in time.
@@ -89,35 +97,74 @@ class WordCoder:
         """Ids of one word, written in the characters of the vocabulary."""
         if self.suffix:
             word = word[:-1] + chr(ord(word[-1]) + LAST)
-        longest: list[int | None] = [None] * len(word)
-        for end, (token, n) in self.matcher.iter(word):  # ends rise, so the longest token of a start comes last
-            longest[end - n + 1] = token
-        failed, made, at = bytearray(len(word) + 1), [], 0
+        length, shorter, pairs = self.length, self.shorter, self.pairs
+        n = len(word)
+        longest = [NONE] * n
+        for end, token in self.matcher.iter(word):  # ends rise, so the longest token of a start comes last
+            longest[end + 1 - length[token]] = token
+        failed, made, at, last = bytearray(n + 1), [], 0, NONE
         token = longest[0]
         while True:
-            while token is not None and (failed[at + self.length[token]] or (made and not self.compatible(made[-1], token))):
-                token = self.shorter[token]
-            if token is not None:
+            while token != NONE:
+                if not failed[at + length[token]]:
+                    if last == NONE:
+                        break
+                    pair = last << 32 | token
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        fits = self._compatible(last, token)
+                    if fits:
+                        break
+                token = shorter[token]
+            if token != NONE:
                 made.append(token)
-                at += self.length[token]
-                if at == len(word):
+                at += length[token]
+                if at == n:
                     return made
-                token = longest[at]
+                last, token = token, longest[at]
             elif made:
                 failed[at] = 1
                 token = made.pop()
-                at -= self.length[token]
+                at -= length[token]
+                last = made[-1] if made else NONE
             else:
                 raise ValueError("a character is not in the vocabulary")
 
+    def _compatible(self, left: int, right: int) -> bool:
+        if len(self.pairs) >= TABLE_PAIRS:
+            self.pairs.clear()
+        fits = self.pairs[left << 32 | right] = self._apart(left, right, NEVER, NEVER)
+        return fits
+
+
+class Memory:
+    """What was found for short keys, in two halves of bounded size.
+
+    Forgets what was not met since the last exchange of the halves, which costs time, never results.
+    """
+
+    def __init__(self):
+        self.young, self.old = {}, {}
+
+    def get(self, key: str):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, found) -> None:
+        if len(key) <= KEPT_CHARS:
+            if len(self.young) >= TABLE_CHUNKS:
+                self.young, self.old = {}, self.young
+            self.young[key] = found
+
 
 class Coder:
     """Ids and decoded text of whole texts under a BPE vocabulary file of the ``tokenizers`` library.
 
-    Special tokens, normalisation and the cutting into words are read from the file and left to the library, one
-    distinct chunk between white space at a time; merges and decoding are done here.  A worker keeps what it found for
-    short chunks in two halves of bounded size and forgets what it did not meet since the last exchange of them, which
-    costs time, never results.
+    Special tokens, normalisation and the cutting into words are those of the file and left to the library, one chunk
+    between white space at a time; merges and decoding are done here.  Chunks of printable ASCII are lower-cased and
+    cut by the file's own pattern, whose classes mean the same there.  Workers remember short chunks and words.
     """
 
     def __init__(self, vocabulary: str):
@@ -128,7 +175,7 @@ class Coder:
         model, added = found["model"], found.get("added_tokens", [])
         if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "unk_token")):
             raise ValueError("only plain BPE vocabularies can be encoded this way")
-        if found.get("decoder") or found.get("post_processor") or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or CHUNK.fullmatch(t["content"]) is None for t in added):
+        if found.get("decoder") or found.get("post_processor") or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not CHUNK.fullmatch(t["content"]) for t in added):
             raise ValueError("the vocabulary decodes, adds or strips in a way that is not provided for")
         library = Tokenizer.from_file(vocabulary)
         self.normalise, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
@@ -147,18 +194,41 @@ class Coder:
             parts.append(by_id.get(i, ""))
             self.offsets.append(self.offsets[-1] + len(parts[-1]))
         self.letters = "".join(parts)
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.starts = {t["content"][0] for t in added}
+        self.pattern = self._plain_pattern(found)
+        self.chunks, self.known_words = Memory(), Memory()
+
+    @staticmethod
+    def _plain_pattern(found: dict) -> re.Pattern | None:
+        """The pattern that cuts lower-cased printable ASCII into words; None if the file prepares texts in another way."""
+        normal, cut = found.get("normalizer") or {}, found.get("pre_tokenizer") or {}
+        steps, cuts = normal.get("normalizers") or [], cut.get("pretokenizers") or []
+        if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or steps[1]["pattern"] != {"Regex": r"\s+"} or steps[1]["content"] != " ":
+            return None
+        if [c["type"] for c in cuts] != ["Split", "ByteLevel"] or (cuts[0]["behavior"], cuts[0]["invert"]) != ("Removed", True) or cuts[1]["use_regex"] or cuts[1]["add_prefix_space"]:
+            return None
+        return re.compile(cuts[0]["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
+
+    def _words(self, part: str) -> list[str]:
+        if self.pattern is not None and PRINTABLE.fullmatch(part):
+            return self.pattern.findall(part.lower())
+        return [word for word, _ in self.cut(self.normalise(part))]
+
+    def _tokens(self, chunk: str):
+        """The special tokens (with their id) and words (with None) of a text without the white space that texts are cut at."""
+        found: list[tuple[str, int | None]] = []
+        for part in self.at_special.split(chunk):
+            if part in self.special:
+                found.append((part, self.special[part]))
+            elif part:
+                found += [(word, None) for word in self._words(part)]
+        return found
 
     def chunk_ids(self, chunk: str) -> list[int]:
         """Ids of a text without the white space that texts are cut at."""
         ids: list[int] = []
-        for part in self.at_special.split(chunk) if self.at_special else [chunk]:
-            if part in self.special:
-                ids.append(self.special[part])
-            elif part:
-                for word, _ in self.cut(self.normalise(part)):
-                    ids += self.words.encode(word)
+        for word, special in self._tokens(chunk):
+            ids += self.words.encode(word) if special is None else [special]
         return ids
 
     def decode(self, ids) -> str:
@@ -168,23 +238,35 @@ class Coder:
         return " ".join([letters[offsets[i] : offsets[i + 1]] for i in ids if 0 <= i < last and offsets[i] < offsets[i + 1]])
 
     def _made(self, chunk: str) -> tuple[int, str, str]:
-        ids = self.chunk_ids(chunk)
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+        """Number of ids, ids joined by a space and decoded text of a chunk, put together from those of its words."""
+        if not self.starts.isdisjoint(chunk):
+            return _joined([self._word(word) if special is None else (1, str(special), self.decode([special])) for word, special in self._tokens(chunk)])
+        words = self._words(chunk)
+        return self._word(words[0]) if len(words) == 1 else _joined([self._word(word) for word in words])
+
+    def _word(self, word: str) -> tuple[int, str, str]:
+        entry = self.known_words.get(word)
+        if entry is None:
+            ids = self.words.encode(word)
+            entry = len(ids), " ".join(map(str, ids)), self.decode(ids)
+            self.known_words.put(word, entry)
+        return entry
 
     def lookup(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, ids joined by a space and decoded text of a whole text; null counts as empty."""
-        known, older, found = self.known, self.older, []
+        chunks, found = self.chunks, []
         for chunk in CHUNK.findall(text or ""):
-            entry = known.get(chunk)
+            entry = chunks.young.get(chunk) or chunks.get(chunk)
             if entry is None:
-                entry = older.get(chunk) or self._made(chunk)
-                if len(chunk) <= KEPT_CHARS:
-                    known[chunk] = entry
+                entry = self._made(chunk)
+                chunks.put(chunk, entry)
             if entry[0]:
                 found.append(entry)
-        if len(known) > TABLE_CHUNKS:
-            self.known, self.older = {}, known
-        return sum([e[0] for e in found]), " ".join([e[1] for e in found]), " ".join([e[2] for e in found])
+        return _joined(found)
+
+
+def _joined(found: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+    return sum([e[0] for e in found]), " ".join([e[1] for e in found]), " ".join([e[2] for e in found])
 
 
 @functools.lru_cache(maxsize=2)
