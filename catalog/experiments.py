@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import query
 from catalog import sql as S
 from catalog.suites import EXPECTED
-from dqloom.operators import diff, flatten, marts, mutations, reports
+from dqloom.operators import diff, digests, flatten, marts, mutations, reports
 from dqloom.operators.mutations import ENTITY_LAYOUT, STAR_LAYOUT, STAR_NAMES
 from dqloom.plans import experiment, strategies, testbed
+from dqloom.session import checkpoint_folder
 
 COLUMNS = ", ".join(testbed.MATCH_COLUMNS)
 CLEAN = f"WITH {S.X_CLEAN} "
@@ -297,6 +300,20 @@ def mart_diff(t):
     return diff.keyed_diff(*_team_marts(t), marts.MART_KEYS["mart_team"])
 
 
+def _stored_marts(t) -> tuple[str, str]:
+    """Both versions of the team mart, stored with their digests in the shared folder."""
+    root = f"{checkpoint_folder(t.spark)}/marts-{uuid.uuid4().hex}"
+    paths = (f"{root}/before", f"{root}/after")
+    for mart, path in zip(_team_marts(t), paths, strict=True):
+        digests.store(mart, path, marts.MART_KEYS["mart_team"], 4)
+    return paths
+
+
+@query("exp_mart_diff_stored", f"WITH {DIFF_CTES} {TEAM_DIFF}")
+def mart_diff_stored(t):
+    return digests.stored_diff(t.spark, *_stored_marts(t), marts.MART_KEYS["mart_team"])
+
+
 @query(
     "exp_mart_diff_totals",
     f"WITH {DIFF_CTES}, d AS ({TEAM_DIFF}) SELECT change, count(*) AS rows FROM "
@@ -335,6 +352,35 @@ def mart_fields_changed(t):
     return found.filter("change = 'changed'").groupBy("field").agg(F.count(F.lit(1)).alias("rows"))
 
 
+TEAM_FIELDS = ("competition_name", "start_date", "end_date", "season_year", "team_name", *COUNT_FIELDS)
+
+
+def _change_totals(mart: str, keys: tuple[str, ...], fields) -> str:
+    """mart, change and number of keys between both versions of a mart, in all its fields."""
+    listed = ", ".join(keys)
+    match = " AND ".join(f"b.{k} = a.{k}" for k in keys)
+    parts = [f"SELECT {', '.join(f'b.{k}' for k in keys)}, 'changed' AS change FROM {mart}_clean b JOIN {mart} a ON {match} WHERE "
+             + " OR ".join(f"b.{f} IS DISTINCT FROM a.{f}" for f in fields)]
+    for change, have, lack in (("added", mart, f"{mart}_clean"), ("removed", f"{mart}_clean", mart)):
+        same = " AND ".join(f"y.{k} = x.{k}" for k in keys)
+        parts.append(f"SELECT {', '.join(f'x.{k}' for k in keys)}, '{change}' FROM {have} x WHERE NOT EXISTS (SELECT 1 FROM {lack} y WHERE {same})")
+    return f"SELECT '{mart}' AS mart, change, count(*) AS rows FROM (SELECT DISTINCT {listed}, change FROM ({' UNION ALL '.join(parts)})) GROUP BY ALL"
+
+
+@query(
+    "exp_comparison",
+    f"""WITH {DIFF_CTES} SELECT 'defects' AS iteration, CAST(NULL AS VARCHAR) AS stopped_at, mart, change, rows FROM (
+    {_change_totals("mart_kpi", ("competition_id", "season_id"), KPI_FIELDS)} UNION ALL
+    {_change_totals("mart_team", ("competition_id", "season_id", "team_id"), TEAM_FIELDS)})
+    UNION ALL SELECT 'twins', 'uniqueness', NULL, NULL, NULL""",
+)
+def comparison(t):
+    before, after = ({name: testbed.star_tables(t, bad)[name] for name in marts.MART_KEYS} for bad in (False, True))
+    passed = experiment.PayloadOutcome("defects", None, [], changes=diff.compare_marts(before, after, marts.MART_KEYS))
+    same = experiment.PayloadOutcome("nothing", None, [], changes=diff.compare_marts(before, before, marts.MART_KEYS))
+    return experiment.compare_iterations([passed, same, experiment.PayloadOutcome("twins", "uniqueness", [])], t.spark)
+
+
 @query(
     "exp_keyless_diff",
     f"""WITH {S.X_CLEAN}, {S.X_MATCH}, a AS (SELECT DISTINCT {COLUMNS} FROM x_clean), b AS (SELECT DISTINCT {COLUMNS} FROM x_match)

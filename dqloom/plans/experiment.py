@@ -176,21 +176,19 @@ def _record(spark: SparkSession, root: str, dag_id: str, run_id: str, done: Sequ
         tables.append_ledger(ledger.audit_rows(spark.createDataFrame(rows, ledger.AUDIT_SCHEMA)), f"{root}/_audit")
 
 
-def compare_iterations(outcomes: Sequence[PayloadOutcome]) -> DataFrame | None:
+def compare_iterations(outcomes: Sequence[PayloadOutcome], spark: SparkSession | None = None) -> DataFrame:
     """``iteration, stopped_at, mart, change, rows``: mart differences of the iterations that passed their gates.
 
     An iteration that stopped has one row that names the gate; one without differences has none.
     """
-    parts = []
+    spark = spark or SparkSession.active()
+    stopped = [(o.name, o.stopped_at, None, None, None) for o in outcomes if o.stopped_at]
+    parts = [spark.createDataFrame(stopped, "iteration STRING, stopped_at STRING, mart STRING, change STRING, rows BIGINT")]
     for outcome in outcomes:
         for mart, changes in (outcome.changes or {}).items():
-            keys = marts.MART_KEYS[mart]
-            totals = diff.diff_totals(changes, keys)
+            totals = diff.diff_totals(changes, marts.MART_KEYS[mart])
             parts.append(totals.select(F.lit(outcome.name).alias("iteration"), F.lit(None).cast("string").alias("stopped_at"), F.lit(mart).alias("mart"), "change", "rows"))
-    stopped = [(o.name, o.stopped_at, None, None, None) for o in outcomes if o.stopped_at]
-    if stopped and (spark := SparkSession.getActiveSession()):
-        parts.append(spark.createDataFrame(stopped, "iteration STRING, stopped_at STRING, mart STRING, change STRING, rows BIGINT"))
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    return reduce(DataFrame.unionByName, parts)
 
 
 @dataclass

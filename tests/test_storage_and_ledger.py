@@ -196,6 +196,59 @@ def test_streaming_takes_each_file_once(spark, tmp_path):
     assert results.filter("status <> 'PASS'").count() == 0
 
 
+def test_keys_that_come_back_in_a_later_batch(spark, tmp_path):
+    """Keyed state over restarts: each repeated key once, in the batch that brings its second row."""
+    from dqloom.streaming import repeats
+
+    source, keys, memory = (str(tmp_path / n) for n in ("in", "keys", "checkpoint"))
+    totals, read = {}, {}
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "id STRING, part INT").coalesce(2).write.mode("append").parquet(source)
+
+    def judge(epoch, found):
+        totals[epoch] = found.count()
+        read[epoch] = len(found.inputFiles())
+
+    def run():
+        stream = spark.readStream.schema("id STRING, part INT").parquet(source)
+        repeats.watch(repeats.repeated(stream, ["id", "part"], False), keys, memory, judge).awaitTermination()
+
+    arrive([("a", 1), ("b", 1), ("a", 2), (None, 1), (None, 1)])
+    run()
+    arrive([("a", 1), ("c", 1), ("c", 1), ("c", 1)])
+    run()
+    run()
+    arrive([("a", 1), ("c", 1), ("b", 1)] + [("hot", 0)] * 5000)
+    run()
+    assert sorted(map(tuple, spark.read.parquet(keys).select("id", "part").collect())) == [("a", 1), ("b", 1), ("c", 1), ("hot", 0)]
+    assert [totals[e] for e in sorted(totals)] == [0, 2, 4]
+    # only keys that repeat are stored, not what was seen
+    assert spark.read.parquet(keys).count() == 4
+
+
+def test_repeated_ids_across_arriving_files(spark, tmp_path):
+    folder, raw, found, memory = (str(tmp_path / n) for n in ("in", "raw", "results", "checkpoint"))
+
+    def arrive(no, ids):
+        (tmp_path / "in" / f"batch_{no:03d}" / "payloads").mkdir(parents=True)
+        body = {"endpoint": "competitions/1/matches", "http_status": 200, "response_json": {"matches": [{"id": i, "matchday": 1} for i in ids]}}
+        (tmp_path / "in" / f"batch_{no:03d}" / "payloads" / f"p{no}.json").write_text(json.dumps(body))
+
+    def run():
+        incremental.stage_and_check(incremental.arriving_envelopes(spark, folder, "r"), raw, found, memory).awaitTermination()
+        rows = spark.read.parquet(found).filter("check_name = 'stg_duplicate_match_id'").select("epoch", "status", "rows_failed").collect()
+        return [tuple(r)[1:] for r in sorted(rows)]
+
+    arrive(1, [1, 2, 3])
+    assert run() == [("PASS", 0)]
+    arrive(2, [4, 2, None])
+    assert run() == [("PASS", 0), ("FAIL", 1)]
+    arrive(3, [2, 4, 5, 5])
+    assert run() == run() == [("PASS", 0), ("FAIL", 1), ("FAIL", 3)]
+    assert incremental.stored_envelopes(spark, raw).count() == 3
+
+
 def test_checkpoint_folder_is_read_from_the_session(spark):
     assert session.cut_lineage(spark.range(5)).count() == 5
     assert "shared-checkpoints" in session.checkpoint_folder(spark)
