@@ -6,11 +6,15 @@ from the user, the value and the type, so the ledger grows with the events.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import query
 from dqloom.operators import ledger, reports
+from dqloom.session import checkpoint_folder
+from dqloom.sources.history import History
 
 STATUS = (
     "CASE event_type WHEN 'click' THEN 'NEW' WHEN 'view' THEN 'PROCESSING' WHEN 'signup' THEN 'PROCESSING' "
@@ -58,6 +62,19 @@ def latest_status(t):
     return state_of(t)
 
 
+@query("ctl_state_of_history", f"WITH {LEDGER} SELECT * FROM state")
+def state_of_history(t):
+    """The same state from a snapshot of the older events and the rest, in five appends."""
+    past = History(t.spark, f"{checkpoint_folder(t.spark)}/history-{uuid.uuid4().hex}")
+    part = F.pmod(F.xxhash64("run_id", "seq"), F.lit(5))
+    events = events_of(t).withColumn("part", part)
+    for i in range(5):
+        past.append(events.filter(F.col("part") == i).drop("part"))
+        if i % 2 == 0:
+            past.compact()
+    return past.state()
+
+
 @query(
     "ctl_claim_pending",
     f"""WITH {LEDGER} SELECT 'load' AS dag_id, 'dds_new' AS run_id, s.run_id AS parent_run_id, 'DDS' AS layer, 'NEW' AS status

@@ -55,6 +55,33 @@ def batch_state(events: DataFrame) -> DataFrame:
     )
 
 
+# What a state needs of past events: the newest of them and what adds up.
+PARTIAL_SCHEMA = (
+    "layer STRING, parent_run_id STRING, run_id STRING, newest STRUCT<event_ts: TIMESTAMP_NTZ, seq: BIGINT, dag_id: STRING, "
+    "status: STRING, error_message: STRING>, attempts BIGINT, created_at TIMESTAMP_NTZ"
+)
+
+
+def partial_state(events: DataFrame) -> DataFrame:
+    """One mergeable row per run of some events."""
+    return events.groupBy(*RUN_KEY).agg(
+        F.expr("max(struct(event_ts, seq, dag_id, status, error_message)) AS newest"),
+        F.expr("count_if(status = 'PROCESSING') AS attempts"),
+        F.expr("min(event_ts) AS created_at"),
+    )
+
+
+def merged_states(partials: DataFrame) -> DataFrame:
+    """One mergeable row per run of several."""
+    return partials.groupBy(*RUN_KEY).agg(F.max("newest").alias("newest"), F.sum("attempts").alias("attempts"), F.min("created_at").alias("created_at"))
+
+
+def finished_state(partials: DataFrame) -> DataFrame:
+    """``batch_state`` from mergeable rows."""
+    newest = ("dag_id", "status", "error_message")
+    return partials.select(*RUN_KEY, *(F.col(f"newest.{c}").alias(c) for c in newest), "attempts", "created_at", F.col("newest.event_ts").alias("last_updated_at"))
+
+
 def batch_event(spark, dag_id: str, run_id: str, parent_run_id: str, layer: str, status: str, error: str | None = None) -> DataFrame:
     """One event row, ready to be appended."""
     row = [(dag_id, run_id, parent_run_id, layer, status, error)]

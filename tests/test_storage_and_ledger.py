@@ -196,6 +196,37 @@ def test_streaming_takes_each_file_once(spark, tmp_path):
     assert results.filter("status <> 'PASS'").count() == 0
 
 
+def test_state_from_a_snapshot_and_its_tail(spark, tmp_path):
+    """The same state as from all events, whenever it is compacted; folded events are not read again."""
+    import random
+
+    from dqloom.sources.history import History
+
+    draw, start = random.Random(3), dt.datetime(2024, 1, 1)
+    past, every = History(spark, str(tmp_path / "ledger")), []
+    assert past.state().count() == 0 and past.compact() == -1
+    for step in range(5):
+        rows = [
+            ("dag", f"r{draw.randrange(6)}", "p", draw.choice(["STG", "DDS"]), draw.choice(["NEW", "PROCESSING", "SUCCESS", "FAILED"]), draw.choice([None, "e"]),
+             start + dt.timedelta(minutes=draw.randrange(400)), 100 * step + i)
+            for i in range(20)
+        ]
+        every += rows
+        past.append(spark.createDataFrame(rows, ledger.BATCH_EVENT_SCHEMA).coalesce(1))
+        if step in (0, 1, 3):
+            past.compact()
+        whole = ledger.batch_state(spark.createDataFrame(every, ledger.BATCH_EVENT_SCHEMA))
+        columns = whole.columns
+        assert sorted(map(repr, past.state().select(columns).collect())) == sorted(map(repr, whole.collect()))
+    read = past.state().inputFiles()
+    assert any("snapshot-" in f for f in read) and not any("generation-0/" in f or "generation-1/" in f for f in read)
+    before = len(past.state().inputFiles())
+    for _ in range(3):
+        past.append(spark.createDataFrame(every[:3], ledger.BATCH_EVENT_SCHEMA).coalesce(1))
+        past.compact()
+    assert len([f for f in past.state().inputFiles() if "generation-" in f]) <= before
+
+
 def test_keys_that_come_back_in_a_later_batch(spark, tmp_path):
     """Keyed state over restarts: each repeated key once, in the batch that brings its second row."""
     from dqloom.streaming import repeats
