@@ -19,7 +19,7 @@ RATIO = 10  # a form is at least so many times as frequent as its variant
 LOSSY = 31  # the query's contract deletes a letter of every occurrence whose hash this divides
 BITS_A_WORD = 16
 BITS_SET = 5  # bits a word sets in its 64-bit block
-SHARD_WORDS = 1 << 20  # words of one filter: 2 MB
+SHARD_WORDS = 1 << 14  # words of one filter, about: 32 KB
 FILTER_BYTES = 1 << 25  # bytes of filters that are broadcast together; more words take more passes
 PROBES = 1 << 20  # probes that a task holds at a time
 TABLE_WORDS = 200_000  # distinct words that a counting task holds before it hands on its counts
@@ -129,13 +129,13 @@ def part_of(mixed: np.ndarray, parts: int) -> np.ndarray:
     return ((mixed >> _U(40)) % _U(parts)).astype(np.int64)
 
 
-def block_and_mask(mixed: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+def block_and_mask(mixed: np.ndarray, blocks: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A word's block in its filter and the bits that it sets there."""
     again = _mixed(mixed + _U(_BASE))
     mask = np.zeros(len(mixed), dtype=np.uint64)
     for i in range(BITS_SET):
         mask |= _U(1) << ((again >> _U(6 * i)) & _U(63))
-    return ((again >> _U(32)) % _U(blocks)).astype(np.int64), mask
+    return (((again >> _U(32)) * np.uint64(blocks)) >> _U(32)).astype(np.int64), mask
 
 
 def filters(words: DataFrame, parts: dict[int, int]) -> DataFrame:
@@ -148,10 +148,12 @@ def filters(words: DataFrame, parts: dict[int, int]) -> DataFrame:
 
     def sizes(batches):
         for pdf in batches:
-            length = pdf["word"].str.len()
-            for n, some in pdf.groupby(length):
+            found = []
+            for n, some in pdf.groupby(pdf["word"].str.len()):
                 mixed = _mixed(plain_hash(letters(list(some["word"]), int(n))) + _U(int(n)))
-                yield pd.DataFrame({"length": int(n), "part": part_of(mixed, parts[int(n)]), "mixed": mixed.view(np.int64)})
+                found.append(pd.DataFrame({"length": int(n), "part": part_of(mixed, parts[int(n)]), "mixed": mixed.view(np.int64)}))
+            if found:
+                yield pd.concat(found)
 
     def build(key, pdf):
         mixed = pdf["mixed"].to_numpy().view(np.uint64)
@@ -165,14 +167,16 @@ def filters(words: DataFrame, parts: dict[int, int]) -> DataFrame:
 
 
 def edits(codes: np.ndarray, alphabet: np.ndarray):
-    """Deletions and replacements of words of one length.
+    """Deletions and replacements of words of one length.  ``alphabet``: all letters, the most frequent first.
 
     Yields (hashes, owner, length, make): ``make(picked)`` spells the edits of those places.  As an insertion is a
-    deletion seen from the other word, and a replacement by a larger letter one by a smaller seen from there, deletions
-    and replacements by larger letters meet all pairs.  Of equal neighbours only the first is deleted, so that no edit
-    comes twice.
+    deletion seen from the other word, and a replacement by a more frequent letter one by a rarer seen from there,
+    deletions and replacements by more frequent letters meet all pairs; most letters have few more frequent ones.  Of
+    equal neighbours only the first is deleted, so that no edit comes twice.
     """
     rows, length = codes.shape
+    rank = np.zeros(256, dtype=np.int64)
+    rank[alphabet] = np.arange(len(alphabet))
     values, powers, whole = _values(), _powers(length), plain_hash(codes)
     terms = values[codes] * powers
     ahead = np.zeros((rows, length + 1), dtype=np.uint64)
@@ -187,8 +191,9 @@ def edits(codes: np.ndarray, alphabet: np.ndarray):
             return np.delete(codes[owner[picked]], i, axis=1)
 
         yield left, owner, length - 1, shorter
-        larger = alphabet[None, :] > codes[:, i][:, None]
-        owner, letter = np.nonzero(larger)
+        ahead_of = rank[codes[:, i]]
+        owner = np.repeat(np.arange(rows), ahead_of)
+        letter = np.arange(len(owner)) - np.repeat(np.cumsum(ahead_of) - ahead_of, ahead_of)
 
         def replaced(picked, owner=owner, letter=letter, i=i):
             spelled = codes[owner[picked]].copy()
@@ -198,39 +203,76 @@ def edits(codes: np.ndarray, alphabet: np.ndarray):
         yield whole[owner] - terms[owner, i] + values[alphabet[letter]] * powers[i], owner, length, replaced
 
 
+class Shards:
+    """Filters of some parts of the words of one length, one behind the other."""
+
+    def __init__(self, held: dict[int, bytes], parts: int):
+        self.size, self.start = np.zeros(parts, dtype=np.uint64), np.zeros(parts, dtype=np.int64)
+        self.blocks = np.frombuffer(b"".join(held.values()), dtype=np.uint64)
+        at = 0
+        for part, blocks in held.items():
+            self.size[part], self.start[part] = len(blocks) // 8, at
+            at += len(blocks) // 8
+        self.whole = len(held) == parts
+
+    def may_hold(self, mixed: np.ndarray) -> np.ndarray:
+        """Places of the hashes whose filter is here and has their bits."""
+        part = part_of(mixed, len(self.size))
+        places = None
+        if not self.whole:
+            places = np.flatnonzero(self.size[part] > 0)
+            mixed, part = mixed[places], part[places]
+        where, mask = block_and_mask(mixed, self.size[part])
+        hits = np.flatnonzero((self.blocks[self.start[part] + where] & mask) == mask)
+        return hits if places is None else places[hits]
+
+
 def probe(words: DataFrame, shards, parts: dict[int, int], alphabet: list[int]) -> DataFrame:
-    """``edit, word, n``: edits of words that a filter of the broadcast ``shards`` says may be words."""
+    """``edit, word, n``: edits of words that a filter of the broadcast ``shards`` says may be words.
+
+    ``alphabet``: code points of all letters of the words, the most frequent first.
+    """
     import pandas as pd
 
-    signs = np.array(sorted(alphabet), dtype=np.uint8)
+    signs = np.array(alphabet, dtype=np.uint8)
 
     def spelled(codes: np.ndarray) -> list[str]:
         text, n = codes.tobytes().decode("latin-1"), codes.shape[1]
         return [text[i : i + n] for i in range(0, len(text), n)]
 
     def run(batches):
-        held = {k: np.frombuffer(v, dtype=np.uint64) for k, v in shards.value.items()}
+        by_length: dict[int, dict[int, bytes]] = {}
+        for (n, part), blocks in shards.value.items():
+            by_length.setdefault(n, {})[part] = blocks
+        held = {n: Shards(some, parts[n]) for n, some in by_length.items()}
+        # words wait until there are enough of a length for a step
+        step = max(1, PROBES // len(signs))
+        waiting: dict[int, list[pd.DataFrame]] = {}
+        sizes: dict[int, int] = {}
+
+        def probed(length: int):
+            part = pd.concat(waiting.pop(length), ignore_index=True)
+            del sizes[length]
+            names, counts = part["word"].to_numpy(), part["n"].to_numpy()
+            for a in range(0, len(names), step):
+                made, owners = [], []
+                for hashes, owner, n, make in edits(letters(list(names[a : a + step]), length), signs):
+                    if n in held and len(hits := held[n].may_hold(_mixed(hashes + _U(n)))):
+                        made += spelled(make(hits))
+                        owners.append(owner[hits] + a)
+                if made:
+                    owners = np.concatenate(owners)
+                    yield pd.DataFrame({"edit": made, "word": names[owners], "n": counts[owners]})
+
         for pdf in batches:
             for length, some in pdf.groupby(pdf["word"].str.len()):
                 length = int(length)
-                step = max(1, PROBES // len(signs))
-                for a in range(0, len(some), step):
-                    part = some.iloc[a : a + step]
-                    for hashes, owner, n, make in edits(letters(list(part["word"]), length), signs):
-                        if n not in parts or not any((n, p) in held for p in range(parts[n])):
-                            continue
-                        mixed = _mixed(hashes + _U(n))
-                        shard = part_of(mixed, parts[n])
-                        hits = []
-                        for p in range(parts[n]):
-                            if (n, p) in held:
-                                mine = np.flatnonzero(shard == p) if parts[n] > 1 else np.arange(len(mixed))
-                                where, mask = block_and_mask(mixed[mine], len(held[n, p]))
-                                hits.append(mine[(held[n, p][where] & mask) == mask])
-                        hits = np.concatenate(hits)
-                        if len(hits):
-                            source = part.iloc[owner[hits]]
-                            yield pd.DataFrame({"edit": spelled(make(hits)), "word": source["word"].to_numpy(), "n": source["n"].to_numpy()})
+                waiting.setdefault(length, []).append(some)
+                sizes[length] = sizes.get(length, 0) + len(some)
+                if sizes[length] >= step:
+                    yield from probed(length)
+        for length in sorted(waiting):
+            yield from probed(length)
 
     return words.select("word", "n").mapInPandas(run, "edit string, word string, n long")
 
@@ -239,7 +281,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """``word, n, near, near_n``: every pair of words exactly one edit apart, once.
 
     ``words`` (word, n; distinct, of code points up to FF) should be stored, as it is read several times.  A filter
-    holds about a million words; at most ``FILTER_BYTES`` of filters are broadcast at a time, however many words there
+    holds about ``SHARD_WORDS`` words; at most ``FILTER_BYTES`` of filters are broadcast at a time, however many words there
     are, and a vocabulary that needs more is probed in several passes.  Positives alone are shuffled, to an exact join
     with the vocabulary, so a filter's false positives cost time only.
     """
@@ -249,7 +291,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     if not counts:
         return words.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).where("false")
     # at most 192 rows: the letters that occur
-    alphabet = [r[0] for r in words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().select(F.ascii("c")).collect()]
+    used = words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").groupBy(F.ascii("c").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    alphabet = [r["c"] for r in used.orderBy(F.desc("n"), "c").collect()]
     parts = {n: -(-k // SHARD_WORDS) for n, k in counts.items()}
     shards = cut_lineage(filters(words, parts))
     passes, size = [[]], 0
