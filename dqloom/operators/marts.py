@@ -76,6 +76,11 @@ def competition_season_kpi(matches: DataFrame, scores: DataFrame, competitions:
         F.expr("min(day) AS _first"),
         F.expr("max(day) AS _last"),
     )
+    return finished_kpi(per_season, competitions, seasons)
+
+
+def finished_kpi(per_season: DataFrame, competitions: DataFrame, seasons: DataFrame) -> DataFrame:
+    """The season mart from its counts."""
     return _with_dimensions(per_season, competitions, seasons).selectExpr(
         "run_id",
         "competition_id",
@@ -116,7 +121,11 @@ def team_season_results(
     observed = gaps.groupBy(*SEASON_KEY).agg(
         F.expr("min(to_date(utc_date)) AS _first"), F.expr("max(to_date(utc_date)) AS _last")
     )
-    dated = per_team.join(observed, SEASON_KEY, "left")
+    return finished_results(per_team.join(observed, SEASON_KEY, "left"), competitions, seasons, teams)
+
+
+def finished_results(dated: DataFrame, competitions: DataFrame, seasons: DataFrame, teams: DataFrame) -> DataFrame:
+    """The team mart from its counts with the observed days of each season."""
     return (
         _with_dimensions(dated, competitions, seasons)
         .join(teams.selectExpr("run_id", "team_id", "name AS team_name"), ["run_id", "team_id"])

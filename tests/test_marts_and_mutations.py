@@ -246,3 +246,26 @@ def test_stored_versions_are_read_where_they_differ(spark, tmp_path):
     digests.store(twice.distinct(), str(tmp_path / "once"), ["k"], 3)
     digests.store(twice.limit(0), str(tmp_path / "none"), ["k"], 3)
     assert [tuple(r)[:2] for r in digests.stored_diff(spark, str(tmp_path / "twice"), str(tmp_path / "once"), ["k"]).collect()] == [(1, "removed")]
+
+
+def test_adding_a_batch_reads_that_batch_only(spark, small, tmp_path):
+    from dqloom.operators import upkeep
+
+    star = testbed.star_tables(small)
+    matches, scores = (star[n].withColumn("part", F.pmod(F.col("match_id"), F.lit(4))) for n in ("fact_match", "fact_match_score"))
+    matches.write.partitionBy("part").parquet(str(tmp_path / "matches"))
+    scores.write.partitionBy("part").parquet(str(tmp_path / "scores"))
+    facts, points = (spark.read.parquet(str(tmp_path / n)) for n in ("matches", "scores"))
+    dims = [star[n] for n in ("dim_competition", "dim_season", "dim_team")]
+    root = str(tmp_path / "partials")
+    for part in (0, 1, 2, 1):  # one of them again
+        # nothing but the files of the batch is given
+        upkeep.add_batch(*(spark.read.parquet(str(tmp_path / n / f"part={part}")) for n in ("matches", "scores")), root, str(part))
+        done = [p for p in range(4) if (tmp_path / f"partials/seasons/batch={p}").exists()]
+        own = facts.filter(F.col("part").isin(*done)).drop("part"), points.filter(F.col("part").isin(*done)).drop("part")
+        found = upkeep.finished(upkeep.stored(spark, root), *dims)
+        assert all("partials" in f or "/testdata/" in f for f in found["mart_kpi"].inputFiles())
+        kpi = marts.competition_season_kpi(*own, dims[0], dims[1])
+        team = marts.team_season_results(*own, *dims)
+        for name, whole in (("mart_kpi", kpi), ("mart_team", team)):
+            assert sorted(map(repr, found[name].select(whole.columns).collect())) == sorted(map(repr, whole.collect()))
