@@ -31,6 +31,8 @@ Tables = Mapping[str, DataFrame]
 
 RESULT_COLUMNS = ("suite", "stage", "check_name", "rule_group", "severity", "status", "rows_failed", "message")
 NOT_EVALUATED = -1
+# Column of counts that are a part of something, as missing keys are of all keys: how many there are in all.
+WHOLE = "of_all"
 
 
 def _melt(one_row: DataFrame, counters: Mapping[int, str]) -> DataFrame:
@@ -85,8 +87,8 @@ def _branches(checks: Sequence[tuple[int, Check]], tables: Tables) -> list[DataF
             for ref in check.refs:
                 refs[check.table, ref.parent, ref.parent_columns].append((pos, ref))
         elif check.count == C.UNMATCHED_KEYS:
-            found = K.unmatched_keys(tables[check.table], check.keys, tables[check.other], check.other_keys)
-            out.append(_melt(found.selectExpr("count(1) AS n"), {pos: "n"}))
+            found = K.unmatched_summary(tables[check.table], check.keys, tables[check.other], check.other_keys)
+            out.append(found.selectExpr(f"{pos} AS pos", "missing AS rows_failed", f"src_count AS {WHOLE}"))
         else:
             found = K.unmatched_row_total(tables[check.table], check.keys, tables[check.other], check.other_keys)
             out.append(_melt(found, {pos: "rows"}))
@@ -97,17 +99,22 @@ def _branches(checks: Sequence[tuple[int, Check]], tables: Tables) -> list[DataF
 
 
 def violation_counts(checks: Sequence[Check], tables: Tables) -> DataFrame:
-    """``pos, rows_failed`` for every check, in one DataFrame.
+    """``pos, rows_failed`` for every check, in one DataFrame; ``of_all`` where a check counts a part of something.
 
     A check with several references appears once per parent table; the counts
     are summed here (over at most a few dozen rows).
     """
-    united = reduce(DataFrame.unionByName, _branches(list(enumerate(checks)), tables))
+    united = reduce(united_counts, _branches(list(enumerate(checks)), tables))
     if any(len({(r.parent, r.parent_columns) for r in c.refs}) > 1 for c in checks):
-        united = united.groupBy("pos").agg(F.sum("rows_failed").alias("rows_failed"))
+        whole = [F.max(WHOLE).alias(WHOLE)] if WHOLE in united.columns else []
+        united = united.groupBy("pos").agg(F.sum("rows_failed").alias("rows_failed"), *whole)
     return united
 
 
+def united_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 def status_of(rows_failed: str = "rows_failed", severity: str = "severity") -> str:
     return (
         f"CASE WHEN {rows_failed} = {NOT_EVALUATED} THEN '{C.BROKEN}' WHEN {rows_failed} = 0 THEN '{C.PASS}' "
@@ -131,7 +138,8 @@ def described(placed: Sequence[Placed], counts: DataFrame, keep: Sequence[str] =
         f"'grp', {quoted(p.check.group)}, 'sev', {quoted(p.check.severity)})"
         for p in placed
     )
-    return counts.selectExpr(*keep, f"array({meta})[pos] AS m", "rows_failed").selectExpr(
+    whole = WHOLE if WHOLE in counts.columns else "cast(NULL AS BIGINT)"
+    return counts.selectExpr(*keep, f"array({meta})[pos] AS m", "rows_failed", f"{whole} AS _whole").selectExpr(
         *keep,
         "m.suite AS suite",
         "m.stage AS stage",
@@ -140,7 +148,7 @@ def described(placed: Sequence[Placed], counts: DataFrame, keep: Sequence[str] =
         "m.sev AS severity",
         f"{status_of(severity='m.sev')} AS status",
         "rows_failed",
-        "cast(NULL AS STRING) AS message",
+        "CASE WHEN rows_failed > 0 THEN concat(rows_failed, ' missing of ', _whole) END AS message",
     )
 
 

@@ -131,12 +131,12 @@ def unmatched_keys(source: DataFrame, keys: Sequence[str], target: DataFrame, ta
     return without_parent(distinct, keys, target, target_keys)
 
 
-def unmatched_summary(source: DataFrame, keys: Sequence[str], target: DataFrame, target_keys: Sequence[str]) -> DataFrame:
-    """One row: ``missing`` and ``src_count`` distinct keys, from one pass over each side."""
+def unmatched_summary(source: DataFrame, keys: Sequence[str], target: DataFrame, target_keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``missing`` and ``src_count`` distinct keys, from one pass over each side: one row, or one for each value of ``by``."""
     aliases = [f"_p{i}" for i in range(len(target_keys))]
     known = target.selectExpr(*renamed(target_keys, aliases), "true AS _hit").distinct()
     joined = source.select(*keys).distinct().join(known, all_equal(keys, aliases), "left")
-    return joined.selectExpr("count_if(_hit IS NULL) AS missing", "count(1) AS src_count")
+    return joined.groupBy(*by).agg(F.expr("count_if(_hit IS NULL) AS missing"), F.expr("count(1) AS src_count"))
 
 
 def unmatched_row_total(target: DataFrame, keys: Sequence[str], source: DataFrame, source_keys: Sequence[str]) -> DataFrame:

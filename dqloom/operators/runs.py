@@ -84,13 +84,14 @@ def _references(child: DataFrame, parent: DataFrame, run: str, members: Sequence
     return _melt(per_run, "_k0", {pos: " + ".join(names) for pos, names in terms.items()})
 
 
-def _unmatched(check: Check, tables: Tables, run: str) -> DataFrame:
+def _unmatched(pos: int, check: Check, tables: Tables, run: str) -> DataFrame:
     keys, other_keys = _within(check.keys, run), _within(check.other_keys, run)
     table, other = tables[check.table], tables[check.other]
     if check.count == C.UNMATCHED_KEYS:
-        return K.unmatched_keys(table, keys, other, other_keys).groupBy(run).agg(F.expr("count(1) AS n"))
-    counted = K.group_sizes(table, keys, "_n")
-    return K.without_parent(counted, keys, other, other_keys).groupBy(run).agg(F.expr("sum(_n) AS n"))
+        found = K.unmatched_summary(table, keys, other, other_keys, (run,))
+        return found.selectExpr(f"{run} AS {RUN}", f"{pos} AS pos", "missing AS rows_failed", f"src_count AS {fusion.WHOLE}")
+    lost = K.without_parent(K.group_sizes(table, keys, "_n"), keys, other, other_keys).groupBy(run).agg(F.expr("sum(_n) AS n"))
+    return _melt(lost, run, {pos: "n"})
 
 
 def violation_counts(checks: Sequence[Check], tables: Tables, runs: DataFrame, run: str = RUN) -> DataFrame:
@@ -114,13 +115,15 @@ def violation_counts(checks: Sequence[Check], tables: Tables, runs: DataFrame, r
             for ref in check.refs:
                 refs[check.table, ref.parent, ref.parent_columns].append((pos, ref))
         else:
-            parts.append(_melt(_unmatched(check, mine, run), run, {pos: "n"}))
+            parts.append(_unmatched(pos, check, mine, run))
     parts += [_row_rules(mine[t], run, members) for t, members in rows.items()]
     parts += [_duplicates(mine[t], run, keys, members) for (t, keys), members in groups.items()]
     parts += [_references(mine[t], mine[p], run, members) for (t, p, _), members in refs.items()]
     start = ", ".join(f"named_struct('pos', {pos}, 'rows_failed', {int(c.count == C.EMPTY)}L)" for pos, c in enumerate(checks))
     parts.append(runs.selectExpr(f"{run} AS {RUN}").distinct().selectExpr(RUN, f"inline(array({start}))"))
-    return reduce(DataFrame.unionByName, parts).groupBy(RUN, "pos").agg(F.sum("rows_failed").alias("rows_failed"))
+    united = reduce(fusion.united_counts, parts)
+    whole = [F.max(fusion.WHOLE).alias(fusion.WHOLE)] if fusion.WHOLE in united.columns else []
+    return united.groupBy(RUN, "pos").agg(F.sum("rows_failed").alias("rows_failed"), *whole)
 
 
 def _broken(runs: DataFrame, run: str, placed: Placed, reason: str) -> DataFrame:

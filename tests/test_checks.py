@@ -163,3 +163,12 @@ def test_references_of_one_check_to_one_parent_add_up(spark):
     tables = {"game": spark.createDataFrame([(1, 9), (9, 1), (9, 9), (1, 1)], "home INT, away INT"), "team": spark.createDataFrame([(1,)], "id INT")}
     (row,) = fusion.evaluate("own", "T", [C.orphans("teams", "game", *refs)], tables).collect()
     assert row["rows_failed"] == 4
+
+
+def test_source_completeness_says_how_many_of_how_many(spark):
+    tables = {"source": spark.createDataFrame([(1,), (2,), (2,), (None,), (3,)], "id INT"), "target": spark.createDataFrame([(2,), (9,)], "id INT")}
+    checks = [C.all_loaded("loaded", "source", ("id",), "target", ("id",)), C.none_invented("invented", "target", ("id",), "source", ("id",)), C.not_empty("there", "target")]
+    found = {r["check_name"]: (r["rows_failed"], r["message"]) for r in fusion.evaluate("own", "T", checks, tables).collect()}
+    assert found == {"loaded": (3, "3 missing of 4"), "invented": (1, None), "there": (0, None)}
+    whole = fusion.evaluate("own", "T", [checks[0]], {**tables, "target": tables["source"].dropna()}).collect()
+    assert [(r["status"], r["message"]) for r in whole] == [("FAIL", "1 missing of 4")]
