@@ -39,13 +39,16 @@ def signature(shingles: np.ndarray) -> bytes:
     return (least >> np.uint32(16)).astype(">u2").tobytes()
 
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def signatures(docs: DataFrame, text: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with ``n_shingles``, ``set_key`` (digest of the shingle set, null if empty) and ``signature``."""
 
     def judge(texts):
         sets = shingle_sets(texts, shingle)
-        keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        return [len(s) for s in sets], keys, [signature(s) for s in sets]
+        return [len(s) for s in sets], [_digest(s) for s in sets], [signature(s) for s in sets]
 
     return annotate(docs, "n_shingles long, set_key binary, signature binary", judge, text, keep)
 
@@ -311,7 +314,9 @@ def _across(regions: DataFrame, full: DataFrame, roots: DataFrame, percent: int)
 
 
 def links(distinct: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """(node, root) of all nodes linked to another one, from distinct sets (node, signature) and (node, text).
+    """(node, root) of all nodes linked to another one, from distinct sets (node, set_key, doc, signature) and (doc, text).
+
+    ``doc`` names a document that has the set.  Where several texts have that name, the one with the set is taken.
 
     First every node proposes its most similar partners of each neighbourhood, and full sets confirm these pairs.
     That joins most of what belongs together.  Then, in the neighbourhoods that still hold several components, the
@@ -322,15 +327,14 @@ def links(distinct: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle
     """
     small_batches(distinct.sparkSession, 1024)
     regions = cut_lineage(_regions(distinct))
-    wanted = regions.select("node").distinct()
-    full = cut_lineage(
-        annotate(
-            texts.join(wanted, "node", "left_semi").select("node", "text"),
-            "full binary",
-            lambda t: [[s.tobytes() for s in shingle_sets(t, shingle)]],
-            keep=["node"],
-        ).dropDuplicates(["node"])
-    )
+    wanted = distinct.join(regions.select("node").distinct(), "node", "left_semi").select("node", "doc", "set_key")
+
+    def whole_sets(some):
+        sets = shingle_sets(some, shingle)
+        return [_digest(s) for s in sets], [s.tobytes() for s in sets]
+
+    named = annotate(texts.join(wanted, "doc"), "found_key binary, full binary", whole_sets, keep=["node", "set_key"])
+    full = cut_lineage(named.where("found_key = set_key").select("node", "full").dropDuplicates(["node"]))
     keys = ["key", "chunk"]
     proposed = regions.select(*keys, "node", "signature").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_propose, "a long, b long")
     pairs = proposed.distinct()
@@ -349,30 +353,51 @@ def links(distinct: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle
     return _across(regions, full, roots, percent)
 
 
-def near_duplicates(docs: DataFrame, identifier: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """(identifier, ``n_shingles``, ``component_id``, ``kept``), one row per row of ``docs``.
+def _judged(docs: DataFrame, identifier: str, text: str, percent: int, shingle: int) -> DataFrame:
+    """(doc, print, n_shingles, component, stays), one row per row of ``docs``; ``print`` is a digest of the text.
 
-    Words are what lies between white space, A-Z lower-cased; the set of a text are its distinct shingles, or the
-    whole sequence if it is shorter.  Equal sets are one node, the smallest identifier, so copies cost one row each.
-    Null, empty and blank texts have no shingle and are linked with nothing.  Rows with a null identifier take part
-    in no component and are kept.  Repeated rows get the same component.  An empty table gives an empty result.
+    ``stays`` holds for the rows of one document of each component: of the smallest identifier, and of its sets the
+    one with the smallest digest.
     """
     source = docs.select(docs[identifier].cast("long").alias("doc"), docs[text].alias("text"))
-    signed = cut_lineage(signatures(source, keep=["doc"], shingle=shingle))
+    prints = F.sha2(F.coalesce("text", F.lit("")), 256)
+    signed = cut_lineage(signatures(source.withColumn("print", prints), keep=["doc", "print"], shingle=shingle))
     groups = signed.where("set_key IS NOT NULL AND doc IS NOT NULL").groupBy("set_key")
-    distinct = cut_lineage(groups.agg(F.min("doc").alias("node"), F.min("signature").alias("signature")))
-    roots = links(distinct, source.withColumnRenamed("doc", "node"), percent, shingle)
-    named = distinct.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
+    # nodes are sets, not identifiers, as an identifier may name several texts; their numbers are stored with them
+    sets = groups.agg(F.min("doc").alias("doc"), F.min("signature").alias("signature"))
+    distinct = cut_lineage(sets.withColumn("node", F.monotonically_increasing_id()))
+    roots = links(distinct, source, percent, shingle)
+    named = distinct.drop("signature").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min(F.struct("doc", "set_key")).alias("least"))
+    named = named.join(least, "root").select("set_key", "least")
     found = signed.drop("signature").join(named, "set_key", "left")
-    component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
-    kept = F.coalesce(F.col("doc") == component, F.lit(True))
-    return found.select(F.col("doc").alias(identifier), "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    stays = F.col("least").isNull() | F.col("doc").isNull() | (F.struct("doc", "set_key") == F.col("least"))
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("least.doc", "doc"))
+    return found.select("doc", "print", "n_shingles", component.alias("component"), stays.alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, identifier: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """(identifier, ``n_shingles``, ``component_id``, ``kept``), one row per row of ``docs``.
+
+    Words are what lies between white space, A-Z lower-cased; the set of a text are its distinct shingles, or the
+    whole sequence if it is shorter.  Equal sets are one node, so copies cost one row each; the component is named by
+    the smallest identifier that has one of its sets.  Null, empty and blank texts have no shingle and are linked with
+    nothing.  Rows with a null identifier take part in no component and are kept.  Repeated rows get the same result;
+    rows that repeat an identifier with another text are judged by their own text.  Texts are compared whole, whatever
+    their length.  An empty table gives an empty result.
+    """
+    found = _judged(docs, identifier, text, percent, shingle)
+    kept = F.coalesce(F.col("doc") == F.col("component"), F.lit(True))
+    return found.select(F.col("doc").alias(identifier), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def drop_near(docs: DataFrame, identifier: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with the columns of ``docs``.
 
-    Rows with a null identifier and rows that repeat the identifier of the document that stays are kept.
+    That is the document with the smallest identifier; rows that repeat it in identifier and words stay with it.  A
+    row goes by its own identifier and text, so other texts under the same identifier are not lost.  Rows with a null
+    identifier, and null, empty and blank texts are kept; an empty table gives an empty result.
     """
-    gone = near_duplicates(docs, identifier, text, percent, shingle).where("NOT kept").select(F.col(identifier).alias("__gone")).distinct()
-    return docs.join(gone, docs[identifier] == gone["__gone"], "left_anti")
+    gone = _judged(docs, identifier, text, percent, shingle).where("NOT stays").select(F.col("doc").alias("__gone"), F.col("print").alias("__print")).distinct()
+    same = (docs[identifier] == F.col("__gone")) & (F.sha2(F.coalesce(docs[text], F.lit("")), 256) == F.col("__print"))
+    return docs.join(gone, same, "left_anti")
