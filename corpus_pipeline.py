@@ -21,23 +21,41 @@ QUALITY_LEAST = 0.3
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose lines are mostly good; the labels of every fifth document are never learned from."""
+    """Documents whose lines are mostly good; the labels of every fifth document are never learned from.
+
+    Texts are scored whole, each row by itself, so repeated rows share their fate; null and empty texts get the score
+    of a text without lines.  Without labels of both kinds all documents have the same score.  An empty table gives an
+    empty one; further columns are passed on.
+    """
     model = quality.fit(labelled(docs, read(spark, sf_dir, "labels"), "quality", 5, 0, quality.SAMPLE))
     return quality.keep_good(docs, model, QUALITY_LEAST)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
+    """Of equal texts, compared whole, the row with the largest doc_id.
+
+    Null texts count as empty and equal each other; of rows that repeat the largest doc_id one stays; null identifiers
+    lose against others.  An empty table gives an empty one; further columns are passed on.
+    """
     return exact.drop_copies(docs, keep="max")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id."""
+    """Of each group of near copies the document with the smallest doc_id.
+
+    Rows go by their own identifier and text: another text under a repeated identifier is not lost, and rows that
+    repeat the staying document stay with it.  Null, empty and blank texts and null identifiers are kept.  Whole texts
+    are compared.  An empty table gives an empty one; further columns are passed on.
+    """
     return minhash.drop_near(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked; n_chars follows the text."""
+    """All documents, their secrets masked in the whole text; n_chars follows the text where there is one.
+
+    Null and empty texts are left as they are; every row is masked by itself.  An empty table gives an empty one;
+    further columns are passed on.
+    """
     masked = secrets.mask(docs)
     if "n_chars" in docs.columns:
         count = F.length("text").cast(docs.schema["n_chars"].dataType)
@@ -46,7 +64,11 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens."""
+    """Pieces of all documents in sequences of at most 1024 tokens: the columns of ``packing.pack``.
+
+    Null and empty texts are their closing id alone; long texts are cut; null and repeated identifiers are kept as
+    they are.  An empty table has no pieces.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
