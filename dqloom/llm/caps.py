@@ -173,8 +173,9 @@ def near_vectors(vectors: DataFrame, identifier: str = "vec_id", vector: str = "
     print_of = F.sha2(F.concat_ws(",", F.col("embedding").cast("array<string>")), 256)
     marked = rows.withColumn("usable", usable).withColumn("print", F.when(F.col("usable"), print_of))
     equal = marked.where("usable").groupBy("label", "print")
-    distinct = cut_lineage(equal.agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("embedding").alias("embedding")))
-    # of rows that repeat an identifier with different vectors only the nodes' names coincide
+    # nodes are vectors, not identifiers, as an identifier may name several vectors; their numbers are stored with them
+    vectors_of = equal.agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("embedding").alias("embedding"))
+    distinct = cut_lineage(vectors_of.withColumn("node", F.monotonically_increasing_id()))
     largest = distinct.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     directions = enough(largest)
     kind, element = dict(distinct.dtypes)["label"], dict(distinct.dtypes)["embedding"]
@@ -196,9 +197,11 @@ def near_vectors(vectors: DataFrame, identifier: str = "vec_id", vector: str = "
     found = cut_lineage(meeting.mapInPandas(_verify(cosine, number), "a long, b long, n long"))
     counts = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     roots = components(found.where("a <> b").select("a", "b"))
-    nodes = distinct.select("label", "print", "node", "copies").join(counts, "node", "left").join(roots, "node", "left")
+    nodes = distinct.select("label", "print", "node", "first", "copies").join(counts, "node", "left").join(roots, "node", "left")
+    nodes = nodes.withColumn("root", F.coalesce("root", "node"))
+    nodes = nodes.join(nodes.groupBy("root").agg(F.min("first").alias("least")), "root")
     result = marked.drop("embedding").join(nodes, ["label", "print"], "left")
-    component = F.when(F.col("usable"), F.coalesce("root", "node")).otherwise(F.col("id"))
+    component = F.when(F.col("usable"), F.col("least")).otherwise(F.col("id"))
     return result.select(
         F.col("id").alias(identifier),
         F.when(F.col("usable"), F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),

@@ -221,3 +221,34 @@ def test_components_of_random_graphs(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
     assert found == {x: truth.root(x) for e in edges if e[0] != e[1] for x in e}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# -- repeated identifiers ------------------------------------------------------------------------------------------
+
+A, B = (" ".join(f"{word}{i}" for i in range(60)) for word in "ab")
+
+
+def test_near_duplicates_under_one_identifier(spark):
+    """An identifier may name several texts; each is linked by its own words."""
+    rows = [(1, A), (1, B), (2, A + " more"), (3, B + " more"), (4, "something else"), (1, A), (5, None), (None, A)]
+    found = minhash.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in found) == [
+        (0, 56, None, True), (1, 56, 1, True), (1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False), (4, 1, 4, True), (5, 0, 5, True),
+    ]
+    apart = minhash.near_duplicates(frame(spark, [(7, A), (2, B), (7, B + " more"), (9, A + " more")])).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in apart) == [(2, 56, 2), (7, 56, 7), (7, 57, 2), (9, 57, 7)]
+
+
+def test_drop_near_goes_by_rows(spark):
+    """A text is not lost because another one under its identifier goes."""
+    rows = [(1, A), (2, A + " more"), (2, "a text of its own"), (3, B), (3, B + " more"), (3, B), (None, A), (4, None), (4, "")]
+    kept = [(r["doc_id"], r["text"]) for r in minhash.drop_near(frame(spark, rows)).collect()]
+    assert len(kept) in (6, 7) and (2, "a text of its own") in kept and (2, A + " more") not in kept and kept.count((1, A)) == 1
+    assert sorted(kept.count((3, t)) for t in (B, B + " more")) in ([0, 1], [0, 2])
+
+
+def test_near_vectors_under_one_identifier(spark):
+    """A vector that repeats an identifier has its own links only."""
+    rows = [(1, [1.0, 0.0], 1, "x", 1), (1, [0.0, 1.0], 1, "x", 1), (2, [1.0, 0.01], 1, "x", 1), (3, [1.0, 0.02], 1, "x", 1), (3, [-1.0, 0.0], 1, "x", 1)]
+    found = caps.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(1, 0, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 2, 1)]
