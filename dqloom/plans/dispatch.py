@@ -45,7 +45,8 @@ def layer_of(stage: str, suite: str) -> str:
 
 
 def _state(spark: SparkSession, root: str) -> DataFrame:
-    return ledger.batch_state(spark.read.parquet(events_path(root)))
+    """The state of all runs, stored once, as finding the targets looks at it from many sides."""
+    return cut_lineage(ledger.batch_state(spark.read.parquet(events_path(root))))
 
 
 def _verdicts(found: DataFrame) -> DataFrame:
