@@ -22,9 +22,38 @@ KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 BASE, WEAK = KINDS[:3], KINDS[3:]
 PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, WEAK_ID, WEAK_SECRET, ENDPOINT), strict=True))
 
-# Code points of a scope; scopes overlap by half, so parts at most half a scope apart always share one.
+# A part is in a candidate's scope if at most half of this many code points lie between them.
 SCOPE = 512
 SPAN = "struct<start:int,rank:int,end:int>"
+# Elements that one step of a running value copies at most, and code points of the pieces that masking cuts from.
+BLOCK, CHUNK = 256, 4096
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, merge) -> Column:
+    """Running sum or maximum of an array of ints of at least 0, ``merge`` being the sum or maximum of two.
+
+    Arrays are copied when they grow, so blocks are run through by themselves and then raised by what came before.
+    """
+
+    def run(block: Column) -> Column:
+        return F.aggregate(
+            block, F.expr("cast(array() as array<int>)"), lambda out, v: F.concat(out, F.array(merge(F.coalesce(F.get(out, F.size(out) - 1), F.lit(0)), v)))
+        )
+
+    def raised(blocks: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), run(F.transform(blocks, lambda b: F.get(b, F.size(b) - 1))))
+        return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda b, low: F.transform(b, lambda v: merge(low, v))))
+
+    def blocks(whole: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(whole), F.lit(BLOCK))
+        return F.when(F.size(whole) > 0, _let(F.transform(starts, lambda at: run(F.slice(whole, at, BLOCK))), raised)).otherwise(whole)
+
+    return _let(values, blocks)
 
 
 def _spans(kind: str, content: Column) -> Column:
@@ -33,25 +62,21 @@ def _spans(kind: str, content: Column) -> Column:
     The text between the matches gives the positions: every match starts where the gaps and matches before it end.
     """
     pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(content, pattern, F.lit(0))
-    pieces = F.zip_with(F.split(content, PATTERNS[kind], -1), found, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
-
-    def step(done: Column, piece: Column) -> Column:
-        begin = done["at"] + piece["gap"]
-        end = begin + F.length(piece["match"])
-        span = F.array(F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.concat(done["out"], span).alias("out"))
-
-    matches = F.filter(pieces, lambda piece: piece["match"].isNotNull())
-    spans = F.when(F.size(found) > 0, F.aggregate(matches, start, step)["out"]).otherwise(start["out"])
-    if kind != "assign":
-        return spans
-    # group 2 may be too short; the match has used up its text nevertheless
-    long = F.transform(F.regexp_extract_all(content, pattern, F.lit(2)), lambda value: F.length(value) >= ASSIGN_LEAST)
-    return F.transform(
-        F.filter(F.arrays_zip(spans.alias("span"), long.alias("long")), lambda both: both["long"]), lambda both: both["span"]
-    )
+
+    def place(found: Column) -> Column:
+        gaps = F.slice(F.split(content, PATTERNS[kind], -1), 1, F.size(found))
+        ends = _running(F.zip_with(gaps, found, lambda gap, match: F.length(gap) + F.length(match)), lambda x, y: x + y)
+
+        def span(end: Column, match: Column) -> Column:
+            made = F.struct((end - F.length(match)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"))
+            # group 2 may be too short; the match has used up its text nevertheless
+            return F.when(F.length(F.regexp_extract(match, PATTERNS[kind], 2)) >= ASSIGN_LEAST, made) if kind == "assign" else made
+
+        placed = F.zip_with(ends, found, span)
+        placed = F.filter(placed, lambda s: s.isNotNull()) if kind == "assign" else placed
+        return F.when(F.size(found) > 0, placed).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+
+    return _let(F.regexp_extract_all(content, pattern, F.lit(0)), place)
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -62,8 +87,8 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     found = docs.withColumns({f"__{k}": F.when(gates[k], _spans(k, content)).otherwise(none) if k in gates else _spans(k, content) for k in KINDS})
     return found.withColumns(
         {
-            "__base": F.array_sort(F.concat(*(f"__{k}" for k in BASE))),
-            "__weak": F.array_sort(F.concat(*(f"__{k}" for k in WEAK))),
+            "__base": F.sort_array(F.concat(*(f"__{k}" for k in BASE))),
+            "__weak": F.sort_array(F.concat(*(f"__{k}" for k in WEAK))),
         }
     ).drop(*(f"__{k}" for k in KINDS))
 
@@ -71,28 +96,42 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Per ``__row`` the weak spans that complementary parts accompany: (``__row``, ``__linked``).
 
-    Scopes are overlapping intervals of a document.  All parts are joined to the scopes they start in, and a scope's
-    parts meet in one aggregate of three flags: identifier (access, weak_id), secret (assign, hex, weak_secret) and
-    endpoint.  A weak identifier needs a secret, a weak secret needs an identifier or an endpoint, and an endpoint
-    needs both others.  Parts are never paired with each other, so thousands in a scope cost no more than few.
+    The scope of a weak span is its interval, widened by half of ``scope`` on both sides; a part is in it if its own
+    interval meets it, so a link depends on the code points between two parts and never on where the document starts.
+    An interval join finds the parts of every scope: both sides are laid on cells as long as ``scope``, meet where
+    they share a cell, and are compared there.  A weak identifier needs a secret (assign, hex, weak_secret), a weak
+    secret an identifier (access, weak_id) or an endpoint, and an endpoint needs both others.
+
+    Spans of a kind never overlap and have a least length, so a cell meets a bounded number of them however many a
+    document holds, and no row counts more than its part of the text.
     """
     half = scope // 2
-    parts = found.where(F.size("__weak") > 0).where(F.size("__base") + F.size("__weak") > 1)
-    parts = parts.select("__row", F.explode(F.array_distinct(F.concat("__base", "__weak"))).alias("span"))
-    parts = parts.withColumn("home", F.floor(F.col("span.start") / half)).withColumn("scope", F.explode(F.array("home", F.col("home") - 1)))
     rank = F.col("span.rank")
-    has = {
-        "id": rank.isin(KINDS.index("access"), KINDS.index("weak_id")),
-        "secret": rank.isin(KINDS.index("assign"), KINDS.index("hex"), KINDS.index("weak_secret")),
-        "endpoint": rank == KINDS.index("endpoint"),
+    parts = found.where(F.size("__weak") > 0).where(F.size("__base") + F.size("__weak") > 1)
+    parts = parts.select("__row", F.explode(F.concat("__base", "__weak")).alias("span"))
+
+    def cells(begin: Column, end: Column) -> Column:
+        return F.explode(F.sequence(F.floor(begin / scope), F.floor(end / scope)))
+
+    kinds = {
+        "id": ("access", "weak_id"),
+        "secret": ("assign", "hex", "weak_secret"),
+        "endpoint": ("endpoint",),
     }
-    scopes = parts.groupBy("__row", "scope").agg(*(F.max(flag).alias(f"has_{name}") for name, flag in has.items()))
+    company = parts.select("__row", F.col("span").alias("part"), cells(F.col("span.start"), F.col("span.end")).alias("cell"))
+    scopes = parts.where(rank >= len(BASE)).select("__row", "span", cells(F.col("span.start") - half, F.col("span.end") + half).alias("cell"))
+    # a part in its own scope is no company: no kind complements itself
+    near = (F.col("part.start") <= F.col("span.end") + half) & (F.col("part.end") >= F.col("span.start") - half)
+    has = [
+        F.max(F.col("part.rank").isin(*(KINDS.index(k) for k in members))).alias(f"has_{name}") for name, members in kinds.items()
+    ]
+    met = scopes.join(company, ["__row", "cell"]).where(near).groupBy("__row", "span").agg(*has)
     enough = (
         F.when(rank == KINDS.index("weak_id"), F.col("has_secret"))
         .when(rank == KINDS.index("weak_secret"), F.col("has_id") | F.col("has_endpoint"))
         .when(rank == KINDS.index("endpoint"), F.col("has_id") & F.col("has_secret"))
     )
-    return parts.where(rank >= len(BASE)).join(scopes, ["__row", "scope"]).where(enough).groupBy("__row").agg(F.collect_set("span").alias("__linked"))
+    return met.where(enough).groupBy("__row").agg(F.collect_list("span").alias("__linked"))
 
 
 def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -107,7 +146,7 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     rows = spans(docs, text).withColumn("__row", F.monotonically_increasing_id())
     narrow = cut_lineage(rows.drop(text))
     return narrow.join(linked(narrow, scope), "__row", "left").withColumn(
-        "__spans", F.array_sort(F.array_union("__base", F.coalesce("__linked", F.expr(f"cast(array() as array<{SPAN}>)"))))
+        "__spans", F.sort_array(F.concat("__base", F.coalesce("__linked", F.expr(f"cast(array() as array<{SPAN}>)"))))
     ).drop("__row", "__weak", "__linked")
 
 
@@ -121,24 +160,47 @@ def count_of(spans_column: str, kind: str) -> Column:
     return F.size(F.filter(F.col(spans_column), lambda s: s["rank"] == KINDS.index(kind))).cast("long")
 
 
+def _masked(content: Column, cut: Column, label: str) -> Column:
+    """``content`` with the spans ``cut``, ordered by start, replaced by ``label``; overlapping ones are one.
+
+    The pieces between them are cut from chunks of the text, as positions in a string are counted from its start.
+    """
+
+    def pieces(chunks: Column, ends: Column) -> Column:
+        def piece(p: Column) -> Column:
+            first, last = F.floor(p["from"] / CHUNK).cast("int"), F.floor(p["to"] / CHUNK).cast("int")
+            chunk = F.coalesce(F.get(chunks, first), F.lit(""))
+            inside = F.substring(chunk, p["from"] % CHUNK + 1, p["to"] - p["from"])
+            across = F.concat(
+                F.substring(chunk, p["from"] % CHUNK + 1, F.lit(CHUNK)),
+                F.array_join(F.slice(chunks, first + 2, last - first - 1), ""),
+                F.substring(F.coalesce(F.get(chunks, last), F.lit("")), F.lit(1), p["to"] % CHUNK),
+            )
+            return F.when(first == last, inside).otherwise(across)
+
+        before = F.slice(F.concat(F.array(F.lit(0)), ends), 1, F.size(ends))
+        heads = F.zip_with(before, cut, lambda at, span: F.struct(at.alias("from"), span["start"].alias("to")))
+        tail = F.struct(F.get(ends, F.size(ends) - 1).alias("from"), F.length(content).alias("to"))
+        kept = F.concat(F.filter(heads, lambda p: p["from"] <= p["to"]), F.array(tail))
+        return F.array_join(F.transform(kept, piece), label)
+
+    ends = _running(F.transform(cut, lambda span: span["end"]), F.greatest)
+    chunks = F.regexp_extract_all(content, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return _let(chunks, lambda c: _let(ends, lambda e: pieces(c, e)))
+
+
 def mask(docs: DataFrame, text: str = "text", scope: int = SCOPE, label: str = "[SECRET]") -> DataFrame:
     """``docs`` with every reported span of ``text`` but endpoints replaced by ``label``; overlapping spans are one.
 
-    Rows without a span keep their text unchanged, null included; no row goes.
+    Rows without a span keep their text unchanged, null and empty included; no row goes.  Repeated rows are masked
+    each by itself, an empty table gives an empty one, and whole texts are masked in time near linear in their length
+    and spans.
     """
     found = spans(docs, text).withColumn("__row", F.monotonically_increasing_id())
     narrow = cut_lineage(found.where(F.size("__base") + F.size("__weak") > 0))
     touched = narrow.join(linked(narrow, scope), "__row", "left")
     none = F.expr(f"cast(array() as array<{SPAN}>)")
-    cut = F.filter(F.array_sort(F.array_union("__base", F.coalesce("__linked", none))), lambda s: s["rank"] != KINDS.index("endpoint"))
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(done: Column, span: Column) -> Column:
-        fresh = F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, span["start"] - done["at"]), F.lit(label))
-        return F.struct(
-            F.when(span["start"] >= done["at"], fresh).otherwise(done["out"]).alias("out"), F.greatest(done["at"], span["end"]).alias("at")
-        )
-
-    masked = F.aggregate(cut, begin, step, lambda done: F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, F.length(text))))
+    cut = F.sort_array(F.filter(F.concat("__base", F.coalesce("__linked", none)), lambda s: s["rank"] != KINDS.index("endpoint")))
+    masked = _let(cut, lambda c: F.when(F.size(c) > 0, _masked(F.col(text), c, label)).otherwise(F.col(text)))
     clean = found.where(F.size("__base") + F.size("__weak") == 0).select(docs.columns)
-    return clean.unionByName(touched.withColumn(text, F.when(F.size(cut) > 0, masked).otherwise(F.col(text))).select(docs.columns))
+    return clean.unionByName(touched.withColumn(text, masked).select(docs.columns))

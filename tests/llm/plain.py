@@ -61,6 +61,19 @@ def secrets(text):
     return sorted(found)
 
 
+def linked_secrets(text, patterns, half):
+    """All spans: the base ones, and the weak ones with company at most ``half`` code points away, by comparing all pairs."""
+    base = secrets(text)
+    spans = base + [(m.start(), rank, m.end()) for rank, pattern in patterns.items() for m in re.finditer(pattern, text or "")]
+    out = list(base)
+    for s, rank, e in spans[len(base) :]:
+        near = {r for start, r, end in spans if start <= e + half and end >= s - half}
+        has_id, has_secret, has_endpoint = bool(near & {1, 3}), bool(near & {0, 2, 4}), 5 in near
+        if {3: has_secret, 4: has_id or has_endpoint, 5: has_id and has_secret}[rank]:
+            out.append((s, rank, e))
+    return sorted(out)
+
+
 def repeats(rows, window=20):
     """doc_id -> (words, removed, digest of what is kept)."""
     seen, made = set(), {}

@@ -62,6 +62,33 @@ def test_many_parts_in_one_document(spark):
     assert found["n"] == 3000
 
 
+def test_links_are_those_of_all_pairs_and_do_not_depend_on_the_offset(spark):
+    draw = random.Random(11)
+    parts = ["ASIA" + "Q7" * 8, "AKIA" + "Q7" * 8, "aB3" + "xY7z" * 8, "https://a.example/x", "token=abcdefgh", "f" * 30, "login: someone", "aB3" + "xY7z" * 300]
+    parts.append("https://a.example/" + "y" * 1100)
+    rows = []
+    for _ in range(60):
+        text = "".join(draw.choice(parts) + " " + "." * draw.choice([0, 40, 200, 253, 254, 255, 300, 600]) + " " for _ in range(draw.randint(2, 6)))
+        rows += ["- " * (shift // 2) + " " * (shift % 2) + text for shift in (0, 1, 100, 256, draw.randint(300, 2000))]
+    weak = {secrets.KINDS.index(k): secrets.PATTERNS[k] for k in secrets.WEAK}
+    found = {r["doc_id"]: [tuple(s) for s in r["__spans"]] for r in secrets.scan(frame(spark, rows)).collect()}
+    for i, text in enumerate(rows):
+        assert found[i] == plain.linked_secrets(text, weak, secrets.SCOPE // 2), text
+    kinds = {i: [rank for _, rank, _ in spans] for i, spans in found.items()}
+    assert all(kinds[i] == kinds[i - i % 5] for i in kinds) and {r for k in kinds.values() for r in k} == set(range(6))
+
+
+def test_very_many_spans_in_one_text(spark):
+    digest = [f"{i:032x}" for i in range(100_000)]
+    rows = ["é ".join(digest), "🙂" * 5000 + " " + " - ".join(digest[:600]) + "x" * 9000, "é" * 4096 + digest[0], "-" * 4064 + digest[0]]
+    found = {r["doc_id"]: r for r in secrets.scan(frame(spark, rows)).collect()}
+    assert len(found[0]["__spans"]) == 100_000 and tuple(found[0]["__spans"][-1]) == (34 * 99_999, 2, 34 * 99_999 + 32)
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask(frame(spark, rows)).collect()}
+    assert masked[0] == "é ".join(["[SECRET]"] * 100_000)
+    assert masked[1] == "🙂" * 5000 + " " + " - ".join(["[SECRET]"] * 600) + "x" * 9000
+    assert (masked[2], masked[3]) == ("é" * 4096 + "[SECRET]", "-" * 4064 + "[SECRET]")
+
+
 def test_mask(spark):
     rows = ["no", None, "", "é token=abcdefgh, x", "f" * 30 + " and password: 'f0f0f0f0f0f0f0f0f0f0f0f0f0f0'"]
     masked = secrets.mask(frame(spark, rows))
