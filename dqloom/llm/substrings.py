@@ -89,9 +89,13 @@ class _Chunk:
 
 
 def _place(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and 32-bit remainder of 64-bit hashes, both rising with the hash."""
-    high = (hashes >> _U(32)) * _U(buckets)
-    return (high >> _U(32)).astype(np.int64), (high & _U(0xFFFFFFFF)).astype(np.uint32)
+    """Bucket and 32-bit remainder of 64-bit hashes, both rising with the hash.
+
+    They are the upper bits of hash times buckets, so the remainder goes on where the bucket ends: a bucket of two
+    million words has a fresh probe collide once in two thousand times, whatever the number of buckets.
+    """
+    code = (hashes >> _U(32)) * _U(buckets) + ((hashes & _U(0xFFFFFFFF)) * _U(buckets) >> _U(32))
+    return (code >> _U(32)).astype(np.int64), (code & _U(0xFFFFFFFF)).astype(np.uint32)
 
 
 def _pack_rising(values: np.ndarray) -> bytes:
@@ -179,10 +183,19 @@ def _gather(replies: pd.DataFrame, turn: int) -> np.ndarray:
     return np.frombuffer(b"".join(zstandard.decompress(f) for f in own["found"]), dtype=np.uint8)
 
 
+def _groups(hashes: np.ndarray, checks: np.ndarray, *within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by both hashes, then ``within`` (the last first), and where in it another window begins; stable."""
+    order = np.lexsort((*within, checks, hashes))
+    lead = np.ones(len(order), dtype=bool)
+    lead[1:] = (np.diff(hashes[order]) != 0) | (np.diff(checks[order]) != 0)
+    return order, lead
+
+
 def _repeats(row, replies: pd.DataFrame, window: int, buckets: int):
     """Windows that lie in a maximal run of repeated probes which holds an anchor; sorted by hash, then in order.
 
-    Returns the chunk, the distinct hashes, the first occurrence of each and all windows with their place.
+    Returns the chunk, both hashes of the distinct windows, the first occurrence of each and all windows with their
+    place.
     """
     block = _block(window)
     chunk, _, _, _, _, at, inverse = _probes(row, block, buckets)
@@ -196,8 +209,12 @@ def _repeats(row, replies: pd.DataFrame, window: int, buckets: int):
     hashes, first = chunk.windows(window)
     use = (repeated[first + inner] - repeated[first] == inner) & (anchored[first + inner] > anchored[first])
     hashes, first = hashes[use], first[use]
-    distinct, earliest, place = np.unique(hashes, return_index=True, return_inverse=True)
-    return chunk, distinct, first[earliest], first, place
+    checks = chunk.words.rolling_check(window)[first] if len(first) else hashes
+    order, lead = _groups(hashes, checks)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.cumsum(lead) - 1
+    earliest = order[lead]
+    return chunk, hashes[earliest], checks[earliest], first[earliest], first, place
 
 
 def _claim(window: int, buckets: int):
@@ -206,11 +223,12 @@ def _claim(window: int, buckets: int):
     def run(key, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         found = []
         for row in _rows(pdf):
-            chunk, distinct, first, *_ = _repeats(row, replies, window, buckets)
+            chunk, distinct, checks, first, *_ = _repeats(row, replies, window, buckets)
             bucket, _ = _place(distinct, buckets)
             ids = chunk.ids[chunk.words.owner[first]]
-            found.append(_spread(row["chunk"], bucket, {"hashes": (distinct, np.ndarray.tobytes), "ids": (ids, np.ndarray.tobytes), "starts": (chunk.position[first].astype(np.uint32), np.ndarray.tobytes)}))
-        return pd.concat(found) if found else pd.DataFrame({"chunk": [], "bucket": [], "hashes": [], "ids": [], "starts": []})
+            columns = {"hashes": distinct, "checks": checks, "ids": ids, "starts": chunk.position[first].astype(np.uint32)}
+            found.append(_spread(row["chunk"], bucket, {name: (values, np.ndarray.tobytes) for name, values in columns.items()}))
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in ("chunk", "bucket", "hashes", "checks", "ids", "starts")})
 
     return run
 
@@ -219,12 +237,11 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each chunk's windows of this bucket: 1 if the same words start earlier in another chunk."""
     sizes = pdf["hashes"].map(len).to_numpy() // 8
     hashes = np.frombuffer(b"".join(pdf["hashes"]), dtype=np.uint64)
+    checks = np.frombuffer(b"".join(pdf["checks"]), dtype=np.uint64)
     ids = np.frombuffer(b"".join(pdf["ids"]), dtype=np.int64)
     starts = np.frombuffer(b"".join(pdf["starts"]), dtype=np.uint32)
-    order = np.lexsort((starts, ids, hashes))
-    sorted_hashes, sorted_ids, sorted_starts = hashes[order], ids[order], starts[order]
-    lead = np.ones(len(order), dtype=bool)
-    lead[1:] = sorted_hashes[1:] != sorted_hashes[:-1]
+    order, lead = _groups(hashes, checks, starts, ids)
+    sorted_ids, sorted_starts = ids[order], starts[order]
     group = np.cumsum(lead) - 1
     heads = np.flatnonzero(lead)[group]
     later = (sorted_ids != sorted_ids[heads]) | (sorted_starts != sorted_starts[heads])
@@ -242,7 +259,7 @@ def _remove(window: int, buckets: int, with_text: bool):
     def run(key, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         made = []
         for row in _rows(pdf):
-            chunk, distinct, earliest, first, place = _repeats(row, replies, window, buckets)
+            chunk, distinct, _, earliest, first, place = _repeats(row, replies, window, buckets)
             later = _gather(replies, 2).astype(bool) if len(distinct) else np.zeros(0, bool)
             # a window goes if its words start earlier elsewhere or earlier in this chunk; equal places are one document
             owner, position = chunk.words.owner, chunk.position
@@ -275,7 +292,8 @@ def remove_repeats(docs: DataFrame, identifier: str = "doc_id", text: str = "tex
        groups answer which probes occur again and which of these meet a block, their anchor.
     2. From its anchors each chunk extends over the neighbouring repeated probes to maximal repeats, and claims
        their windows, each distinct one once, with its first place.
-    3. Groups by the window's 64-bit hash settle which place is the earliest; the others' words go.
+    3. Groups of equal windows, by two independent 64-bit hashes, settle which place is the earliest; the others'
+       words go.
 
     Probes and answers are packed arrays, about three bytes a word, and copies within a chunk are merged before the shuffle,
     so a hot passage sends one entry per chunk.  Groups are bounded by the number of buckets, which grows with the
@@ -292,7 +310,7 @@ def remove_repeats(docs: DataFrame, identifier: str = "doc_id", text: str = "tex
     answer = "chunk long, bucket long, turn int, found binary"
     first = cut_lineage(probes.groupBy("bucket").applyInPandas(_answer, answer))
     claims = grouped.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInPandas(
-        _claim(window, buckets), "chunk long, bucket long, hashes binary, ids binary, starts binary"
+        _claim(window, buckets), "chunk long, bucket long, hashes binary, checks binary, ids binary, starts binary"
     )
     both = first.union(cut_lineage(claims.groupBy("bucket").applyInPandas(_settle, answer)))
     found = grouped.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(_remove(window, buckets, with_text), RESULT)

@@ -11,7 +11,9 @@ _U = np.uint64
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_CHECK_BASE = 0xD1342543DE82EF95
+_INVERSE = {base: pow(base, -1, 1 << 64) for base in (_BASE, _CHECK_BASE)}
+_SEED, _CHECK_SEED = 20240607, 20240608
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,8 +24,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _byte_values() -> tuple[np.ndarray, np.ndarray]:
-    values = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
+def _byte_values(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    values = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
     apart = np.zeros(256, dtype=bool)
     apart[list(SEPARATORS)] = True
     return values, apart
@@ -56,17 +58,28 @@ class Words:
         if lower:
             self.buffer = self.buffer.translate(_LOWER)
         data = np.frombuffer(self.buffer, dtype=np.uint8)
-        values, apart = _byte_values()
+        _, apart = _byte_values(_SEED)
         inside = ~apart[data]
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(values[data] * _power(_BASE, len(data)), out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * _power(_INVERSE, len(data) + 1)[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = self._hashed(_SEED, _BASE)
         stops = np.cumsum([len(p) + 1 for p in parts])
         self.owner = np.searchsorted(stops, self.start, side="right")
         self.count = np.bincount(self.owner, minlength=len(texts))
 
+    def _hashed(self, seed: int, base: int) -> np.ndarray:
+        data = np.frombuffer(self.buffer, dtype=np.uint8)
+        values, _ = _byte_values(seed)
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(values[data] * _power(base, len(data)), out=sums[1:])
+        back = _power(_INVERSE[base], len(data) + 1)[self.start]
+        return mix((sums[self.end] - sums[self.start]) * back + (self.end - self.start).astype(np.uint64))
+
+    def rolling_check(self, size: int) -> np.ndarray:
+        """Like ``rolling``, from other bytes' values, another base and other factors."""
+        hashes = self._hashed(_CHECK_SEED, _CHECK_BASE)
+        return rolling(hashes, size, _CHECK_SEED + size) if len(hashes) >= size else np.zeros(0, dtype=np.uint64)
+
     def rolling(self, size: int) -> np.ndarray:
         """Hash of the ``size`` words from each word on; those that run into the next text mean nothing."""
         n = len(self.hash) - size + 1
@@ -75,9 +88,9 @@ class Words:
         return rolling(self.hash, size)
 
 
-def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
+def rolling(hashes: np.ndarray, size: int, seed: int | None = None) -> np.ndarray:
     n = len(hashes) - size + 1
-    factors = np.random.default_rng(size).integers(1, 1 << 62, size, dtype=np.uint64) * _U(2) + _U(1)
+    factors = np.random.default_rng(size if seed is None else seed).integers(1, 1 << 62, size, dtype=np.uint64) * _U(2) + _U(1)
     total = np.full(n, size, dtype=np.uint64)
     for j in range(size):
         total += hashes[j : j + n] * factors[j]

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import plain
 import pytest
+import zstandard
 from conftest import MEDIUM, SMALL
 from dqloom.llm import caps, exact, minhash, queries, substrings
 from dqloom.llm.common import components
@@ -123,6 +124,25 @@ def test_drop_near_keeps_columns(spark):
 # -- passages ------------------------------------------------------------------------------------------------------
 
 
+def test_probes_that_share_their_high_half_stay_apart():
+    draw = np.random.default_rng(5)
+    hashes = np.unique((np.uint64(12345) << np.uint64(32)) | draw.integers(0, 1 << 32, 5000, dtype=np.uint64))
+    for buckets in (8, 1 << 20, (1 << 32) - 1):
+        bucket, rest = substrings._place(hashes, buckets)
+        exact = [int(h) * buckets >> 32 for h in hashes]
+        assert [(int(b) << 32) | int(r) for b, r in zip(bucket, rest, strict=True)] == exact and exact == sorted(exact)
+    assert len(set(exact)) == len(hashes)
+
+
+def test_windows_of_one_hash_are_told_apart_by_the_other():
+    def claim(chunk, check):
+        packed = {"hashes": np.uint64([7]), "checks": np.uint64([check]), "ids": np.int64([chunk]), "starts": np.uint32([0])}
+        return {"chunk": chunk, "bucket": 0, **{name: values.tobytes() for name, values in packed.items()}}
+
+    found = substrings._settle(pd.DataFrame([claim(3, 1), claim(2, 2), claim(1, 1), claim(4, 2)]))
+    assert [zstandard.decompress(f)[0] for f in found["found"]] == [1, 0, 0, 1]
+
+
 def test_repeats_of_few_words(spark):
     """Few distinct words give overlapping, nested and self-repeating passages."""
     draw = random.Random(11)
