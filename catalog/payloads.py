@@ -15,7 +15,7 @@ from catalog import sql as S
 from dqloom.functions import routing
 from dqloom.functions import rules as R
 from dqloom.operators import checks as C
-from dqloom.operators import flatten, fusion, ledger, mutations, structure
+from dqloom.operators import flatten, fusion, ledger, mutations, schemas, structure
 from dqloom.plans import loading, native, rawbed, suites
 from dqloom.session import checkpoint_folder
 from dqloom.sources import envelopes as E
@@ -242,6 +242,43 @@ def struct_rows(t):
     return structure.element_findings(rawbed.envelopes(t), ["teams"]).select("payload", "position", "rule", "field")
 
 
+@query(
+    "chk_schema_documents",
+    f"""WITH {EVENTS} SELECT replace(validator, '_schema', '') AS entity, rule, field, findings FROM ({FINDINGS})
+    WHERE validator LIKE '%_schema' AND level = 'error' AND rule <> 'list_missing'""",
+)
+def schema_documents(t):
+    found = schemas.findings(E.good(rawbed.envelopes(t)), schemas.documents())
+    # the path inside the innermost list
+    return found.groupBy("entity", "rule", F.regexp_replace("field", r"^.*\[\][.]?", "").alias("field")).agg(F.count(F.lit(1)).alias("findings"))
+
+
+def _row_of(entity: str, rule: str, field: str, where: str) -> str:
+    return f"SELECT batch, event_id, entity, i, '{rule}' AS rule, '{entity}[].{field}' AS field FROM num WHERE entity = '{entity}' AND {where}"
+
+
+_SCHEMA_ROWS = " UNION ALL ".join(
+    [_row_of(e, "required", "id", "id_text IS NULL") for e in ("areas", "competitions", "teams", "matches")]
+    + [_row_of(e, "type", "id", "id_text = 'abc'") for e in ("areas", "competitions", "teams", "matches")]
+    + [
+        _row_of("areas", "minLength", "countryCode", "k % 17 = 0"),
+        _row_of("teams", "minLength", "name", "k % 17 = 0"),
+        _row_of("competitions", "required", "plan", "k % 3 = 0"),
+        _row_of("matches", "type", "matchday", "day_text IN ('999', 'x7')"),
+    ]
+)
+
+
+@query(
+    "chk_schema_rows",
+    f"""WITH {EVENTS} SELECT batch || '/' || lpad(CAST(event_id AS VARCHAR), 12, '0') || '.json' AS payload, entity,
+    CAST(i AS VARCHAR) AS place, rule, field FROM ({_SCHEMA_ROWS})""",
+)
+def schema_rows(t):
+    found = schemas.findings(rawbed.envelopes(t), schemas.documents())
+    return found.where("place <> '' AND entity <> 'standings'").select("payload", "entity", "place", "rule", "field")
+
+
 @query(
     "chk_declared_count",
     f"""WITH {EVENTS} SELECT entity, count(*) AS payloads FROM pay

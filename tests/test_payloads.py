@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from dqloom.functions import routing
-from dqloom.operators import flatten, mutations, structure
+from dqloom.operators import flatten, mutations, schemas, structure
 from dqloom.plans import native
 from dqloom.sources import envelopes as E
 from dqloom.sources import generated as G
@@ -239,3 +239,106 @@ def test_copy_run_keeps_good_payloads_with_their_list(spark):
     copied = E.copy_run(good.unionByName(bad), "r", "exp_1")
     (row,) = copied.collect()
     assert row["run_id"] == "exp_1" and row["request_params"] == {"run_id": "exp_1", "source_run_id": "r"}
+
+
+# -- schema documents ----------------------------------------------------------------------------------------------
+
+ORDERS = {
+    "$schema": "http://json-schema.org/draft-07/schema#",
+    "definitions": {
+        "code": {"type": "string", "pattern": "^[A-Z]{2}[0-9]+$", "maxLength": 6},
+        "line": {
+            "type": "object",
+            "required": ["code", "count"],
+            "properties": {
+                "code": {"$ref": "#/definitions/code"},
+                "count": {"type": "integer", "minimum": 1, "exclusiveMaximum": 100},
+                "tags": {"type": "array", "uniqueItems": True, "items": {"enum": ["a", "b", 3, None]}},
+                "price": {"anyOf": [{"type": "number", "multipleOf": 0.05}, {"type": "array", "items": {"type": "number"}}]},
+            },
+            "additionalProperties": False,
+        },
+    },
+    "type": "object",
+    "properties": {
+        "matches": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "array", "items": {"$ref": "#/definitions/line"}}},
+        "kind": {"const": "order"},
+        "one": {"oneOf": [{"type": "integer"}, {"type": "number", "minimum": 5}]},
+        "no": {"not": {"type": "null"}},
+        "holds": {"type": "array", "contains": {"type": "string"}},
+    },
+    "required": ["matches"],
+}
+
+
+def _broken(spark, *bodies, document=ORDERS):
+    found = schemas.findings(envelopes(spark, *bodies), {"matches": document})
+    return sorted((r["payload"][1], r["place"], r["field"], r["rule"]) for r in found.collect())
+
+
+def test_a_document_of_lists_in_lists(spark):
+    good = {"code": "AB1", "count": 1, "tags": ["a", 3, None], "price": 0.15}
+    lines = [
+        {"code": "ab1", "count": 0, "price": [1, 2.5]},
+        {"code": "AB123456", "count": 100, "price": [1, "x"]},
+        {"count": 1.0, "more": 1, "tags": ["a", "a", "c"], "price": 0.01},
+        7,
+        {"code": None, "count": 1.5, "price": None},
+    ]
+    line = "matches[][]"
+    assert _broken(spark, {"matches": [[good], lines], "kind": "order", "one": 2, "no": 1, "holds": [1, "x"]}) == sorted(
+        [
+            ("0", "1/0", f"{line}.code", "pattern"),
+            ("0", "1/0", f"{line}.count", "minimum"),
+            ("0", "1/1", f"{line}.code", "maxLength"),
+            ("0", "1/1", f"{line}.count", "exclusiveMaximum"),
+            ("0", "1/1", f"{line}.price", "anyOf"),
+            ("0", "1/2", f"{line}.code", "required"),
+            ("0", "1/2", line, "additionalProperties"),
+            ("0", "1/2", f"{line}.tags", "uniqueItems"),
+            ("0", "1/2/2", f"{line}.tags[]", "enum"),
+            ("0", "1/2", f"{line}.price", "anyOf"),
+            ("0", "1/3", line, "type"),
+            ("0", "1/4", f"{line}.code", "type"),
+            ("0", "1/4", f"{line}.count", "type"),
+            ("0", "1/4", f"{line}.price", "anyOf"),
+        ]
+    )
+
+
+def test_documents_judge_the_payload_itself(spark):
+    bodies = [[], {"matches": []}, {"matches": [[], [], []], "kind": "x", "one": 7, "no": None, "holds": [1]}, {"matches": None}, "no json", {"matches": [3]}]
+    assert _broken(spark, *bodies) == [
+        ("0", "", "", "type"),
+        ("1", "", "matches", "minItems"),
+        ("2", "", "holds", "contains"),
+        ("2", "", "kind", "const"),
+        ("2", "", "matches", "maxItems"),
+        ("2", "", "no", "not"),
+        ("2", "", "one", "oneOf"),
+        ("3", "", "matches", "type"),
+        ("5", "0", "matches[]", "type"),
+    ]
+    assert _broken(spark, {"matches": []}, document=True) == [] and _broken(spark, {"a": 1}, document=False) == [("0", "", "", "false")]
+    assert schemas.findings(envelopes(spark, {"matches": []}), {}).count() == 0
+
+
+@pytest.mark.parametrize(
+    "document",
+    [{"if": {}}, {"patternProperties": {}}, {"$ref": "#"}, {"$ref": "http://x/y"}, {"type": "text"}, {"enum": [[1]]}, {"properties": {'a"': True}}],
+)
+def test_what_a_document_may_not_say(document):
+    with pytest.raises(ValueError):
+        schemas.compiled({"properties": {"a": document}})
+
+
+def test_documents_find_what_the_structure_checks_find(spark, tmp_path):
+    bad = {"count": "1", "filters": 3, "matches": [match(1, matchday="x", season=None), match(2, id="2", homeTeam={"id": 1.5, "name": 3}), 5]}
+    bodies = envelopes(spark, {"matches": [match(1)]}, bad, {"count": 1})
+    old = structure.findings(bodies, families=["schema"]).where("level = 'error' AND rule <> 'list_missing'")
+    for name, document in schemas.documents().items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(document))
+    new = schemas.findings(bodies, schemas.read_documents(spark, str(tmp_path)))
+    shown = F.regexp_replace("field", r"^.*\[\][.]?", "")
+    wanted = sorted((r[0], r[1] or "", r[2], r[3]) for r in old.select("payload", "position", "field", "rule").collect())
+    assert sorted(tuple(r) for r in new.select("payload", "place", shown, "rule").collect()) == wanted and len(wanted) > 6
