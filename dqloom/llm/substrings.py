@@ -224,23 +224,27 @@ def _claim(window: int, buckets: int):
         found = []
         for row in _rows(pdf):
             chunk, distinct, checks, first, *_ = _repeats(row, replies, window, buckets)
-            bucket, _ = _place(distinct, buckets)
+            bucket, rest = _place(distinct, buckets)
             ids = chunk.ids[chunk.words.owner[first]]
-            columns = {"hashes": distinct, "checks": checks, "ids": ids, "starts": chunk.position[first].astype(np.uint32)}
-            found.append(_spread(row["chunk"], bucket, {name: (values, np.ndarray.tobytes) for name, values in columns.items()}))
-        return pd.concat(found) if found else pd.DataFrame({c: [] for c in ("chunk", "bucket", "hashes", "checks", "ids", "starts")})
+            columns = {"checks": checks, "ids": ids, "starts": chunk.position[first].astype(np.uint32)}
+            packed = {name: (values, np.ndarray.tobytes) for name, values in columns.items()}
+            found.append(_spread(row["chunk"], bucket, {"rests": (rest, _pack_rising), **packed}))
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in ("chunk", "bucket", "rests", "checks", "ids", "starts")})
 
     return run
 
 
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk's windows of this bucket: 1 if the same words start earlier in another chunk."""
-    sizes = pdf["hashes"].map(len).to_numpy() // 8
-    hashes = np.frombuffer(b"".join(pdf["hashes"]), dtype=np.uint64)
+    """For each chunk's windows of this bucket: 1 if the same words start earlier in another chunk.
+
+    Windows are the same if they agree in the bucket, the 32 bits behind it and the 64 bits of the other hash.
+    """
+    sizes = pdf["rests"].map(len).to_numpy() // 4
+    rests = np.concatenate([_unpack_rising(p) for p in pdf["rests"]])
     checks = np.frombuffer(b"".join(pdf["checks"]), dtype=np.uint64)
     ids = np.frombuffer(b"".join(pdf["ids"]), dtype=np.int64)
     starts = np.frombuffer(b"".join(pdf["starts"]), dtype=np.uint32)
-    order, lead = _groups(hashes, checks, starts, ids)
+    order, lead = _groups(rests, checks, starts, ids)
     sorted_ids, sorted_starts = ids[order], starts[order]
     group = np.cumsum(lead) - 1
     heads = np.flatnonzero(lead)[group]
@@ -292,8 +296,8 @@ def remove_repeats(docs: DataFrame, identifier: str = "doc_id", text: str = "tex
        groups answer which probes occur again and which of these meet a block, their anchor.
     2. From its anchors each chunk extends over the neighbouring repeated probes to maximal repeats, and claims
        their windows, each distinct one once, with its first place.
-    3. Groups of equal windows, by two independent 64-bit hashes, settle which place is the earliest; the others'
-       words go.
+    3. Groups of equal windows settle which place is the earliest; the others' words go.  Windows are compared by two
+       independent hashes, together 96 bits and those of the number of buckets.
 
     Probes and answers are packed arrays, about three bytes a word, and copies within a chunk are merged before the shuffle,
     so a hot passage sends one entry per chunk.  Groups are bounded by the number of buckets, which grows with the
@@ -310,7 +314,7 @@ def remove_repeats(docs: DataFrame, identifier: str = "doc_id", text: str = "tex
     answer = "chunk long, bucket long, turn int, found binary"
     first = cut_lineage(probes.groupBy("bucket").applyInPandas(_answer, answer))
     claims = grouped.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInPandas(
-        _claim(window, buckets), "chunk long, bucket long, hashes binary, checks binary, ids binary, starts binary"
+        _claim(window, buckets), "chunk long, bucket long, rests binary, checks binary, ids binary, starts binary"
     )
     both = first.union(cut_lineage(claims.groupBy("bucket").applyInPandas(_settle, answer)))
     found = grouped.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(_remove(window, buckets, with_text), RESULT)

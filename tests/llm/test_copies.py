@@ -136,8 +136,8 @@ def test_probes_that_share_their_high_half_stay_apart():
 
 def test_windows_of_one_hash_are_told_apart_by_the_other():
     def claim(chunk, check):
-        packed = {"hashes": np.uint64([7]), "checks": np.uint64([check]), "ids": np.int64([chunk]), "starts": np.uint32([0])}
-        return {"chunk": chunk, "bucket": 0, **{name: values.tobytes() for name, values in packed.items()}}
+        packed = {"checks": np.uint64([check]), "ids": np.int64([chunk]), "starts": np.uint32([0])}
+        return {"chunk": chunk, "bucket": 0, "rests": substrings._pack_rising(np.uint32([7])), **{name: values.tobytes() for name, values in packed.items()}}
 
     found = substrings._settle(pd.DataFrame([claim(3, 1), claim(2, 2), claim(1, 1), claim(4, 2)]))
     assert [zstandard.decompress(f)[0] for f in found["found"]] == [1, 0, 0, 1]
