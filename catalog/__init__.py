@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dqloom.plans.testbed import Tables
+from dqloom.session import with_task_sizes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +19,7 @@ def query(name: str, sql: str | None = None):
     def register(build: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} exists")
-        QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: build(Tables(with_task_sizes(spark), folder))
         if sql is not None:
             ORACLES[name] = sql
         return build
