@@ -435,9 +435,11 @@ def load_counts(t):
 )
 def reload_run(t):
     """A run loaded twice into a fresh folder: what is stored, and what the second load added."""
-    raw = rawbed.envelopes(t)
-    spark = raw.sparkSession
+    spark = t.spark
     root = f"{checkpoint_folder(spark)}/reload-{uuid.uuid4().hex}"
+    # staged as a run is, so that no table of either load builds and parses the payloads of all entities again
+    tables.append_envelopes(rawbed.envelopes(t), f"{root}/_raw")
+    raw = tables.read_envelopes(spark, f"{root}/_raw", rawbed.RUN)
     first, again = (loading.load_run(raw, root, "dag", "loaded") for _ in range(2))
     rows = [(n, first[n], again[n]) for n in ("fact_match", "dim_area", "dim_team")]
     kept = {n: spark.read.parquet(f"{root}/{n}") for n in first}

@@ -16,6 +16,8 @@ from dqloom.functions import routing
 from dqloom.functions import variant as V
 
 RUN = "raw_run"
+# Tasks per core that build payloads: an event takes a few bytes of a file and much time.
+TASKS_PER_CORE = 3
 # Event types and the endpoints they stand for ({u} is the user).
 ENDPOINTS = {
     "click": "competitions/{u}/matches?season=2024",
@@ -88,8 +90,13 @@ _ROW = _pairs(
 
 
 def payloads(t: Mapping) -> DataFrame:
-    """``event_id, k, n, ts, endpoint, http_status, body`` (JSON text) for every event."""
-    keyed = t["events"].selectExpr(
+    """``event_id, k, n, ts, endpoint, http_status, body`` (JSON text) for every event.
+
+    A file of events is too small to be split among all cores, so its rows are dealt out first.
+    """
+    events = t["events"].select("event_id", "ts", "user_id", "event_type", "props")
+    tasks = TASKS_PER_CORE * events.sparkSession.sparkContext.defaultParallelism
+    keyed = events.repartition(tasks, "event_id", "ts").selectExpr(
         "event_id", "ts", "user_id", "event_type", "cast(get_json_object(props, '$.k') AS INT) AS k"
     )
     numbered = keyed.selectExpr("*", "k % 4 AS n")
@@ -123,14 +130,18 @@ def payloads(t: Mapping) -> DataFrame:
 
 
 def envelopes(t: Mapping, run_id: str = RUN) -> DataFrame:
-    """The payloads as envelopes; the event id names the file, the day is the batch."""
-    staged = payloads(t)
+    """The payloads as envelopes; the event id names the file, the day is the batch.
+
+    The body is exploded from a list of one: a filter on anything in it then stays above, where a plain column would be
+    replaced by its expression and each condition would build and parse the text again.
+    """
+    staged = payloads(t).withColumn("body", F.explode_outer(F.array(V.body(F.col("body")))))
     return staged.select(
         "endpoint",
         routing.entity_of(F.col("endpoint")).alias("entity"),
         "http_status",
         F.create_map(F.lit("run_id"), F.lit(run_id)).alias("request_params"),
-        V.body(F.col("body")).alias("body"),
+        "body",
         F.lit(run_id).alias("run_id"),
         F.date_format("ts", "yyyyMMdd").alias("batch_id"),
         F.format_string("%012d.json", "event_id").alias("source_file"),

@@ -22,3 +22,11 @@ def test_task_sizes_are_set_where_the_owner_set_none(spark):
     with_task_sizes(other)
     assert other.conf.get(advisory) == TASK_SIZES[advisory]
     assert other.conf.get(split) == "77m"
+
+
+def test_payloads_are_dealt_out_and_parsed_once_a_scan(spark, small):
+    tasks = rawbed.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert rawbed.payloads(small).rdd.getNumPartitions() == tasks
+    # seasons come from bodies and from matches, and are filtered by what is in them
+    plan = optimized(flatten.star_rows(rawbed.envelopes(small), "r")["dim_season"])
+    assert plan.count("parseJson") == 2
