@@ -43,7 +43,9 @@ def keyed_diff(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Data
         f"WHEN _a_no IS NULL THEN array({entry('removed', none, none, none)}) "
         f"ELSE filter(array({', '.join(changed)}), x -> x IS NOT NULL) END"
     )
-    return joined.selectExpr(*[f"coalesce(_b_{k}, _a_{k}) AS {k}" for k in keys], f"inline({whole})")
+    # the outer form: before an inner one Spark also filters on the list's size, which compares every row again
+    found = joined.selectExpr(*[f"coalesce(_b_{k}, _a_{k}) AS {k}" for k in keys], f"inline_outer({whole})")
+    return found.filter("change IS NOT NULL")
 
 
 def diff_totals(diff: DataFrame, keys: Sequence[str]) -> DataFrame:
