@@ -1,9 +1,10 @@
 """The violating rows of whole suites, and quarantine by all kinds of checks.
 
-Every table is scanned once to tag its rows with the checks they break.  What a row cannot know by itself, the keys
-that repeat and those without a parent, is found first, by aggregates that count a hot key on the map side; their few
-broken keys are then joined to the rows.  Whether such a join is broadcast or shuffled is left to Spark's size checks;
-the rows are its outer side, so adaptive execution can split a hot key's rows among tasks in either case.
+Every table is scanned once to tag its rows with the checks they break.  What a row cannot know by itself is joined to
+it: the keys that repeat, found first by an aggregate that counts a hot key on the map side, and the keys of its parents,
+which are normally small tables, so that the rows stay where they are.  Whether such a join is broadcast or shuffled is
+left to Spark's size checks; the rows are its outer side, so adaptive execution can split a hot key's rows among tasks in
+either case.
 """
 
 from __future__ import annotations
@@ -26,17 +27,17 @@ SAMPLE_ROWS = 20
 
 
 class _Rows:
-    """A table on the way to its tags: rows with one flag per set of broken keys."""
+    """A table on the way to its tags: rows with one flag per set of keys."""
 
     def __init__(self, rows: DataFrame):
         self.rows, self.flags = rows, {}
 
-    def hit(self, key: tuple, columns: Sequence[str], broken, null_safe: bool) -> Column:
-        """True for rows whose ``columns`` are among the keys that ``broken()`` gives (distinct, columns ``_k0`` and on)."""
+    def hit(self, key: tuple, columns: Sequence[str], given, null_safe: bool) -> Column:
+        """True for rows whose ``columns`` are among the keys that ``given()`` gives (distinct, columns ``_k0`` and on)."""
         if key not in self.flags:
             n = len(self.flags)
             names = [f"_b{n}_{i}" for i in range(len(columns))]
-            found = broken().selectExpr(*[f"_k{i} AS {name}" for i, name in enumerate(names)], f"true AS _hit{n}")
+            found = given().selectExpr(*[f"_k{i} AS {name}" for i, name in enumerate(names)], f"true AS _hit{n}")
             equal = K.all_equal([f"`{c}`" for c in columns], names, "<=>" if null_safe else "=")
             self.rows = self.rows.join(found, equal, "left").drop(*names)
             self.flags[key] = f"_hit{n}"
@@ -48,12 +49,10 @@ def _repeated(table: DataFrame, check: Check) -> DataFrame:
     return found.selectExpr(*K.renamed(check.keys, [f"_k{i}" for i in range(len(check.keys))]))
 
 
-def _lost(table: DataFrame, columns: Sequence[tuple[str, ...]], parent: DataFrame, parent_columns: Sequence[str]) -> DataFrame:
-    """Complete keys, of any of the given column lists, that the parent does not have; one scan whatever their number."""
-    names = [f"_k{i}" for i in range(len(parent_columns))]
-    roles = ", ".join("named_struct(" + ", ".join(f"'{n}', {c}" for c, n in zip(some, names, strict=True)) + ")" for some in columns)
-    keyed = table.selectExpr(f"inline(array({roles}))").filter(K.complete(names)).distinct()
-    return K.without_parent(keyed, names, parent, parent_columns)
+def _known(parent: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The distinct keys of a parent."""
+    names = [f"_k{i}" for i in range(len(columns))]
+    return parent.selectExpr(*K.renamed(columns, names)).filter(K.complete(names)).distinct()
 
 
 def tagged(name: str, checks: Sequence[Check], tables: Tables) -> DataFrame:
@@ -64,21 +63,6 @@ def tagged(name: str, checks: Sequence[Check], tables: Tables) -> DataFrame:
     """
     own = [c for c in checks if c.table == name]
     table = tables[name]
-    # references to the same parent share one search, each role of it one join to the same keys
-    roles: dict[tuple, list[tuple[str, ...]]] = {}
-    for check in own:
-        for ref in check.refs:
-            known = roles.setdefault((ref.parent, ref.parent_columns), [])
-            if ref.columns not in known:
-                known.append(ref.columns)
-    lost: dict[tuple, DataFrame] = {}
-
-    def lost_to(ref: C.Ref) -> DataFrame:
-        to = (ref.parent, ref.parent_columns)
-        if to not in lost:
-            lost[to] = _lost(table, roles[to], tables[ref.parent], ref.parent_columns)
-        return lost[to]
-
     state, marks = _Rows(table), []
     for check in own:
         if check.count == C.ROWS:
@@ -88,10 +72,12 @@ def tagged(name: str, checks: Sequence[Check], tables: Tables) -> DataFrame:
             marks.append((hit, check.name, None))
         elif check.count == C.ORPHANS:
             for ref in check.refs:
-                hit = state.hit(("refs", ref.columns, ref.parent, ref.parent_columns), ref.columns, lambda r=ref: lost_to(r), False)
-                if ref.null_is_orphan:
-                    hit = hit | ~F.expr(K.complete(ref.columns))
-                marks.append((hit, check.name, ref.label))
+                known = state.hit(
+                    ("refs", ref.columns, ref.parent, ref.parent_columns), ref.columns, lambda r=ref: _known(tables[r.parent], r.parent_columns), False
+                )
+                # an incomplete key has no parent
+                lost = ~known if ref.null_is_orphan else ~known & F.expr(K.complete(ref.columns))
+                marks.append((lost, check.name, ref.label))
         elif check.count in (C.UNMATCHED_KEYS, C.UNMATCHED_ROWS):
 
             def unmatched(c=check) -> DataFrame:
