@@ -8,7 +8,7 @@ ledger rows are one append each: the number of jobs and of ledger files does not
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -29,6 +29,8 @@ from dqloom.sources import tables
 Tables = Mapping[str, DataFrame]
 POST_LAYER = "POST"
 POST_MARTS = ("mart_kpi", "mart_team")
+# What is counted beside the checks; it has no ledger rows.
+SIZES = "sizes"
 FOUND = "run_id STRING, suite STRING, stage STRING, check_name STRING, rule_group STRING, severity STRING, status STRING, rows_failed BIGINT, message STRING"
 
 
@@ -101,27 +103,28 @@ def _store(found: DataFrame, root: str, dag_id: str, parent: str, layer: str, re
 
 
 def _validate(
-    spark: SparkSession, root: str, targets: DataFrame, suite: str, stage: str, checks: tuple[Check, ...], tables_of, dag_id: str, parent: str, layer: str, repeats: int
+    spark: SparkSession, root: str, targets: DataFrame, suite: str, stage: str, checks: tuple[Check, ...], tables_of, dag_id: str, parent: str, layer: str, repeats: int,
+    counted: Sequence[fusion.Placed] = (),
 ) -> DataFrame:
-    """Results of all repeats over all targets (``run_id``), with their events and ledger rows."""
+    """Results of all repeats over all targets (``run_id``), with their events and ledger rows; ``counted`` is evaluated beside them."""
 
     def log(rows: DataFrame, status, error: str | None = None) -> None:
         tables.append_ledger(ledger.run_events(rows, dag_id, parent, layer, status, error), events_path(root))
 
     log(targets, F.lit(ledger.PROCESSING))
-    placed = [fusion.Placed(suite, stage, check) for check in checks]
-    parts = []
+    placed = [*(fusion.Placed(suite, stage, check) for check in checks), *counted]
+    own, parts = F.col("suite") == suite, []
     try:
         given = tables_of(targets)
         for repeat in range(1, repeats + 1):
             started = time.perf_counter()
             found = R.evaluated(placed, given, targets)
-            _store(found, root, dag_id, parent, layer, repeat, time.perf_counter() - started)
+            _store(found.filter(own), root, dag_id, parent, layer, repeat, time.perf_counter() - started)
             parts.append(found)
     except PySparkException as error:
         log(targets, F.lit(ledger.FAILED), str(error))
         raise
-    found = reduce(DataFrame.unionByName, parts)
+    found = reduce(DataFrame.unionByName, parts).filter(own)
     good = F.count_if(F.col("status").isin(C.FAIL, C.BROKEN)) == 0
     log(found.groupBy("run_id").agg(F.when(good, ledger.SUCCESS).otherwise(ledger.FAILED).alias("outcome")), F.col("outcome"))
     return reduce(DataFrame.unionByName, [part.withColumn("repeat_no", F.lit(i)) for i, part in enumerate(parts, 1)])
@@ -175,10 +178,17 @@ def post_results(
     first = targets.first()
     if first is None:
         return spark.createDataFrame([], f"{FOUND}, repeat_no INT"), spark.createDataFrame([], "run_id STRING, table STRING, rows BIGINT")
-    # all targets descend from one baseline
-    found = _validate(spark, root, targets, "post", "POST", POST.checks("POST"), tables_of, dag_id, first["baseline_stg_run_id"], POST_LAYER, 1)
-    given = tables_of(targets)
-    return found, R.row_counts({n: given[n] for n in POST_MARTS}, targets)
+    # all targets descend from one baseline; the marts are counted where they are checked, and not built again for it
+    counted = [fusion.Placed(SIZES, "POST", C.rows_where(name, name, "true")) for name in POST_MARTS]
+    checks, parent = POST.checks("POST"), first["baseline_stg_run_id"]
+    found = _validate(spark, root, targets, "post", "POST", checks, tables_of, dag_id, parent, POST_LAYER, 1, counted)
+    sizes = found.filter(F.col("suite") == SIZES)
+    if not sizes.filter(F.col("status") == C.BROKEN).isEmpty():
+        given = tables_of(targets)
+        sizes = R.row_counts({n: given[n] for n in POST_MARTS}, targets)
+    else:
+        sizes = sizes.select("run_id", F.col("check_name").alias("table"), F.col("rows_failed").alias("rows"))
+    return found.filter(F.col("suite") != SIZES), sizes
 
 
 def run_post_targets(

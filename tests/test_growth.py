@@ -49,3 +49,10 @@ def test_rows_are_joined_to_their_parents_without_a_search_for_lost_keys(spark):
         assert {r["id"] for r in found.collect() if r["violations"]} == expected
         assert found.count() == 3
         assert optimized(found).count("LogicalRDD") == 2
+
+
+def test_marts_are_counted_where_they_are_checked(spark, small, monkeypatch):
+    monkeypatch.setattr(dispatch.R, "row_counts", lambda *_: 1 / 0)
+    sizes = catalog.QUERIES["run_post_sizes"](spark, small.folder).collect()
+    assert len(sizes) == 6
+    assert {r["rows"] == 0 for r in sizes if r["run_id"] == "exp_without_rows"} == {True}
