@@ -21,9 +21,14 @@ RESULTS = ("matches_played", "wins", "draws", "losses", "goals_for", "goals_agai
 PARTIALS = {"seasons": tuple(SEASON_KEY), "season_teams": (*SEASON_KEY, "team_id"), "results": (*SEASON_KEY, "team_id")}
 
 
-def partials(matches: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
-    """The mergeable aggregates of some matches."""
-    scored = with_scores(matches, scores).selectExpr("*", f"{OUTCOME} AS outcome", "to_date(utc_date) AS day")
+def scored_matches(matches: DataFrame, scores: DataFrame) -> DataFrame:
+    """What the aggregates need of some matches."""
+    teams = ("home_team_id", "away_team_id", "full_time_home", "full_time_away")
+    return with_scores(matches, scores).selectExpr(*SEASON_KEY, "status", *teams, f"{OUTCOME} AS outcome", "to_date(utc_date) AS day")
+
+
+def partials(scored: DataFrame) -> dict[str, DataFrame]:
+    """The mergeable aggregates of some ``scored_matches``."""
     decided = "status = 'FINISHED' AND full_time_home IS NOT NULL AND full_time_away IS NOT NULL"
     seasons = scored.groupBy(*SEASON_KEY).agg(
         F.expr("count(1) AS matches_total"),
@@ -34,7 +39,7 @@ def partials(matches: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
         F.expr(f"min(day) FILTER (WHERE {decided}) AS _first_played"),
         F.expr(f"max(day) FILTER (WHERE {decided}) AS _last_played"),
     )
-    teams = matches.selectExpr(*SEASON_KEY, "explode(array(home_team_id, away_team_id)) AS team_id").filter("team_id IS NOT NULL").distinct()
+    teams = scored.selectExpr(*SEASON_KEY, "explode(array(home_team_id, away_team_id)) AS team_id").filter("team_id IS NOT NULL").distinct()
     roles = scored.filter(decided).selectExpr(
         *SEASON_KEY,
         "inline(array(named_struct('team_id', home_team_id, 'gf', full_time_home, 'ga', full_time_away), "
@@ -52,8 +57,14 @@ def partials(matches: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
 
 
 def add_batch(matches: DataFrame, scores: DataFrame, root: str, batch: str) -> None:
-    """Store the aggregates of a batch; a batch that is added again replaces what it wrote."""
-    for name, rows in partials(matches, scores).items():
+    """Store the aggregates of a batch; a batch that is added again replaces what it wrote.
+
+    Its matches are joined to their scores once, and what the aggregates need of them is stored beside these.
+    """
+    path = f"{root.rstrip('/')}/scored/batch={batch}"
+    joined = scored_matches(matches, scores)
+    joined.write.mode("overwrite").parquet(path)
+    for name, rows in partials(joined.sparkSession.read.schema(joined.schema).parquet(path)).items():
         rows.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/batch={batch}")
 
 

@@ -51,6 +51,12 @@ def test_rows_are_joined_to_their_parents_without_a_search_for_lost_keys(spark):
         assert optimized(found).count("LogicalRDD") == 2
 
 
+def test_a_batch_joins_its_matches_to_their_scores_once(spark, small, tmp_path):
+    star = star_tables(small, True)
+    upkeep.add_batch(star["fact_match"], star["fact_match_score"], str(tmp_path), "0")
+    assert spark.read.parquet(f"{tmp_path}/scored").count() == star["fact_match"].count()
+
+
 def test_marts_are_counted_where_they_are_checked(spark, small, monkeypatch):
     monkeypatch.setattr(dispatch.R, "row_counts", lambda *_: 1 / 0)
     sizes = catalog.QUERIES["run_post_sizes"](spark, small.folder).collect()
